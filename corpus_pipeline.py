@@ -1,4 +1,4 @@
-"""The corpus pipeline; its stages follow as their operators are built."""
+"""The corpus pipeline: documents in known languages, free of copies and of benchmark passages, redacted and encoded."""
 
 from __future__ import annotations
 
@@ -6,16 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearfold.llm import decontam
+from nearfold.llm import decontam, langid, pii
 from nearfold.llm.store import materialize, table
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.keep_identified(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redact_documents(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language identification", identify_language),
     ("benchmark decontamination", decontaminate),
+    ("personal data", redact_pii),
 ]
 
 #: Automata, learned models and tokenizers have no SQL form; tests hold the stages against brute force.
