@@ -155,8 +155,8 @@ class Trees:
         return 1 / (1 + np.exp(-out))
 
 
-def examples(n: int, seed: int) -> list[tuple[str, int, int, str | None]]:
-    """Made-up sentences, each with one span and its kind (None: a look-alike that isn't personal)."""
+def examples(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """Made-up sentences with their spans of personal data; many hold only a look-alike."""
     r = random.Random(seed)
     d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
     word = lambda: "".join(r.choice(("an", "er", "in", "th", "de", "la", "on", "que", "sch", "ment", "ión", "st")) for _ in range(r.randint(1, 4)))
@@ -217,21 +217,28 @@ def examples(n: int, seed: int) -> list[tuple[str, int, int, str | None]]:
         head = " ".join(word() for _ in range(r.randint(0, 6)))
         head = (head + r.choice((" ", "\n", ". ", ", ")) if head else "") + lead
         tail = (chr(34) if head.endswith(chr(34)) else "") + r.choice(("", ".", ",", "###", "!!", " ")) + " " + " ".join(word() for _ in range(r.randint(0, 6)))
+        more, also = "", None
         if kind != "secret" and not head.endswith(chr(34)) and r.random() < 0.1:  # another number follows
-            tail = r.choice((" ", ", ")) + r.choice((d(4), d(16), f"{octet()}.{octet()}.{octet()}.{octet()}", f"+1 ({d(3)}) {d(3)}-{d(4)}")) + tail
+            more = r.choice((" ", ", "))
+            also, value2 = r.choice(((None, d(4)), (None, card(False)), ("ip", ".".join(octet() for _ in range(4))), ("phone", f"+1 ({d(3)}) {d(3)}-{d(4)}")))
         if r.random() < 0.08 and kind not in ("iban",):
             head, value, tail = head.upper(), value.upper(), tail.upper()
-        out.append((head + value + tail, len(head), len(head) + len(value), kind))
+        spans = [(len(head), len(head) + len(value), kind)] if kind else []
+        text = head + value + more
+        if more:
+            spans += [(len(text), len(text) + len(value2), also)] if also else []
+            text += value2
+        out.append((text + tail, spans))
     return out
 
 
-def candidates(rows: list[tuple[str, int, int, str | None]]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Features, labels and kinds of everything proposed on made-up rows; only the right span of the right kind is positive."""
+def candidates(rows: list[tuple[str, list[tuple[int, int, str]]]]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Features, labels and kinds of everything proposed on made-up rows; only a right span of the right kind is positive."""
     x, y, kinds = [], [], []
-    for text, start, end, kind in rows:
+    for text, spans in rows:
         for a, b, k in propose(text):
             x.append(features(text, a, b, k))
-            y.append(float(kind == k and (a, b) == (start, end)))
+            y.append(float((a, b, k) in spans))
             kinds.append(k)
     return np.array(x), np.array(y), kinds
 
