@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearfold.llm import decontam, langid, pii
+from nearfold.llm import bpe, decontam, langid, minhash, pii
 from nearfold.llm.store import materialize, table
 
 
@@ -14,6 +14,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return langid.keep_identified(docs)
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.drop_duplicates(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
@@ -22,10 +26,16 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pii.redact_documents(docs)
 
 
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encode(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language identification", identify_language),
+    ("near-duplicate removal", drop_near_duplicates),
     ("benchmark decontamination", decontaminate),
     ("personal data", redact_pii),
+    ("byte-pair encoding", encode),
 ]
 
 #: Automata, learned models and tokenizers have no SQL form; tests hold the stages against brute force.

@@ -5,11 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, langid, pii
+from . import bpe, decontam, langid, minhash, pii
 from .store import table
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -18,13 +23,23 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, and whether they decode to it."""
+    docs = table(spark, sf_dir, "documents")
+    coded = docs.select("doc_id", "text", bpe.encode_column(docs, F.col("text")).alias("token_ids"))
+    back = bpe.decode_column(docs, F.col("token_ids"))
+    return coded.select("doc_id", F.size("token_ids").alias("n_tokens"), "token_ids", (back == F.col("text")).alias("round_trip"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash": op1_minhash,
     "op2_pii": op2_pii,
     "op6_language": op6_language,
+    "op7_bpe": op7_bpe,
     "op10_decontaminate": op10_decontaminate,
 }
 
