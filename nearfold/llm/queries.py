@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, minhash, pii
-from .store import table
+from . import bpe, decontam, langid, minhash, pii, simhash, substring, tokenbin, urlfilter, warc
+from .store import materialize, table
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,43 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op3_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenbin.write_blocks(table(spark, sf_dir, "documents"))
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_documents(table(spark, sf_dir, "documents"))
+
+
+def op5_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archive of all pages against a replica in which one record in 256 is altered and one in 256 is lost."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    whole = materialize(warc.index(pages))
+    fate = F.substring(F.md5(F.col("page_id").cast("string")), 1, 2)
+    altered = pages.withColumn("html", F.when(fate == "00", F.overlay("html", F.lit("?"), F.lit(1))).otherwise(F.col("html")))
+    replica = warc.index(altered).filter(fate != "01")
+    return warc.audit(whole, materialize(replica))
+
+
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, fetched at a time that follows from its id, against a list whose history follows from the hosts."""
+    pages = table(spark, sf_dir, "pages")
+    captures = pages.select("page_id", "url", (F.timestamp_seconds(F.lit(1704067200) + F.pmod(F.col("page_id") * 7919, F.lit(525600)) * 60)).alias("fetched_at"))
+    host = urlfilter.host_of(F.col("url"))
+    digit = lambda k: F.expr(f"instr('0123456789abcdef', substr(md5(pattern), {k}, 1)) - 1")
+    named = pages.select(F.explode(F.array(F.concat(F.lit("d:"), host), F.concat(F.lit("d:"), F.regexp_replace(host, r"^(www|m|blog)\.", "")), F.concat(F.lit("p:"), host, F.lit("/"), F.regexp_extract(urlfilter.rest_of(F.col("url")), r"^/([^/?]*)", 1)))).alias("pattern")).distinct()
+    listed = named.filter(digit(1) < 5)
+    added = F.timestamp_seconds(F.lit(1704067200) + digit(2) * 12 * 86400)
+    removed = F.timestamp_seconds(F.lit(1704067200) + (digit(2) * 12 + digit(3) * 9) * 86400)
+    again = F.timestamp_seconds(F.lit(1704067200) + (digit(2) * 12 + digit(3) * 9 + digit(4) * 6) * 86400)
+    entries = listed.select("pattern", F.lit("add").alias("action"), added.alias("at")).union(listed.filter(digit(5) < 12).select("pattern", F.lit("remove"), removed)).union(listed.filter(digit(5) < 6).select("pattern", F.lit("add"), again))
+    return urlfilter.evaluate(captures, entries)
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -38,9 +75,60 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_pii": op2_pii,
+    "op3_token_blocks": op3_token_blocks,
+    "op4_simhash": op4_simhash,
+    "op5_warc_audit": op5_warc_audit,
     "op6_language": op6_language,
     "op7_bpe": op7_bpe,
+    "op8_repeated_passages": op8_repeated_passages,
+    "op9_url_filter": op9_url_filter,
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLES: dict[str, str] = {}
+#: The lengths of the records follow from their texts; which are altered or lost follows from the ids.
+WARC_SQL = """
+WITH r AS (
+  SELECT page_id, html, coalesce(CAST(floor(page_id / 4096.0) AS BIGINT), -1) AS file,
+    'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '')
+    || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: '
+    || CAST(strlen(coalesce(html, '')) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record
+  FROM pages
+), o AS (
+  SELECT file, page_id, html, CAST(row_number() OVER w - 1 AS BIGINT) AS seq, CAST(coalesce(sum(strlen(record)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
+    CAST(strlen(record) AS BIGINT) AS length, substr(md5(CAST(page_id AS VARCHAR)), 1, 2) AS fate
+  FROM r WINDOW w AS (PARTITION BY file ORDER BY page_id, sha256(record))
+)
+SELECT file, seq, page_id, "offset", length, CASE fate WHEN '00' THEN 'damaged' ELSE 'missing' END AS finding FROM o
+WHERE fate = '01' OR fate = '00' AND substr(html, 1, 1) <> '?'
+"""
+
+URL_SQL = r"""
+WITH c AS (
+  SELECT page_id, url, TIMESTAMP '2024-01-01' + to_minutes(page_id * 7919 % 525600) AS fetched_at,
+    lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)) AS host, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^#]*)', 1) AS rest
+  FROM pages
+), named AS (
+  SELECT 'd:' || host AS pattern FROM c UNION SELECT 'd:' || regexp_replace(host, '^(www|m|blog)\.', '') FROM c UNION SELECT 'p:' || host || '/' || regexp_extract(rest, '^/([^/?]*)', 1) FROM c
+), d AS (
+  SELECT pattern, instr('0123456789abcdef', substr(md5(pattern), 1, 1)) - 1 AS d1, instr('0123456789abcdef', substr(md5(pattern), 2, 1)) - 1 AS d2, instr('0123456789abcdef', substr(md5(pattern), 3, 1)) - 1 AS d3,
+    instr('0123456789abcdef', substr(md5(pattern), 4, 1)) - 1 AS d4, instr('0123456789abcdef', substr(md5(pattern), 5, 1)) - 1 AS d5
+  FROM named
+), entries AS (
+  SELECT pattern, 'add' AS action, TIMESTAMP '2024-01-01' + to_days(CAST(d2 * 12 AS INTEGER)) AS moment FROM d WHERE d1 < 5
+  UNION SELECT pattern, 'remove', TIMESTAMP '2024-01-01' + to_days(CAST(d2 * 12 + d3 * 9 AS INTEGER)) FROM d WHERE d1 < 5 AND d5 < 12
+  UNION SELECT pattern, 'add', TIMESTAMP '2024-01-01' + to_days(CAST(d2 * 12 + d3 * 9 + d4 * 6 AS INTEGER)) FROM d WHERE d1 < 5 AND d5 < 6
+), v AS (
+  SELECT pattern, action, moment AS since, lead(moment) OVER (PARTITION BY pattern ORDER BY moment, action) AS until FROM entries
+), hits AS (
+  SELECT c.page_id, c.url, c.fetched_at, v.pattern, v.since,
+    row_number() OVER (PARTITION BY c.page_id, c.url, c.fetched_at ORDER BY CASE substr(v.pattern, 1, 1) WHEN 'u' THEN 0 WHEN 'p' THEN 1 ELSE 2 END, -length(v.pattern), v.pattern, v.since) AS nth
+  FROM c JOIN v ON v.action = 'add' AND (v.until IS NULL OR v.until > v.since) AND c.fetched_at >= v.since AND (v.until IS NULL OR c.fetched_at < v.until)
+    AND (v.pattern = 'u:' || c.host || c.rest OR v.pattern = 'p:' || c.host || '/' || regexp_extract(c.rest, '^/([^/?]*)', 1)
+      OR v.pattern LIKE 'd:%' AND ('.' || c.host) LIKE '%.' || substr(v.pattern, 3))
+  WHERE length(c.host) > 0
+)
+SELECT DISTINCT c.page_id, c.fetched_at, h.pattern IS NOT NULL AS listed, h.pattern, h.since
+FROM c LEFT JOIN hits h ON h.nth = 1 AND h.page_id = c.page_id AND h.url = c.url AND h.fetched_at = c.fetched_at
+"""
+
+ORACLES: dict[str, str] = {"op5_warc_audit": WARC_SQL, "op9_url_filter": URL_SQL}
