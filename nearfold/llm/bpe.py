@@ -230,30 +230,47 @@ class Vocabulary:
             self.forget()
         return tokens, total[first]
 
-    def decode(self, ids: pa.Array) -> pa.Array:
-        """Texts of a list column."""
+    def spell(self, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of tokens, and where each token's begin (n + 1 entries)."""
         if not hasattr(self, "_flat"):
             self._size = np.fromiter(map(len, self.bytes), np.int64, self.size)
             self._from = np.concatenate(([0], np.cumsum(self._size)))
             self._flat = np.frombuffer(b"".join(self.bytes), np.uint8)
-        values = ids.flatten()
+        size = self._size[t]
+        total = np.concatenate(([0], np.cumsum(size)))
+        return self._flat[np.arange(int(total[-1])) + np.repeat(self._from[t] - total[:-1], size)], total
+
+    def decode(self, ids: pa.Array) -> list[str | None]:
+        """The texts of a list column."""
         sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         first = np.concatenate(([0], np.cumsum(sizes)))
-        t = pc.fill_null(values, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        t = pc.fill_null(ids.flatten(), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         wrong = (t < 0) | (t >= self.size)
-        t = np.where(wrong, 0, t)
-        size = self._size[t]
-        total = np.concatenate(([0], np.cumsum(size)))
-        data = self._flat[np.arange(int(total[-1])) + np.repeat(self._from[t] - total[:-1], size)]
+        data, total = self.spell(np.where(wrong, 0, t))
         off = total[first]
         bad = np.concatenate(([0], np.cumsum(wrong)))
         null = (bad[first[1:]] > bad[first[:-1]]) | ids.is_null().to_numpy(zero_copy_only=False)
         raw = data.tobytes()
-        return pa.array([None if n else raw[a:b].decode("utf-8", "replace") for n, a, b in zip(null.tolist(), off[:-1].tolist(), off[1:].tolist())], pa.string())
+        return [None if n else raw[a:b].decode("utf-8", "replace") for n, a, b in zip(null.tolist(), off[:-1].tolist(), off[1:].tolist())]
+
+    def faithful(self, column: pa.Array, tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Whether each text's tokens spell its bytes."""
+        batch = TextBatch(column)
+        keep = np.ones(len(batch.data), bool)
+        keep[batch.off[1:] - 1] = False
+        text = batch.data[keep]
+        data, total = self.spell(tokens.astype(np.int64))
+        begin, own = total[first], batch.off - np.arange(batch.n + 1)
+        if len(data) == len(text) and np.array_equal(begin, own):
+            wrong = np.concatenate(([0], np.cumsum(data != text)))
+            return wrong[own[1:]] == wrong[own[:-1]]
+        return np.array([np.array_equal(data[begin[k] : begin[k + 1]], text[own[k] : own[k + 1]]) for k in range(batch.n)], bool)
 
 
 _WORKERS: dict[str, Vocabulary] = {}
 ENCODED = "array<int>"
+CHECKED = "struct<token_ids:array<int>,round_trip:boolean>"
+_CHECKED = pa.struct([("token_ids", pa.list_(pa.int32())), ("round_trip", pa.bool_())])
 
 
 def vocabulary_of(sent, key: str) -> Vocabulary:
@@ -272,8 +289,27 @@ def _encode(text: pa.Array, sent, key: str) -> pa.Array:
     return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
 
 
+def _encode_checked(text: pa.Array, sent, key: str) -> pa.Array:
+    words = vocabulary_of(sent, key)
+    lists, right = [], []
+    for part in slices(text):
+        tokens, first = words.encode(part)
+        null = part.is_null()
+        lists.append(pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(tokens), mask=null if part.null_count else None))
+        right.append(pa.array(words.faithful(part, tokens, first), mask=null.to_numpy(zero_copy_only=False)))
+    if not lists:
+        return pa.array([], _CHECKED)
+    return pa.StructArray.from_arrays([pa.concat_arrays(lists), pa.concat_arrays(right)], fields=list(_CHECKED))
+
+
 def _decode(ids: pa.Array, sent, key: str) -> pa.Array:
-    return vocabulary_of(sent, key).decode(ids)
+    words, out, at = vocabulary_of(sent, key), [], 0
+    total = np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    while at < len(ids):
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 19), "right")))
+        out += words.decode(ids.slice(at, stop - at))
+        at = stop
+    return pa.array(out, pa.string())
 
 
 def send(docs: DataFrame, path: str) -> tuple:
@@ -289,6 +325,12 @@ def decode_column(docs: DataFrame, ids: Column, path: str = VOCABULARY) -> Colum
     return arrow_column(_decode, "string", *send(docs, path))(ids)
 
 
+def encode_checked(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """As ``encode``, with round_trip: whether the tokens, decoded, are the text (null for a null text)."""
+    coded = docs.select("doc_id", arrow_column(_encode_checked, CHECKED, *send(docs, path))(F.col("text")).alias("x"))
+    return coded.select("doc_id", F.size("x.token_ids").alias("n_tokens"), "x.token_ids", "x.round_trip")
+
+
 def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """One row for each document: doc_id, n_tokens, token_ids."""
     return docs.select("doc_id", encode_column(docs, F.col("text"), path).alias("token_ids")).select("doc_id", F.size("token_ids").alias("n_tokens"), "token_ids")

@@ -62,10 +62,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, and whether they decode to it."""
-    docs = table(spark, sf_dir, "documents")
-    coded = docs.select("doc_id", "text", bpe.encode_column(docs, F.col("text")).alias("token_ids"))
-    back = bpe.decode_column(docs, F.col("token_ids"))
-    return coded.select("doc_id", F.size("token_ids").alias("n_tokens"), "token_ids", (back == F.col("text")).alias("round_trip"))
+    return bpe.encode_checked(table(spark, sf_dir, "documents"))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
