@@ -15,6 +15,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def is_narrow(dimension: int, bits: int) -> bool:
     return dimension * bits <= 63
 
@@ -30,11 +35,18 @@ def z_encode(coords: Column, dimension: int, bits: int) -> Column:
 
 def z_decode(code: Column, dimension: int, bits: int) -> Column:
     if is_narrow(dimension, bits):
-        axes = [reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(F.shiftright(code, p * dimension + dimension - 1 - k).bitwiseAND(F.lit(1).cast("bigint")), p) for p in range(bits)]) for k in range(dimension)]
-        return F.array(*axes)
-    return F.transform(
-        F.sequence(F.lit(1), F.lit(dimension)),
-        lambda k: F.aggregate(F.sequence(F.lit(0), F.lit(bits - 1)), F.lit(0).cast("bigint"), lambda acc, p: acc * 2 + F.substr(code, p * dimension + k, F.lit(1)).cast("bigint")),
+        one = F.lit(1).cast("bigint")
+
+        def axes(z: Column) -> Column:
+            return F.array(*(reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(F.shiftright(z, p * dimension + dimension - 1 - k).bitwiseAND(one), p) for p in range(bits)]) for k in range(dimension)))
+
+        return _let(code, axes)
+    return _let(
+        code,
+        lambda z: F.transform(
+            F.sequence(F.lit(1), F.lit(dimension)),
+            lambda k: F.aggregate(F.sequence(F.lit(0), F.lit(bits - 1)), F.lit(0).cast("bigint"), lambda acc, p: acc * 2 + F.substr(z, p * dimension + k, F.lit(1)).cast("bigint")),
+        ),
     )
 
 
@@ -44,16 +56,20 @@ def gray_encode(coords: Column, dimension: int, bits: int) -> Column:
     if is_narrow(dimension, bits):
         return z.bitwiseXOR(F.shiftright(z, 1))
     width = dimension * bits
-    return F.array_join(
+    return _let(z, lambda z: F.array_join(
         F.transform(F.sequence(F.lit(1), F.lit(width)), lambda i: F.when((i > 1) & (F.substr(z, i, F.lit(1)) != F.substr(z, F.greatest(i - 1, F.lit(1)), F.lit(1))), "1").when(i > 1, "0").otherwise(F.substr(z, F.lit(1), F.lit(1)))), ""
-    )
+    ))
+
+
+def _xor_down(step: int):
+    return lambda c: c.bitwiseXOR(F.shiftright(c, step))
 
 
 def gray_to_z(code: Column, dimension: int, bits: int) -> Column:
     """Undo the exclusive or: each bit is the parity of those above it."""
     if is_narrow(dimension, bits):
         for step in (1, 2, 4, 8, 16, 32):
-            code = code.bitwiseXOR(F.shiftright(code, step))
+            code = _let(code, _xor_down(step))
         return code
     width = dimension * bits
     ones = F.transform(F.sequence(F.lit(1), F.lit(width)), lambda i: F.length(F.replace(F.substr(code, F.lit(1), i), F.lit("0"), F.lit(""))) % 2)

@@ -207,18 +207,18 @@ ends AS (SELECT shift, CAST(p AS INTEGER) - 1 AS pid, z FROM rr JOIN range(1, 9)
 bounds AS (SELECT shift, pid, lag(z) OVER (PARTITION BY shift ORDER BY pid) AS low, CASE WHEN pid < 7 THEN z END AS high FROM ends)"""
 
 
-@query(BOUNDS + " SELECT shift, pid, low, high FROM bounds")
+@query(BOUNDS + " SELECT shift, pid, coalesce(low, -1) AS low, coalesce(high, -1) AS high FROM bounds")
 def range_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     sample, at = _sampled(spark, sf_dir)
-    return ranges.range_bounds(sample, at)
+    return ranges.range_bounds(sample, at).fillna(-1)
 
 
 @query(BOUNDS + """, s AS (SELECT shift, z, lag(z, 3) OVER w AS below, lead(z, 3) OVER w AS above FROM coded WHERE NOT is_r WINDOW w AS (PARTITION BY shift ORDER BY z))
-SELECT b.shift, b.pid, (SELECT arg_min_null(below, z) FROM s WHERE s.shift = b.shift AND s.z >= b.low) AS low, (SELECT arg_min_null(above, z) FROM s WHERE s.shift = b.shift AND s.z >= b.high) AS high FROM bounds b""")
+SELECT b.shift, b.pid, coalesce((SELECT arg_min_null(below, z) FROM s WHERE s.shift = b.shift AND s.z >= b.low), -1) AS low, coalesce((SELECT arg_min_null(above, z) FROM s WHERE s.shift = b.shift AND s.z >= b.high), -1) AS high FROM bounds b""")
 def range_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
     sample, at = _sampled(spark, sf_dir)
     _, s = r_and_s(embedded(spark, sf_dir))
-    return ranges.padded_bounds(ranges.range_bounds(sample, at), knn.coded(s, VECTORS, D, BITS), 3)
+    return ranges.padded_bounds(ranges.range_bounds(sample, at), knn.coded(s, VECTORS, D, BITS), 3).fillna(-1)
 
 
 @query(BOUNDS + " SELECT c.shift, b.pid, c.id, c.is_r FROM coded c JOIN bounds b ON c.shift = b.shift AND (b.low IS NULL OR c.z >= b.low) AND (b.high IS NULL OR c.z < b.high)")
@@ -396,9 +396,9 @@ def split_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("o_orderkey", F.lit("R").alias("part")).union(s.select("o_orderkey", F.lit("S")))
 
 
-@query("WITH p AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS rn, count(*) OVER () // 7 AS size FROM events) SELECT event_id, CASE WHEN (rn - 1) // size < 7 THEN CAST((rn - 1) // size AS INTEGER) END AS fold FROM p")
+@query("WITH p AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS rn, count(*) OVER () // 7 AS size FROM events) SELECT event_id, CASE WHEN (rn - 1) // size < 7 THEN CAST((rn - 1) // size AS INTEGER) ELSE -1 END AS fold FROM p")
 def kfold_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split.with_fold(table(spark, sf_dir, "events").select("event_id"), ["event_id"], 7)
+    return split.with_fold(table(spark, sf_dir, "events").select("event_id"), ["event_id"], 7).fillna(-1)
 
 
 @query(f"{EMB}, {VOTES} SELECT s.id, s.label FROM pts s WHERE s.is_r AND EXISTS (SELECT 1 FROM predicted p WHERE p.rid = s.id AND p.predicted = 2)")
@@ -450,10 +450,10 @@ def cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.fold_average(reduce(DataFrame.unionByName, scores), ["accuracy"])
 
 
-@query("SELECT event_type AS phase, user_id % 4 AS thread, sum(value) AS seconds FROM (SELECT event_type, user_id, CAST(value AS DECIMAL(18, 4)) AS value FROM events) GROUP BY 1, 2")
+@query("SELECT event_type AS phase, user_id % 4 AS thread, CAST(sum(value) AS DOUBLE) AS seconds FROM (SELECT event_type, user_id, CAST(value AS DECIMAL(18, 4)) AS value FROM events) GROUP BY 1, 2")
 def phase_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = table(spark, sf_dir, "events").select(F.col("event_type").alias("phase"), (F.col("user_id") % 4).alias("thread"), F.col("value").cast("decimal(18,4)").alias("seconds"))
-    return metrics.phase_times(log)
+    return metrics.phase_times(log).withColumn("seconds", F.col("seconds").cast("double"))
 
 
 # --- text, sessions, tuning -----------------------------------------------------------------------
