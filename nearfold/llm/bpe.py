@@ -98,7 +98,6 @@ class Vocabulary:
         self.bytes = [b""] * self.size
         for b, k in ranks.items():
             self.bytes[k] = b
-        self.longest = max(map(len, ranks), default=0)
         #: The pair whose merge makes each token; itself twice for a single byte.
         self.split = [self._halves(b, k) for k, b in enumerate(self.bytes)]
         self.merged = {(a << 20) | b: k for k, (a, b) in enumerate(self.split) if a != k}
@@ -153,22 +152,54 @@ class Vocabulary:
         self.pairs[key] = ok
         return ok
 
+    def _prepare(self) -> None:
+        """States of a matcher for tokens: a state is the longest end of what was read that begins some token."""
+        self.prefix: dict[bytes, int] = {b"": 0}
+        for token in self.bytes:
+            for n in range(1, len(token) + 1):
+                self.prefix.setdefault(token[:n], len(self.prefix))
+        self.names = list(self.prefix)
+        self.moves: dict[int, int] = {}
+        self.endings: list[list[tuple[int, int]] | None] = [None] * len(self.names)
+
+    def _move(self, state: int, byte: int) -> int:
+        word = self.names[state] + bytes([byte])
+        while word not in self.prefix:
+            word = word[1:]
+        self.moves[(state << 8) | byte] = to = self.prefix[word]
+        if self.endings[to] is None:
+            self.endings[to] = [(len(word) - i, t) for i in range(len(word)) if (t := self.ranks.get(word[i:])) is not None]
+        return to
+
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         """The tokens of distinct words, by a walk over their trie in depth-first (sorted) order."""
-        ranks, stays, table, longest = self.ranks, self.stays, self.bytes, self.longest
+        if not hasattr(self, "prefix"):
+            self._prepare()
+        table, pairs, moves, endings = self.bytes, self.pairs, self.moves, self.endings
         out: list[list[int]] = [[]] * len(words)
         path: list[int] = [-1]  # last-token states of the prefixes of the word at hand
+        states: list[int] = [0]  # and what the tokens' matcher has read
         prior = b""
         for k in sorted(range(len(words)), key=words.__getitem__):
             w = words[k]
             same, most = 0, min(len(w), len(prior))
             while same < most and w[same] == prior[same]:
                 same += 1
-            del path[same + 1 :]
+            del path[same + 1 :], states[same + 1 :]
+            state = states[same]
             for d in range(same + 1, len(w) + 1):
-                for a in range(max(0, d - longest), d):
-                    t = ranks.get(w[a:d])
-                    if t is not None and (a == 0 or stays(path[a], t)):
+                key = (state << 8) | w[d - 1]
+                state = moves.get(key)
+                if state is None:
+                    state = self._move(key >> 8, key & 255)
+                states.append(state)
+                for n, t in endings[state]:  # tokens that end here, the longest first
+                    if n == d:
+                        path.append(t)
+                        break
+                    before = path[d - n]
+                    ok = pairs.get((before << 20) | t)
+                    if ok or ok is None and self.stays(before, t):
                         path.append(t)
                         break
                 else:
