@@ -66,6 +66,7 @@ def _units(batch: TextBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     around = np.concatenate(([32], out, [32])).astype(np.uint32)
     code = (around[:-2] * np.uint32(0x9E3779B1)) ^ (around[1:-1] * np.uint32(0x85EBCA6B)) ^ (around[2:] * np.uint32(0xC2B2AE35))
     code = (code * np.uint32(0x27D4EB2F)) >> np.uint32(32 - BITS)
+    code[out == 32] = 0  # a blank's own trigram would depend on the next word, or the next text
     begins = np.concatenate(([0], np.flatnonzero(out == 32)[:-1] + 1)) if len(starts) else np.zeros(0, np.int64)
     second = batch.data[np.minimum(starts + 1, len(batch.data) - 1)] if len(starts) else np.zeros(0, np.uint8)
     script = _SCRIPT[(batch.data[starts].astype(np.uint32) << 8) | second]
@@ -83,6 +84,7 @@ def train(rows: list[tuple[str, str]]) -> dict:
             table[:, k] += np.bincount(code, minlength=1 << BITS)
             script[:, k] += np.bincount(s, minlength=len(SCRIPTS))
     table += 0.1
+    table[0] = 1.0
     log = np.log(table / table.sum(0))
     allowed = script / np.maximum(script.sum(0), 1) >= SCRIPT_SHARE
     scores = (log - log.max(1, keepdims=True)).astype(np.float32) if langs else log
