@@ -36,12 +36,12 @@ GENERATORS: list[tuple[str, re.Pattern]] = [
     ("card", re.compile(r"(?<!\d)\d(?:[ \-]?\d){12,18}(?!\d)")),
     ("ssn", re.compile(r"(?<![\d\-])\d{3}[\- ]\d{2}[\- ]\d{4}(?![\d\-])")),
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?!\w)")),
-    ("secret", re.compile(r"(?i)(?<=[\s\"'=:(])(?=[^\s\"']*\d)[\w+/\-.]{8,200}(?=[\"'\s,;)]|$)")),
+    ("secret", re.compile(r"(?<![^\s\"'=:(])(?=[^\s\"']*\d)[\w+/\-.]{8,200}(?![\w+/@])")),
     ("secret", re.compile(r"(?i)(?:token|secret|passw(?:or)?d|pwd|key|bearer|credential)s?[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"',;]{6,200})")),
 ]
 FEATURES = [f"is_{k}" for k in KINDS] + [
     "length", "digits", "digit_share", "letter_share", "upper_share", "separators", "luhn", "issuer", "octets", "iban_sum", "entropy", "plus", "bracket",
-    "dotted_host", "hex", "before_phone", "before_card", "before_version", "before_secret", "before_record", "before_hash", "joined", "dates",
+    "dotted_host", "hex", "before_phone", "before_card", "before_version", "before_secret", "before_record", "before_hash", "joined", "dates", "dots",
 ]
 _BEFORE = [
     re.compile(r"(?i)\b(?:tel|phone|call|fax|mobile|cell|ring)"),
@@ -75,13 +75,13 @@ def propose(text: str) -> list[tuple[int, int, str]]:
         group = pattern.groups
         for m in pattern.finditer(text):
             a, b = m.span(group)
-            while b > a and text[b - 1] in ".-":
+            while b > a and text[b - 1] in ".-!?#*$%&:)":
                 b -= 1
             if b > a:
                 found.add((a, b, kind))
-            if kind == "phone":  # another number may follow: every shorter reading too
+            if kind in ("phone", "card"):  # another number may follow: every shorter reading too
                 for gap in re.finditer(r"\s+", text[a:b]):
-                    if sum(c.isdigit() for c in text[a : a + gap.start()]) >= 7:
+                    if sum(c.isdigit() for c in text[a : a + gap.start()]) >= (7 if kind == "phone" else 13):
                         found.add((a, a + gap.start(), kind))
     return sorted(found)
 
@@ -103,7 +103,7 @@ def features(text: str, start: int, end: int, kind: str) -> list[float]:
         float(len(octets) == 4 and all(o.isdigit() and int(o) <= 255 and (o == "0" or o[0] != "0") for o in octets)), float(kind == "iban" and _iban_ok(s)),
         -sum(v / n * math.log2(v / n) for v in counts.values()), float(s[:1] == "+"), float("(" in s), float("@" in s and "." in s.rsplit("@", 1)[1].strip(".")),
         float(n >= 16 and all(c in "0123456789abcdefABCDEF" for c in s)), *(float(bool(p.search(before))) for p in _BEFORE),
-        float(after.isalnum() or before[-1:].isalnum() or before[-1:] in ("$", "€", "£", ".")), float(bool(_DATE.search(s))),
+        float(after.isalnum() or before[-1:].isalnum() or before[-1:] in ("$", "€", "£", ".")), float(bool(_DATE.search(s))), s.count("."),
     ]
 
 
