@@ -1,0 +1,197 @@
+"""Language spans, personal data and benchmark passages."""
+
+import itertools
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from awkward_rows import awkward_rows, prose
+from nearfold.llm import decontam, langid, pii
+from nearfold.llm.textcol import TextBatch
+
+
+@pytest.fixture(scope="module")
+def labelled(documents):
+    return [(r.doc_id, r.lang, r.text) for r in documents.select("doc_id", "lang", "text").collect()]
+
+
+def test_viterbi_is_the_best_path():
+    r = np.random.default_rng(3)
+    for _ in range(40):
+        n, width = int(r.integers(1, 7)), int(r.integers(1, 4))
+        score, switch = r.normal(size=(n, width)).astype(np.float32), float(r.uniform(0, 2))
+
+        def value(path):
+            return sum(float(score[t, k]) for t, k in enumerate(path)) - switch * sum(a != b for a, b in zip(path, path[1:]))
+
+        best = max(value(p) for p in itertools.product(range(width), repeat=n))
+        assert value(langid.viterbi(score, switch).tolist()) == pytest.approx(best, abs=1e-4)
+
+
+def test_settled_texts_have_the_viterbi_path(labelled):
+    model = langid.train([(lang, t) for _, lang, t in labelled])
+    own = [t for _, _, t in labelled[:80]] + [labelled[0][2] + " " + next(t for _, lang, t in labelled if lang == "de")]
+    for t, got in zip(own, langid.label(pa.array(own), model)):
+        score, first = langid.word_scores(TextBatch(pa.array([t])), model)
+        path = langid.viterbi(score, langid.SWITCH)
+        change = np.concatenate(([0], np.flatnonzero(np.diff(path)) + 1))
+        assert [s["lang"] for s in got["spans"]] == [model["langs"][k] for k in path[change]]
+
+
+def test_held_out_accuracy_and_mixed_text(labelled):
+    model = langid.train([(lang, t) for i, lang, t in labelled if i % 2])
+    rest = [x for x in labelled if i_even(x[0])]
+    got = langid.label(pa.array([t for _, _, t in rest]), model)
+    assert np.mean([g["lang"] == lang for g, (_, lang, _) in zip(got, rest)]) > 0.97
+    one, two = (next(t for _, lang, t in rest if lang == x and 300 < len(t) < 3000) for x in ("en", "de"))
+    spans = langid.label(pa.array([one + "\n" + two]), model)[0]["spans"]
+    assert spans[0]["lang"] == "en" and spans[-1]["lang"] == "de"
+    border = [s["start"] for s in spans if s["lang"] == "de"][-1]
+    assert abs(border - len(one)) < 60
+
+
+def i_even(i):
+    return i % 2 == 0
+
+
+def test_scripts_narrow(labelled):
+    model = langid.train([(lang, t) for _, lang, t in labelled] + [("ru", "привет как дела сегодня хорошо")])
+    got = langid.label(pa.array(["как хорошо", "東京 東京", "", None, "123", "?!"]), model)
+    assert [g["lang"] for g in got][:4] == ["ru", "und", "und", "und"] and got[5]["lang"] == "und" and got[2]["spans"] == []
+
+
+def test_language_awkward(spark, awkward, empty):
+    rows = langid.identify(awkward).collect()
+    assert len(rows) == len(awkward_rows())
+    kept = langid.keep_identified(awkward)
+    assert kept.columns == awkward.columns
+    ids = {r.doc_id for r in kept.collect()}
+    assert {1, 2, 3, 4, 11, 12, 15} <= ids and not ids & {5, 6, 7, 8}
+    assert langid.identify(empty).count() == 0 and langid.keep_identified(empty).count() == 0
+    unlabelled = awkward.withColumn("lang", awkward.lang.substr(1, 0))
+    assert {r.lang for r in langid.identify(unlabelled).collect()} == {"und"}
+
+
+def test_clean_documents_are_kept(documents):
+    assert langid.keep_identified(documents).count() >= 0.99 * documents.count()
+
+
+@pytest.fixture(scope="module")
+def model():
+    return pii.train()
+
+
+def test_held_out_redaction(model):
+    rows = pii.examples(3000, 4242)
+    right = said = wanted = 0
+    for (_, spans), got in zip(rows, pii.detect_all([t for t, _ in rows], model)):
+        own = {(a, b) for a, b, _, _ in got}
+        right += len(own & {(a, b) for a, b, _ in spans})
+        said += len(own)
+        wanted += len(spans)
+    assert right / said > 0.95 and right / wanted > 0.95
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("write to jane.roe@example.com now", "write to [EMAIL] now"),
+        ("Call +1 (487) 555-7209 today.", "Call [PHONE] today."),
+        ("from 43.21.141.162 at noon", "from [IP] at noon"),
+        ('token = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda" end', 'token = "[SECRET]" end'),
+        ("pay 4845168114407329 now", "pay [CARD] now"),
+        ("number 9807915762804490 here", "number 9807915762804490 here"),
+        ("under version 3.0.1.2 of it", "under version 3.0.1.2 of it"),
+        ("ring +1 (826) 555-4081 190.137.223.204 twice", "ring [PHONE] [IP] twice"),
+        ("no data at all", "no data at all"),
+    ],
+)
+def test_redactions(model, text, want):
+    assert pii.redact(text, pii.detect(text, model)) == want
+
+
+def test_documents_are_redacted(spark, documents, texts, model):
+    got = {r.doc_id: r for r in pii.find(documents, model).collect()}
+    patterns = {"email": r"[\w.]+@[\w.]+\w", "phone": r"\+1 \(\d{3}\) \d{3}-\d{4}", "secret": r'(?i)token = "(\w{40})"'}
+    for i, t in texts.items():
+        for kind, p in patterns.items():
+            for m in re.finditer(p, t):
+                a, b = m.span(1 if kind == "secret" else 0)
+                assert any(s.start <= a and b <= s.end for s in got[i].spans), (i, m.group(0))
+        if not re.search(r"[0-9@]", t):
+            assert i not in got
+
+
+def test_pii_awkward(spark, awkward, empty, model):
+    assert [r.doc_id for r in pii.find(awkward, model).collect()] == [11]
+    out = pii.redact_documents(awkward, model)
+    assert out.columns == awkward.columns
+    rows = {(r.doc_id, r.text is None, r.n_chars) for r in out.collect()}
+    long = next(t for i, t, *_ in awkward_rows() if i == 11)
+    assert (11, False, len(long) - len("me@example.com") + len("[EMAIL]")) in rows and (5, True, None) in rows and out.count() == len(awkward_rows())
+    assert pii.find(empty, model).count() == 0
+
+
+def test_trees_learn_a_rule():
+    r = np.random.default_rng(1)
+    x = r.normal(size=(2000, 4))
+    y = ((x[:, 0] > 0) ^ (x[:, 2] > 0.5)).astype(float)
+    p = pii.Trees(rounds=40).fit(x[:1500], y[:1500]).predict(x[1500:])
+    assert ((p > 0.5) == y[1500:]).mean() > 0.95
+
+
+def passages_by_force(rows, items, window=decontam.WINDOW):
+    """(doc_id, item_id) where a document holds a window of an item, or all of a shorter one."""
+    norm = lambda t: re.findall(r"(?:[a-z0-9]|[^\x00-\x7f])+", re.sub("[A-ZÀ-ÖØ-Þ]", lambda m: m.group(0).lower(), t or ""))
+    out = set()
+    docs = [(i, " " + " ".join(norm(t)) + " ") for i, t in rows]
+    for item, t in items:
+        w = norm(t)
+        for k in range(max(1, len(w) - window + 1) if w else 0):
+            p = " " + " ".join(w[k : k + window]) + " "
+            out |= {(i, item) for i, d in docs if p in d}
+    return out
+
+
+def test_benchmark_passages(spark, documents, texts, sf_dir):
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    items = [(r.item_id, r.text) for r in bench.collect()]
+    rows = decontam.contamination(documents, bench).collect()
+    want = passages_by_force(texts.items(), items)
+    assert {(r.doc_id, r.item_id) for r in rows} == want and want
+    by = dict(items)
+    for r in rows:
+        got = " ".join(re.findall(r"\w+", texts[r.doc_id][r.start : r.end].lower()))
+        assert got in " ".join(re.findall(r"\w+", by[r.item_id].lower())) or r.words >= decontam.WINDOW
+    left = {r.doc_id for r in decontam.decontaminate(documents, bench).collect()}
+    assert left == set(texts) - {i for i, _ in want}
+
+
+def test_benchmark_awkward(spark, awkward, empty, monkeypatch):
+    base = next(t for i, t, *_ in awkward_rows() if i == 1)
+    half = " ".join(base.split()[40:60]).upper().replace(" ", " -- ")
+    items = [(1, half), (2, None), (3, ""), (None, base), (4, "x"), (5, "привет"), (6, half), (7, prose(30, 99))]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    rows = [(i, t) for i, t, *_ in awkward_rows()]
+    want = passages_by_force(rows, [x for x in items if x[0] is not None])
+    assert {(1, 1), (11, 6), (9, 4), (13, 5)} <= want
+    assert {(r.doc_id, r.item_id) for r in decontam.contamination(awkward, bench).collect()} == want
+    kept = decontam.decontaminate(awkward, bench)
+    assert kept.columns == awkward.columns
+    assert sorted(map(str, [r.doc_id for r in kept.collect()])) == sorted(str(i) for i, t in rows if i not in {x for x, _ in want})
+    nothing = spark.createDataFrame([], "item_id bigint, text string")
+    assert decontam.contamination(awkward, nothing).count() == 0 and decontam.contamination(empty, bench).count() == 0
+    monkeypatch.setattr(decontam, "AUTOMATON_BYTES", 100)
+    assert {(r.doc_id, r.item_id) for r in decontam.contamination(awkward, bench).collect()} == want
+
+
+def test_offsets_point_into_the_original(spark):
+    item = "one two three four five six seven eight nine ten eleven"
+    text = "Été — 🙂 junk. ONE,two\nthree four   five six; seven eight nine ten ELEVEN! rest"
+    docs, bench = spark.createDataFrame([(1, text)], "doc_id bigint, text string"), spark.createDataFrame([(9, item)], "item_id bigint, text string")
+    r = decontam.contamination(docs, bench).first()
+    assert text[r.start : r.end] == "ONE,two\nthree four   five six; seven eight nine ten ELEVEN" and r.words == 11
+    random.seed(0)
