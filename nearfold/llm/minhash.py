@@ -34,9 +34,9 @@ from .store import keep_keys, materialize
 from .textcol import TextBatch, mix, segments, shingles, slices
 
 SHINGLE = 3
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 40, 4
 THRESHOLD = 0.5
-#: Estimates this far below the threshold are still verified (about three standard errors of 128 registers).
+#: Estimates this far below the threshold are still verified (about three standard errors of 160 registers).
 SLACK = 0.13
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 SEED = 0x5E7

@@ -91,16 +91,16 @@ def test_sketches_merge_and_estimate():
 
 
 def test_band_recall():
-    """Of pairs just above the threshold, at least nine in ten share a band."""
+    """Of pairs at the threshold, nine in ten share a band."""
     r = np.random.default_rng(2)
-    hit, n = 0, 300
+    hit, n = 0, 600
     for _ in range(n):
-        pool = r.integers(0, 2**63, 150).astype(np.uint64)
-        a, b = pool[:125], pool[25:]  # similarity 2/3
-        k = minhash.registers(np.concatenate((a, b)), np.array([0, 125]))
+        pool = r.integers(0, 2**63, 300).astype(np.uint64)
+        a, b = pool[:225], pool[75:]  # similarity 1/2
+        k = minhash.registers(np.concatenate((a, b)), np.array([0, 225]))
         keys = minhash._bands(pa.array([x.astype("<u2").tobytes() for x in k], pa.binary()))
         hit += bool((keys[0] == keys[1]).any())
-    assert hit / n > 0.9
+    assert hit / n > 0.89
 
 
 @pytest.mark.parametrize("edges", [[(i, i + 1) for i in range(40)], [(5, 1), (1, 5), (7, 7), (9, 8), (None, 3)], [(0, i) for i in range(1, 30)] + [(50, 51)], []])
