@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .store import keep_keys, materialize
-from .textcol import TextBatch, mix, segments, shingles, slices
+from .textcol import TextBatch, mix, modest_batches, segments, shingles, slices
 
 SHINGLE = 3
 BANDS, ROWS = 40, 4
@@ -195,6 +195,7 @@ def _one_text_each(docs: DataFrame) -> DataFrame:
 
 def duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each document that its group doesn't keep: doc_id, duplicate_of (the one kept), group_size."""
+    modest_batches(docs.sparkSession)
     docs = _one_text_each(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL"))
     sketches = materialize(docs.mapInArrow(_sketch, SKETCH))
     member_of = materialize(sketches.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.collect_list("doc_id").alias("docs")).select("node", "docs"))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .minhash import _one_text_each
 from .store import keep_keys, materialize
-from .textcol import TextBatch, mix, segments, slices
+from .textcol import TextBatch, mix, modest_batches, segments, slices
 
 WINDOW = 50
 PHRASE = 25
@@ -195,6 +195,7 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_passages(docs: DataFrame, shard_phrases: int = SHARD_PHRASES) -> DataFrame:
     """One row for each repeated passage of a document: doc_id, start, end (characters), words."""
+    modest_batches(docs.sparkSession)
     docs = _one_text_each(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL"))
     parsed = materialize(docs.mapInArrow(_distinct, "doc_id bigint, h1 bigint, h2 bigint, phrases array<bigint>"))
     member_of = materialize(parsed.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.collect_list("doc_id").alias("docs")).select("node", "docs"))

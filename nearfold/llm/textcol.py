@@ -11,9 +11,19 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
+#: Rows of an Arrow batch where the session has Spark's default of 10,000, which whole documents would make hundreds of MB.
+BATCH_ROWS = 512
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def modest_batches(spark: SparkSession | None) -> None:
+    """Lower the session's Arrow batch size from Spark's default; a size that the user chose stays."""
+    if spark is not None and spark.conf.get(_ROWS) == "10000":
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
 
 
 def arrow_column(fn: Callable, kind: str, *args):
@@ -22,6 +32,8 @@ def arrow_column(fn: Callable, kind: str, *args):
     ``fn`` is a top-level function, so that workers import it and its module's caches live as long as they do.
     """
 
+    modest_batches(SparkSession.getActiveSession())
+
     def column(text: pa.Array) -> pa.Array:
         return fn(text, *args)
 

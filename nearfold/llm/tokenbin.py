@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .textcol import slices
+from .textcol import modest_batches, slices
 
 BLOCK = 1 << 16
 LANES = 64
@@ -298,6 +298,7 @@ def write_blocks(docs: DataFrame, path: str = bpe.VOCABULARY) -> DataFrame:
     ``stream`` and ``block`` number them; ``first_doc`` is the number, within the stream, of the first of
     ``doc_ids``; ``doc_tokens`` counts each one's ids here. A document that continues has the same number.
     """
+    modest_batches(docs.sparkSession)
     sent, key = bpe.send(docs, path)
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(lambda it: _blocks(it, sent, key), BLOCKS)
 
