@@ -18,6 +18,7 @@ import math
 import random
 import re
 import uuid
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -269,12 +270,13 @@ def detect_all(texts: list[str], model: dict) -> list[list[tuple[int, int, str,
         own = p[at : at + len(spans)]
         at += len(spans)
         likely = sorted(((round(q, 4), b - a, -a, k) for (a, b, k), q in zip(spans, own) if q >= model["limits"][k]), reverse=True)
-        taken: list[tuple[int, int, str, float]] = []
+        taken: list[tuple[int, int, str, float]] = []  # ascending, without overlap
         for q, n, a, k in likely:
             a = -a
-            if all(a + n <= s or a >= e for s, e, _, _ in taken):
-                taken.append((a, a + n, k, q))
-        out.append(sorted(taken))
+            i = bisect_left(taken, (a,))
+            if (i == 0 or taken[i - 1][1] <= a) and (i == len(taken) or a + n <= taken[i][0]):
+                taken.insert(i, (a, a + n, k, q))
+        out.append(taken)
     return out
 
 

@@ -109,6 +109,7 @@ class TextBatch:
         self.off = off - off[0]
         self._words = None
         self._folded = None
+        self._counted: tuple[int, np.ndarray | None] = (-1, None)
 
     @property
     def folded(self) -> np.ndarray:
@@ -149,7 +150,12 @@ class TextBatch:
 
     def char_at(self, row: int, at: int) -> int:
         """The character offset in text ``row`` of byte ``at`` of the array."""
-        return int(np.count_nonzero((self.data[self.off[row] : at] & 0xC0) != 0x80))
+        a = int(self.off[row])
+        if int(self.off[row + 1]) - a < 1 << 16:
+            return int(np.count_nonzero((self.data[a:at] & 0xC0) != 0x80))
+        if self._counted[0] != row:  # a long text may be asked often
+            self._counted = row, np.concatenate(([0], np.cumsum((self.data[a : self.off[row + 1]] & 0xC0) != 0x80)))
+        return int(self._counted[1][at - a])
 
 
 def segments(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
