@@ -154,6 +154,41 @@ def test_simhash_votes():
     assert rows.tolist() == [0, 1, 4] and prints[0] == prints[1]
 
 
+def test_simhash_blocks_leave_no_pair_out():
+    r = np.random.default_rng(4)
+    base = r.integers(0, 2**63, 40).astype(np.uint64)
+    near = np.concatenate([base] + [base ^ np.bitwise_or.reduce(np.uint64(1) << r.integers(0, 64, (k, 40)).astype(np.uint64)) for k in range(1, 16)])
+    for radius, blocks in ((simhash.RADIUS, simhash.BLOCKS), (10, 3), (8, 4), (3, 6), (5, 2)):
+        i, j = simhash.pairs_within(near, near, radius, blocks)
+        want = np.argwhere(np.bitwise_count(near[:, None] ^ near[None]) <= radius)
+        assert sorted(zip(i.tolist(), j.tolist())) == sorted(map(tuple, want.tolist()))
+
+
+def test_simhash_groups_leave_no_pair_out(spark, documents, monkeypatch):
+    monkeypatch.setattr(simhash, "GROUP", 40)
+    got = [tuple(r) for r in simhash.near_documents(documents).collect()]
+    assert len(got) == len(set(got)) and set(got) == near_by_force(rows_of(documents), simhash.RADIUS)
+
+
+def test_simhash_recalls_planted_near_copies(spark):
+    """Copies with some words replaced, 3-gram similarity 0.5 to 0.97, and unrelated texts."""
+    r = np.random.default_rng(5)
+    pool = np.array([f"{z}{a}{b}{c}" for z in ("", "ga", "pol", "ri", "mes", "tu", "ano", "ke") for a in "bdfgklmnprst" for b in ("a", "e", "io", "u", "ei") for c in ("n", "rt", "ss", "", "ling", "mo")])
+    rows, planted = [], []
+    for k in range(300):
+        base = r.choice(pool, int(r.integers(100, 400))).tolist()
+        copy = list(base)
+        for at in r.choice(len(base), max(1, int(len(base) * r.uniform(0.01, 0.1))), replace=False):
+            copy[at] = str(r.choice(pool)) + "x"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+        x, y = ({tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in (base, copy))
+        if len(x & y) >= 0.5 * len(x | y):
+            planted.append((2 * k, 2 * k + 1))
+    got = {(r.doc_a, r.doc_b) for r in simhash.near_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert len(planted) > 200 and len(got & set(planted)) >= 0.9 * len(planted)
+    assert len(got - {(2 * k, 2 * k + 1) for k in range(300)}) < 0.0001 * len(rows) ** 2 / 2
+
+
 def passages_by_force(rows):
     w, owner, shared, parsed = substring.WINDOW, {}, set(), {}
     for i, t in rows:
