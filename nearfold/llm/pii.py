@@ -1,6 +1,8 @@
 """PII: generators propose overlapping spans, boosted trees score them, calibrated thresholds redact.
 
-The generators are regular expressions of high recall, one for each kind. Every candidate is described
+The generators are regular expressions of high recall, one or two for each kind; a phone, card or IBAN is
+proposed from every group of digits or letters it may start at to every one it may end at, so that neighbours
+hide nothing. Every candidate is described
 by features of its format (digits, separators, check digits, entropy) and of its context (words and
 characters around it); gradient-boosted trees turn them into a probability. Each kind has its own
 threshold, calibrated on held-out rows. Of overlapping candidates above their thresholds the likelier
@@ -31,18 +33,22 @@ KINDS = ("email", "phone", "ip", "card", "ssn", "iban", "secret")
 _WORDISH = r"[^\W_]"
 GENERATORS: list[tuple[str, re.Pattern]] = [
     ("email", re.compile(r"[\w.+%\-]{1,64}@[\w\-]{1,63}(?:\.[\w\-]{1,63}){0,6}")),
-    ("phone", re.compile(r"(?<![\w.])(?:\+|\(|\b)\(?\d(?:[ .()/\-]{0,3}\d){6,14}(?!\w)")),
+    ("phone", re.compile(r"(?=((?<![\w.])(?:\+|\(|\b)\(?\d(?:[ .()/\-]{0,3}\d){6,14}(?!\w)))")),
     ("ip", re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d)(?!\.\d)")),
     ("ip", re.compile(r"(?<![\w:])(?:[0-9a-fA-F]{1,4}:){4,7}[0-9a-fA-F]{1,4}(?![\w:])")),
-    ("card", re.compile(r"(?<!\d)\d(?:[ \-]?\d){12,18}(?!\d)")),
-    ("ssn", re.compile(r"(?<![\d\-])\d{3}[\- ]\d{2}[\- ]\d{4}(?![\d\-])")),
-    ("iban", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?!\w)")),
+    ("card", re.compile(r"(?=((?<!\d)\d(?:[ \-]?\d){12,18}(?!\d)))")),
+    ("ssn", re.compile(r"(?=((?<![\d\-])\d{3}[\- ]\d{2}[\- ]\d{4}(?![\d\-])))")),
+    ("iban", re.compile(r"(?=((?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?!\w)))")),
     ("secret", re.compile(r"(?<![^\s\"'=:(])(?=[^\s\"']*\d)[\w+/\-.]{8,200}(?![\w+/@])")),
     ("secret", re.compile(r"(?i)(?:token|secret|passw(?:or)?d|pwd|key|bearer|credential)s?[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"',;]{6,200})")),
 ]
+#: Digits (letters too in an IBAN) of a reading at least; readings start and end at any group of them.
+_LEAST = {"phone": 7, "card": 13, "iban": 15}
+_GROUP = re.compile(r"[^\W_]+")
 FEATURES = [f"is_{k}" for k in KINDS] + [
     "length", "digits", "digit_share", "letter_share", "upper_share", "separators", "luhn", "issuer", "octets", "iban_sum", "entropy", "plus", "bracket",
     "dotted_host", "hex", "before_phone", "before_card", "before_version", "before_secret", "before_record", "before_hash", "joined", "dates", "dots",
+    "groups", "first_group", "last_group", "number_before", "number_after", "mark_before", "balanced", "dialled", "plus_before",
 ]
 _BEFORE = [
     re.compile(r"(?i)\b(?:tel|phone|call|fax|mobile|cell|ring)"),
@@ -53,6 +59,10 @@ _BEFORE = [
     re.compile(r"(?i)\b(?:commit|sha\d*|md5|checksum|digest|hash|etag|uuid|file)\W{0,3}$"),
 ]
 _DATE = re.compile(r"(?:19|20)\d\d[\-/.](?:0?[1-9]|1[0-2])[\-/.]")
+_NUMBER_BEFORE = re.compile(r"\d[ .()/\-]{1,3}$")
+_NUMBER_AFTER = re.compile(r"[ .()/\-]{1,3}\d")
+_PLUS_BEFORE = re.compile(r"\+\d{1,3}[ .\-(]{0,2}$")
+_DIALLED = re.compile(r"(?:(?:\+\d{1,3}|1)[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}|0\d(?:[ .\-]\d\d){4}|\+\d{1,3}(?:[ .\-]?\d){8,12}")
 _ISSUER = re.compile(r"4|5[1-5]|2[2-7]|3[47]|36|30|6011|65")
 
 
@@ -80,10 +90,12 @@ def propose(text: str) -> list[tuple[int, int, str]]:
                 b -= 1
             if b > a:
                 found.add((a, b, kind))
-            if kind in ("phone", "card"):  # another number may follow: every shorter reading too
-                for gap in re.finditer(r"\s+", text[a:b]):
-                    if sum(c.isdigit() for c in text[a : a + gap.start()]) >= (7 if kind == "phone" else 13):
-                        found.add((a, a + gap.start(), kind))
+            if kind in _LEAST:  # another number or word may follow: every shorter reading too
+                n, last = 0, a
+                for part in _GROUP.finditer(text, a, b):
+                    if n >= _LEAST[kind]:
+                        found.add((a, last, kind))
+                    n, last = n + part.end() - part.start(), part.end()
     return sorted(found)
 
 
@@ -97,6 +109,7 @@ def features(text: str, start: int, end: int, kind: str) -> list[float]:
     for c in s:
         counts[c] = counts.get(c, 0) + 1
     octets = s.split(".")
+    groups = _GROUP.findall(s) or [""]
     return [
         *(float(kind == k) for k in KINDS),
         min(n, 100), min(len(digits), 40), len(digits) / n, letters / n, sum(c.isupper() for c in s) / n, sum(not c.isalnum() for c in s),
@@ -105,6 +118,8 @@ def features(text: str, start: int, end: int, kind: str) -> list[float]:
         -sum(v / n * math.log2(v / n) for v in counts.values()), float(s[:1] == "+"), float("(" in s), float("@" in s and "." in s.rsplit("@", 1)[1].strip(".")),
         float(n >= 16 and all(c in "0123456789abcdefABCDEF" for c in s)), *(float(bool(p.search(before))) for p in _BEFORE),
         float(after.isalnum() or before[-1:].isalnum() or before[-1:] in ("$", "€", "£", ".")), float(bool(_DATE.search(s))), s.count("."),
+        min(len(groups), 12), min(len(groups[0]), 40), min(len(groups[-1]), 40), float(bool(_NUMBER_BEFORE.search(before))), float(bool(_NUMBER_AFTER.match(text[end : end + 4]))),
+        float(before[-1:] in ("-", "+", "(", "/")), float(s.count("(") == s.count(")")), float(bool(_DIALLED.fullmatch(s))), float(bool(_PLUS_BEFORE.search(before))),
     ]
 
 
@@ -176,7 +191,8 @@ def examples(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]]]]:
         body = "".join(d(4) for _ in range(r.randint(3, 5)))
         land = r.choice(("DE", "FR", "ES", "GB", "NL"))
         check = 98 - int("".join(str(int(c, 36)) for c in body + land + "00")) % 97
-        return f"{land}{check:02d}{body}"
+        s = f"{land}{check:02d}{body}"
+        return s if r.random() < 0.6 else " ".join(s[i : i + 4] for i in range(0, len(s), 4))
 
     octet = lambda: str(r.randint(1, 255))
     makers = [
@@ -221,10 +237,15 @@ def examples(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]]]]:
         more, also = "", None
         if kind != "secret" and not head.endswith(chr(34)) and r.random() < 0.1:  # another number follows
             more = r.choice((" ", ", "))
-            also, value2 = r.choice(((None, d(4)), (None, card(False)), ("ip", ".".join(octet() for _ in range(4))), ("phone", f"+1 ({d(3)}) {d(3)}-{d(4)}")))
-        if r.random() < 0.08 and kind not in ("iban",):
-            head, value, tail = head.upper(), value.upper(), tail.upper()
-        spans = [(len(head), len(head) + len(value), kind)] if kind else []
+            also, value2 = r.choice(((None, d(4)), (None, d(2)), (None, word().upper()), (None, card(False)), ("card", card(True)), ("phone", f"{d(3)}-{d(3)}-{d(4)}"), ("ip", ".".join(octet() for _ in range(4))), ("phone", f"+1 ({d(3)}) {d(3)}-{d(4)}")))
+        if r.random() < (0.3 if kind == "iban" else 0.08):
+            head, value, tail = head.upper(), value.upper(), (" " if kind == "iban" and r.random() < 0.5 else "") + tail.upper()
+        spans = []
+        if kind in ("phone", "card", "iban") and r.random() < 0.25 or not kind and value[:1].isdigit() and not lead and r.random() < 0.1:  # a number or an upper-case word stands before
+            front, first = r.choice(((None, d(2)), (None, d(1)), (None, str(r.randint(1950, 2030))), (None, word().upper()), ("phone", f"{d(3)}-{d(3)}-{d(4)}"), ("phone", f"({d(3)}) {d(3)}-{d(4)}"), ("card", card(True))))
+            spans += [(len(head), len(head) + len(first), front)] if front else []
+            head += first + " "
+        spans += [(len(head), len(head) + len(value), kind)] if kind else []
         text = head + value + more
         if more:
             spans += [(len(text), len(text) + len(value2), also)] if also else []

@@ -113,6 +113,30 @@ def test_redactions(model, text, want):
     assert pii.redact(text, pii.detect(text, model)) == want
 
 
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("in 2024 555-123-4567", "in 2024 [PHONE]"),
+        ("555-123-4567 555-987-6543", "[PHONE] [PHONE]"),
+        ("room 12 (415) 555-2671 now", "room 12 [PHONE] now"),
+        ("paid 12 4111 1111 1111 1111 today", "paid 12 [CARD] today"),
+        ("2023 4111 1111 1111 1111", "2023 [CARD]"),
+        ("order 77 4111111111111111", "order 77 [CARD]"),
+        ("4111 1111 1111 1111 12 of them", "[CARD] 12 of them"),
+        ("DE89370400440532013000 AND THEN", "[IBAN] AND THEN"),
+        ("PAY TO DE89 3704 0044 0532 0130 00 AND THEN", "PAY TO [IBAN] AND THEN"),
+    ],
+)
+def test_neighbours_hide_nothing(model, text, want):
+    assert pii.redact(text, pii.detect(text, model)) == want
+
+
+def test_every_planted_number_is_proposed():
+    for text, spans in pii.examples(6000, 77):
+        missing = [s for s in spans if s[2] in ("phone", "card", "iban") and s not in pii.propose(text)]
+        assert not missing, (text, missing)
+
+
 def test_documents_are_redacted(spark, documents, texts, model):
     got = {r.doc_id: r for r in pii.find(documents, model).collect()}
     patterns = {"email": r"[\w.]+@[\w.]+\w", "phone": r"\+1 \(\d{3}\) \d{3}-\d{4}", "secret": r'(?i)token = "(\w{40})"'}
