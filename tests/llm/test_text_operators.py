@@ -137,6 +137,15 @@ def test_every_planted_number_is_proposed():
         assert not missing, (text, missing)
 
 
+@pytest.mark.parametrize("before,after", [("key ", ""), ("key=", ""), ("token ", " then"), ("token=", ""), ('api_key: "', '" end'), ("Bearer ", ", then"), ('password = "', '"')])
+@pytest.mark.parametrize("lengths", [[201], [400], [3000], [36, 240, 43]])
+def test_long_secrets_are_redacted_whole(model, before, after, lengths):
+    r = random.Random(6)
+    long = ".".join("".join(r.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789") for _ in range(n)) for n in lengths)
+    text = f"here {before}{long}{after}"
+    assert pii.redact(text, pii.detect(text, model)) == f"here {before}[SECRET]{after}"
+
+
 def test_documents_are_redacted(spark, documents, texts, model):
     got = {r.doc_id: r for r in pii.find(documents, model).collect()}
     patterns = {"email": r"[\w.]+@[\w.]+\w", "phone": r"\+1 \(\d{3}\) \d{3}-\d{4}", "secret": r'(?i)token = "(\w{40})"'}
