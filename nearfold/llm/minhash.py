@@ -14,10 +14,14 @@ In a band with many nodes, each is first compared with the smallest one, which j
 copies in as many comparisons as it has members. Then all pairs in the band that the first comparisons
 left in different components are compared, so no candidate is skipped that could join two components.
 
+A document here is a distinct pair of doc_id and text, so rows that repeat an id with another text are
+compared like all others. Rows carry a hash of their text, computed in the JVM, which tells them apart.
+
 Defined results: null texts are no duplicates of anything, and neither are texts without words; a text
-shorter than a shingle is one shingle of all its words; rows that repeat a doc_id count as one document
-with the first of its texts by value; rows without doc_id are ignored by ``duplicates`` and kept by
-``drop_duplicates``; a group keeps its smallest doc_id; other columns are never read.
+shorter than a shingle is one shingle of all its words; very long texts are sketched whole, slice by slice;
+equal rows are one document; rows without a doc_id that is a whole number are ignored by ``duplicates``
+and kept by ``drop_duplicates``; a group keeps its smallest doc_id, of texts with that id the first by
+hash; other columns are never read; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -26,11 +30,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import keep_keys, materialize
+from .store import doc_key, fresh, keep_keys, materialize, release
 from .textcol import TextBatch, mix, modest_batches, segments, shingles, slices
 
 SHINGLE = 3
@@ -40,6 +44,8 @@ THRESHOLD = 0.5
 SLACK = 0.13
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 SEED = 0x5E7
+#: Keys of shared bands (16 bytes each) that may be broadcast; more are joined by a shuffle.
+BROADCAST_BANDS = 2_000_000
 _LOG_B = float(np.log(BASE))
 
 
@@ -99,13 +105,13 @@ def _sets(part: pa.Array) -> tuple[TextBatch, np.ndarray, np.ndarray, np.ndarray
     return batch, words, own, begin
 
 
-SKETCH = "doc_id bigint, h1 bigint, h2 bigint, sketch binary"
+SKETCH = "doc_id bigint, t bigint, h1 bigint, h2 bigint, sketch binary"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of texts with words: two hashes of the word sequence, and the registers."""
     for b in batches:
-        ids, at = b.column("doc_id"), 0
+        ids, marks, at = b.column("doc_id"), b.column("t"), 0
         for part in slices(b.column("text")):
             batch, words, own, begin = _sets(part)
             rows, start = segments(begin)
@@ -117,8 +123,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     h2 = np.add.reduceat(mix((words ^ np.uint64(0xD1B54A32D192ED03)) + place * np.uint64(0xAEF17502108EF2D9)), first[:-1][rows])
                 k = registers(own, start).astype("<u2")
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(rows + at)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array([r.tobytes() for r in k], pa.binary())],
-                    ["doc_id", "h1", "h2", "sketch"],
+                    [ids.take(pa.array(rows + at)), marks.take(pa.array(rows + at)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array([r.tobytes() for r in k], pa.binary())],
+                    ["doc_id", "t", "h1", "h2", "sketch"],
                 )
             at += len(part)
 
@@ -149,12 +155,11 @@ def _estimate(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Re
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each document's distinct shingles as sorted 64-bit numbers."""
     for b in batches:
-        ids, at = b.column("node"), 0
+        ids, marks, at = b.column("doc_id"), b.column("t"), 0
         for part in slices(b.column("text")):
             _, _, own, begin = _sets(part)
-            yield pa.RecordBatch.from_arrays(
-                [ids.slice(at, len(part)), pa.array([np.unique(own[begin[i] : begin[i + 1]]).tobytes() for i in range(len(part))], pa.binary())], ["node", "grams"]
-            )
+            grams = pa.array([np.unique(own[begin[i] : begin[i + 1]]).tobytes() for i in range(len(part))], pa.binary())
+            yield pa.RecordBatch.from_arrays([ids.slice(at, len(part)), marks.slice(at, len(part)), grams], ["doc_id", "t", "grams"])
             at += len(part)
 
 
@@ -169,60 +174,72 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+def rows_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, t, text) of the rows with both, t a hash of the text."""
+    return docs.select(doc_key(), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("t"), "text")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a < b) of nodes whose estimate and then whose exact similarity reach the threshold."""
     left, right = (nodes.select(F.col("node").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
     likely = materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(lambda it: _estimate(it, threshold - SLACK), "a bigint, b bigint"))
-    wanted = materialize(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct())
-    texts = keep_keys(docs.select(F.col("doc_id").alias("node"), "text"), wanted, "node").groupBy("node").agg(F.min("text").alias("text"))
-    grams = materialize(texts.mapInArrow(_shingle_sets, "node bigint, grams binary"))
+    ends = materialize(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct())
+    wanted = materialize(keep_keys(nodes.select("node", "doc_id", "t"), ends, "node"))
+    texts = keep_keys(rows, wanted.select("doc_id", "t"), ["doc_id", "t"])
+    grams = materialize(texts.mapInArrow(_shingle_sets, "doc_id bigint, t bigint, grams binary").join(wanted, ["doc_id", "t"]).select("node", "grams"))
     left, right = (grams.select(F.col("node").alias(c), F.col("grams").alias(f"g{c}")) for c in "ab")
-    return materialize(likely.join(left, "a").join(right, "b").select("a", "b", "ga", "gb").mapInArrow(lambda it: _verify(it, threshold), "a bigint, b bigint"))
-
-
-def _repeated(docs: DataFrame) -> DataFrame | None:
-    """The doc_ids that several rows have, or None."""
-    ids = materialize(docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id"))
-    return None if ids.isEmpty() else ids
-
-
-def _one_text_each(docs: DataFrame) -> DataFrame:
-    again = _repeated(docs)
-    if again is None:
-        return docs
-    return keep_keys(docs, again, "doc_id", "left_anti").unionByName(keep_keys(docs, again, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
+    found = materialize(likely.join(left, "a").join(right, "b").select("a", "b", "ga", "gb").mapInArrow(lambda it: _verify(it, threshold), "a bigint, b bigint"))
+    release(likely, ends, wanted, grams)
+    return found
 
 
-def duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each document that its group doesn't keep: doc_id, duplicate_of (the one kept), group_size."""
+def _members(docs: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, t, first, size) of all documents in groups of several; first has the group's first doc_id and t."""
     modest_batches(docs.sparkSession)
-    docs = _one_text_each(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL"))
-    sketches = materialize(docs.mapInArrow(_sketch, SKETCH))
-    member_of = materialize(sketches.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.collect_list("doc_id").alias("docs")).select("node", "docs"))
-    nodes = materialize(sketches.join(member_of.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "sketch"))
-    band = Window.partitionBy("key")
-    bands = nodes.mapInArrow(_band_rows, "key bigint, node bigint").withColumns({"n": F.count("*").over(band), "least": F.min("node").over(band)})
-    shared = materialize(bands.filter("n > 1").select("key", "node", "least"))
+    rows = rows_of(docs)
+    # Written once, so that the numbers of the rows stay.
+    sketches = materialize(rows.mapInArrow(_sketch, SKETCH).withColumn("node", F.monotonically_increasing_id()))
+    heads = sketches.groupBy("h1", "h2").agg(F.min("node").alias("head"))
+    placed = materialize(sketches.select("node", "doc_id", "t", "h1", "h2").join(heads, ["h1", "h2"]).select("node", "doc_id", "t", "head"))
+    nodes = materialize(sketches.join(placed.filter("node = head").select("node"), "node", "left_semi").select("node", "doc_id", "t", "sketch"))
+    release(sketches)
+    bands = nodes.mapInArrow(_band_rows, "key bigint, node bigint")
+    keys = materialize(bands.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1").select("key", "least"))
+    several = F.broadcast(keys) if keys.count() <= BROADCAST_BANDS else keys
+    shared = materialize(bands.join(several, "key"))
     first = shared.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    edges = _verified(first, nodes, docs, threshold)
+    edges = _verified(first, nodes, rows, threshold)
     labels = components(edges)
-    placed = shared.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-    open_keys = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-    rest = materialize(placed.join(open_keys, "key"))
+    labelled = shared.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+    open_keys = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
+    rest = materialize(labelled.join(open_keys, "key", "left_semi"))
     x, y = rest.select("key", F.col("node").alias("a"), F.col("c").alias("ca")), rest.select("key", F.col("node").alias("b"), F.col("c").alias("cb"))
-    second = x.join(y, "key").filter("a < b AND ca <> cb").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    labels = components(edges.unionByName(_verified(second, nodes, docs, threshold)))
-    groups = member_of.join(labels, "node", "left").select(F.coalesce("component", "node").alias("kept"), F.explode("docs").alias("doc_id"))
-    size = groups.groupBy("kept").agg(F.count("*").alias("group_size"), F.min("doc_id").alias("duplicate_of")).filter("group_size > 1")
-    return groups.join(size, "kept").filter("doc_id <> duplicate_of").select("doc_id", "duplicate_of", "group_size")
+    second = materialize(x.join(y, "key").filter("a < b AND ca <> cb").select("a", "b").distinct().join(first, ["a", "b"], "left_anti"))
+    if not second.isEmpty():
+        more = _verified(second, nodes, rows, threshold)
+        labels = components(edges.unionByName(more))
+        release(more)
+    release(keys, shared, rest, second, nodes, edges)
+    grouped = placed.join(labels.withColumnRenamed("node", "head"), "head", "left").select("doc_id", "t", F.coalesce("component", "head").alias("group")).distinct()
+    size = grouped.groupBy("group").agg(F.count("*").alias("size"), F.min(F.struct("doc_id", "t")).alias("first")).filter("size > 1")
+    return grouped.join(size, "group").select("doc_id", "t", "first", "size")
+
+
+def duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row for each document that its group doesn't keep: doc_id, duplicate_of (the one kept), group_size."""
+    found = _members(docs, threshold).select("doc_id", F.col("first.doc_id").alias("duplicate_of"), F.col("size").alias("group_size"))
+    return found.filter("doc_id <> duplicate_of").distinct()
 
 
 def drop_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents, with all their columns, without those that ``duplicates`` lists; of rows equal in doc_id and text one stays."""
-    gone = materialize(duplicates(docs, threshold).select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")))
-    kept = keep_keys(docs, gone, "doc_id", "left_anti").select(docs.columns)
-    again = _repeated(docs)
-    if again is None:
-        return kept
-    single, several = (keep_keys(kept, again, "doc_id", how).select(docs.columns) for how in ("left_anti", "left_semi"))
-    return single.unionByName(several.dropDuplicates(["doc_id", "text"]))
+    """The documents, with all their columns, without those that their groups don't keep; of equal rows one stays."""
+    found = _members(docs, threshold)
+    key, mark = fresh("__key", docs.columns), fresh("__mark", docs.columns)
+    gone = materialize(found.filter("first.doc_id <> doc_id OR first.t <> t").select(F.col("doc_id").alias(key), F.col("t").alias(mark)))
+    marked = docs.withColumns({key: doc_key(), mark: F.xxhash64("text")})
+    kept = keep_keys(marked, gone, [key, mark], "left_anti")
+    again = materialize(marked.filter(F.col(key).isNotNull()).groupBy(key).count().filter("count > 1").select(key))
+    if again.isEmpty():
+        return kept.select(docs.columns)
+    single, several = (keep_keys(kept, again, key, how) for how in ("left_anti", "left_semi"))
+    return single.select(docs.columns).unionByName(several.dropDuplicates([key, mark]).select(docs.columns))

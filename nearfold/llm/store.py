@@ -4,37 +4,68 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; one of our own only where it is unset (tests)."""
+    """The folder that ``spark.checkpoint.dir`` names. Where that is unset, a folder of our own in a session
+    without other machines; RuntimeError in any other session, whose executors would not see it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="nearfold-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+#: Where the tables of this driver's ``materialize`` lie, by the id of their frame.
+_PATHS: dict[int, tuple[DataFrame, str]] = {}
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(back)] = back, path
+    return back
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more."""
+    for table in tables:
+        spark, (_, path) = table.sparkSession, _PATHS.pop(id(table))
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def fresh(name: str, columns: Iterable[str]) -> str:
+    """``name`` with as many underscores as it takes to clash with no column; Spark minds no case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def doc_key() -> Column:
+    """doc_id as BIGINT; null where it is no whole number."""
+    return F.col("doc_id").try_cast("bigint").alias("doc_id")
 
 
 #: Rows of one BIGINT that may be broadcast (about 64 MB); larger key sets are joined by a shuffle.
 BROADCAST_KEYS = 4_000_000
 
 
-def keep_keys(df: DataFrame, keys: DataFrame, column: str, how: str = "left_semi") -> DataFrame:
-    """Semi or anti join with a materialized one-column key table, broadcast only after its rows are counted."""
-    if keys.count() <= BROADCAST_KEYS:
+def keep_keys(df: DataFrame, keys: DataFrame, columns: str | list[str], how: str = "left_semi") -> DataFrame:
+    """Semi or anti join with a materialized table of keys, broadcast only after its rows are counted."""
+    if keys.count() * (len(columns) if isinstance(columns, list) else 1) <= BROADCAST_KEYS:
         keys = F.broadcast(keys)
-    return df.join(keys, column, how)
+    return df.join(keys, columns, how)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

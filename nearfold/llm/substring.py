@@ -1,22 +1,24 @@
-"""Repeated passages: sharded Aho-Corasick automata of recurring phrases, confirmed window by window.
+"""Repeated passages: recurring phrases, sharded Aho-Corasick automata, windows confirmed over documents.
 
 A passage is repeated where every run of ``WINDOW`` words in it occurs in at least two documents.
 
 1. Phrases: from each distinct document those runs of ``PHRASE`` words whose smallest 3-word hash comes
    first or last in them. That depends on their words alone, so a phrase is chosen in every document
    that holds it; and any ``WINDOW`` words hold at least one. Phrases of at least two documents recur.
-2. Automata: the recurring phrases are sharded by the first document that holds them; each shard
-   compiles one automaton of at most about ``SHARD_PHRASES`` phrases. The documents that hold phrases
-   of a shard are streamed through it (no other document can match), which locates every occurrence.
+2. Automata: all documents are dealt to shards. A shard's automaton, over words as letters, is compiled from
+   all recurring phrases of its documents, at most about ``SHARD_PHRASES``, and every document of the shard is
+   streamed through it, whether it holds a phrase or not, which locates every occurrence. A phrase of many documents is in
+   the automata of many shards, so none is hot, and each document is streamed once however many there are.
 3. Confirmation: the ``WINDOW``-word runs around the occurrences are counted over documents; those of
    two or more are repeated, and their union gives the spans.
 
 Documents with the same words are searched once; if they have ``WINDOW`` words, they are repeated whole.
 
 Defined results: case and punctuation don't count (see ``textcol``); null, empty and shorter texts have
-no spans; a passage repeated within one document only isn't reported; rows that repeat a doc_id are one
-document with the first of its texts by value; rows without doc_id are left out; other columns are
-never read.
+no spans; a passage repeated within one document only isn't reported; equal rows are one document, and rows that
+repeat a doc_id with another text are documents of their own, whose spans all carry that id; rows without a
+doc_id that is a whole number are left out; very long texts are streamed whole; other columns are never read;
+an empty table gives no spans.
 """
 
 from __future__ import annotations
@@ -26,17 +28,19 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .minhash import _one_text_each
-from .store import keep_keys, materialize
+from .minhash import rows_of
+from .store import keep_keys, materialize, release
 from .textcol import TextBatch, mix, modest_batches, segments, slices
 
 WINDOW = 50
 PHRASE = 25
 PART = 3
-SHARD_PHRASES = 4000
+#: Phrases of one automaton, about, and bytes of text of one shard (one text may exceed either).
+SHARD_PHRASES = 60_000
+SHARD_BYTES = 8 << 20
 _Q = np.uint64(0xC6A4A7935BD1E995)
 _Q_INV = np.uint64(pow(int(_Q), -1, 1 << 64))
 
@@ -77,7 +81,7 @@ def phrases(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts of at least ``WINDOW`` words: two hashes of their words, and the chosen phrases' hashes."""
     for b in batches:
-        ids, at = b.column("doc_id"), 0
+        ids, marks, at = b.column("doc_id"), b.column("t"), 0
         for part in slices(b.column("text")):
             batch = TextBatch(part)
             words, first = batch.word_hashes(), batch.words[2]
@@ -91,81 +95,78 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 long = np.diff(first)[rows] >= WINDOW
                 keep = rows[long]
                 own = [hashes[cut[r] : cut[r + 1]].view(np.int64) for r in keep.tolist()]
+                where = pa.array(keep + at)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(keep + at)), pa.array(h1[long].view(np.int64)), pa.array(h2[long].view(np.int64)), pa.array([np.unique(x) for x in own], pa.list_(pa.int64()))],
-                    ["doc_id", "h1", "h2", "phrases"],
+                    [ids.take(where), marks.take(where), pa.array(h1[long].view(np.int64)), pa.array(h2[long].view(np.int64)), pa.array([np.unique(x) for x in own], pa.list_(pa.int64()))],
+                    ["doc_id", "t", "h1", "h2", "phrases"],
                 )
             at += len(part)
 
 
+def letters(words: np.ndarray) -> str:
+    """Words as the letters of an automaton: 20 bits of each hash. What it finds is confirmed by whole hashes."""
+    return ((words >> np.uint64(44)).astype("<u4") + np.uint32(0x10000)).tobytes().decode("utf-32-le")
+
+
 class Shard:
-    """One automaton, built from texts with the hashes of their recurring phrases, then only searched."""
+    """Texts with the hashes of their recurring phrases; one automaton of the phrases, then all texts through it."""
 
     def __init__(self) -> None:
+        self.nodes: list[int | None] = []
+        self.words: list[np.ndarray] = []
         self.auto = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        self.ready = False
 
-    def add(self, part: pa.Array, wanted: list[list[int]]) -> None:
+    def add(self, part: pa.Array, nodes: list[int | None], wanted: list[list[int] | None]) -> None:
         batch = TextBatch(part)
         words, first = batch.word_hashes(), batch.words[2]
         chosen, hashes = phrases(words, first)
-        out, _, begin = batch.normalized()
-        blank = np.flatnonzero(out == 32)
+        cut = np.searchsorted(chosen, first)
+        text = letters(words)
         for row, own in enumerate(wanted):
-            mine = slice(*np.searchsorted(chosen, first[row : row + 2]))
-            pick = chosen[mine][np.isin(hashes[mine].view(np.int64), own)]
-            for w in np.unique(pick).tolist():
-                a = int(begin[row]) if w == first[row] else int(blank[w - 1]) + 1
-                self.auto.add_word(" " + out[a : int(blank[w + PHRASE - 1]) + 1].tobytes().decode("latin-1"))
-
-    def search(self, part: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each text with occurrences: row, begins of the windows around them, and the windows' hashes."""
-        if not self.ready:
-            if len(self.auto):
-                self.auto.make_automaton()
-            self.ready = True
+            self.nodes.append(nodes[row])
+            self.words.append(words[first[row] : first[row + 1]])
+            if own:
+                mine = slice(cut[row], cut[row + 1])
+                for w in chosen[mine][np.isin(hashes[mine].view(np.int64), own)].tolist():
+                    self.auto.add_word(text[w : w + PHRASE])
+
+    def search(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each text with occurrences: its node, begins of the windows around them, and the windows' hashes."""
         if not len(self.auto):
             return
-        batch = TextBatch(part)
-        words, first = batch.word_hashes(), batch.words[2]
-        out, _, begin = batch.normalized()
-        text = out.tobytes().decode("latin-1")
-        blank = np.flatnonzero(out == 32)
-        for row in range(batch.n):
-            a, b = int(begin[row]), int(begin[row + 1])
-            ends = [e for e, _ in self.auto.iter(" " + text[a:b])] if b > a else []
-            n = int(first[row + 1] - first[row])
-            if not ends or n < WINDOW:
+        self.auto.make_automaton()
+        for node, words in zip(self.nodes, self.words):
+            n = len(words)
+            ends = [e for e, _ in self.auto.iter(letters(words))]
+            if node is None or not ends or n < WINDOW:
                 continue
-            last = np.searchsorted(blank, a + np.array(ends) - 1) - int(first[row])  # the last word of each occurrence
+            last = np.array(ends)
             around = np.zeros(n + 2, np.int64)
             np.add.at(around, np.maximum(last + 1 - WINDOW, 0), 1)
             np.add.at(around, last - PHRASE + 2, -1)
             at = np.flatnonzero(np.cumsum(around)[: n - WINDOW + 1] > 0)
             if len(at):
-                yield row, at, runs(words[first[row] : first[row + 1]], WINDOW)[at]
+                yield node, at, runs(words, WINDOW)[at]
+
 
+def _windows(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The texts of a task in shards, one after the other. Texts without a node have an equal one elsewhere."""
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by shard, the texts that give phrases (phase 0) before those to search (phase 1)."""
-    shard, current = None, None
+    def found(shard: Shard) -> Iterator[pa.RecordBatch]:
+        for node, begins, hashes in shard.search():
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(np.full(len(begins), node, np.int64)), pa.array(begins.astype(np.int32))], ["h", "node", "at"])
+
+    shard, size = Shard(), 0
     for b in batches:
-        shards, phases = b.column("shard").to_numpy(), b.column("phase").to_numpy()
-        cuts = np.concatenate(([0], np.flatnonzero((shards[1:] != shards[:-1]) | (phases[1:] != phases[:-1])) + 1, [b.num_rows]))
-        for lo, hi in zip(cuts.tolist(), cuts[1:].tolist()):
-            if lo == hi:
-                continue
-            if shards[lo] != current:
-                current, shard = shards[lo], Shard()
-            at = lo
-            for part in slices(b.column("text").slice(lo, hi - lo)):
-                if phases[lo] == 0:
-                    shard.add(part, b.column("phrases").slice(at, len(part)).to_pylist())
-                else:
-                    for row, begins, hashes in shard.search(part):
-                        node = b.column("node")[at + row].as_py()
-                        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(np.full(len(begins), node, np.int64)), pa.array(begins.astype(np.int32))], ["h", "node", "at"])
-                at += len(part)
+        nodes, wanted, at = b.column("node").to_pylist(), b.column("phrases").to_pylist(), 0
+        for part in slices(b.column("text")):
+            shard.add(part, nodes[at : at + len(part)], wanted[at : at + len(part)])
+            size += part.nbytes
+            at += len(part)
+            if len(shard.auto) >= most or size >= SHARD_BYTES:
+                yield from found(shard)
+                shard, size = Shard(), 0
+    yield from found(shard)
 
 
 SPANS = "doc_id bigint, start int, end int, words int"
@@ -196,25 +197,24 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_passages(docs: DataFrame, shard_phrases: int = SHARD_PHRASES) -> DataFrame:
     """One row for each repeated passage of a document: doc_id, start, end (characters), words."""
     modest_batches(docs.sparkSession)
-    docs = _one_text_each(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL"))
-    parsed = materialize(docs.mapInArrow(_distinct, "doc_id bigint, h1 bigint, h2 bigint, phrases array<bigint>"))
-    member_of = materialize(parsed.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.collect_list("doc_id").alias("docs")).select("node", "docs"))
-    nodes = parsed.join(member_of.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    same = Window.partitionBy("h")
-    held = nodes.select(F.explode("phrases").alias("h"), F.col("doc_id").alias("node")).withColumns({"home": F.min("node").over(same), "last": F.max("node").over(same)})
-    recurring = materialize(held.filter("home < last").select("h", "node", "home"))
-    shards = max(1, -(-recurring.filter("node = home").count() // shard_phrases))
-    shard = F.pmod(F.xxhash64("home"), F.lit(shards)).cast("int").alias("shard")
-    sources = recurring.filter("node = home").groupBy("home").agg(F.collect_list("h").alias("phrases")).select(shard, F.col("home").alias("node"), F.lit(0).alias("phase"), "phrases")
-    searched = recurring.select(shard, "node").distinct().select("shard", "node", F.lit(1).alias("phase"), F.lit(None).cast("array<bigint>").alias("phrases"))
-    work = materialize(sources.unionByName(searched))
-    texts = docs.select(F.col("doc_id").alias("node"), "text")
-    chosen = materialize(keep_keys(texts, materialize(work.select("node").distinct()), "node"))
-    streamed = work.join(chosen, "node").select("shard", "phase", "node", "phrases", "text").repartition(shards, "shard").sortWithinPartitions("shard", "phase")
-    windows = streamed.mapInArrow(_windows, "h bigint, node bigint, at int")
-    shared = windows.withColumns({"lo": F.min("node").over(same), "hi": F.max("node").over(same)}).filter("lo < hi")
-    found = shared.groupBy("node").agg(F.collect_set("at").alias("begins"))
-    spans = member_of.join(found, "node", "left").filter("begins IS NOT NULL OR size(docs) > 1")
-    spans = materialize(spans.select(F.explode("docs").alias("doc_id"), F.when(F.size("docs") == 1, F.col("begins")).alias("begins")))
-    wanted = keep_keys(docs, spans.select("doc_id"), "doc_id")
-    return wanted.join(spans, "doc_id").select("doc_id", "begins", "text").mapInArrow(_spans, SPANS)
+    rows = rows_of(docs)
+    # Written once, so that the numbers of the rows stay.
+    parsed = materialize(rows.mapInArrow(_distinct, "doc_id bigint, t bigint, h1 bigint, h2 bigint, phrases array<bigint>").withColumn("node", F.monotonically_increasing_id()))
+    mark = F.struct("doc_id", "t")
+    heads = parsed.groupBy("h1", "h2").agg(F.min("node").alias("head"), (F.min(mark) != F.max(mark)).alias("several"))
+    placed = materialize(parsed.select("node", "doc_id", "t", "h1", "h2").join(heads, ["h1", "h2"]).select("node", "doc_id", "t", "head", "several"))
+    heads = placed.filter("node = head").select("node", "doc_id", "t")
+    held = materialize(parsed.select("node", F.explode("phrases").alias("h")).join(heads.select("node"), "node", "left_semi"))
+    release(parsed)
+    ends = lambda x: x.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("h")
+    own = held.join(ends(held), "h", "left_semi").groupBy("node").agg(F.collect_list("h").alias("phrases"))
+    wanted = materialize(heads.join(own, "node", "left"))
+    release(held)
+    streamed = rows.join(wanted, ["doc_id", "t"], "left").select("node", "phrases", "text")
+    windows = materialize(streamed.mapInArrow(lambda it: _windows(it, shard_phrases), "h bigint, node bigint, at int"))
+    found = windows.join(ends(windows), "h", "left_semi").groupBy("node").agg(F.collect_set("at").alias("begins"))
+    spans = placed.join(found.withColumnRenamed("node", "head"), "head", "left").filter("begins IS NOT NULL OR several")
+    spans = materialize(spans.select("doc_id", "t", F.when(~F.col("several"), F.col("begins")).alias("begins")).dropDuplicates(["doc_id", "t"]))
+    release(placed, wanted, windows)
+    texts = keep_keys(rows, spans.select("doc_id", "t"), ["doc_id", "t"]).dropDuplicates(["doc_id", "t"])
+    return texts.join(spans, ["doc_id", "t"]).select("doc_id", "begins", "text").mapInArrow(_spans, SPANS)

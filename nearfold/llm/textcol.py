@@ -1,11 +1,13 @@
 """Whole Arrow string columns as byte arrays: folding, words and word hashes without a loop over rows.
 
-A word is a run of ASCII letters and digits and of bytes of any non-ASCII character.
-Folding lowers ASCII and Latin-1 letters. Null texts count as empty ones.
+A word is a run of letters, marks and digits of any script; in scripts that are written without blanks
+(``ALONE``) every such character is a word of its own. Everything else parts words. Folding lowers the
+letters of all scripts whose small form takes as many bytes. Null texts count as empty ones.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -40,10 +42,32 @@ def arrow_column(fn: Callable, kind: str, *args):
     return F.arrow_udf(column, kind)
 
 
-_WORD = np.zeros(256, bool)
-_WORD[0x80:] = True
-for _a, _b in ((48, 58), (65, 91), (97, 123)):
-    _WORD[_a:_b] = True
+WORD, LETTER, OWN = 1, 2, 4
+#: First and last code points of scripts without blanks between words: Thai to Myanmar, Khmer, kana, Han.
+ALONE = ((0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF))
+_FLAG = {"L": WORD | LETTER, "M": WORD, "N": WORD}
+#: Flags and small forms of the code points below 0x800, and of all of them once a text needs them.
+_KNOWN: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _code_points(below: int) -> tuple[np.ndarray, np.ndarray]:
+    if below not in _KNOWN:
+        flags = np.fromiter((_FLAG.get(unicodedata.category(chr(c))[0], 0) for c in range(below)), np.uint8, below)
+        for first, last in ALONE:
+            own = flags[first : last + 1]
+            own[own > 0] |= OWN
+        small = np.arange(below, dtype=np.uint32)
+        for c in range(below):
+            if flags[c] & LETTER and not 0xD800 <= c < 0xE000:
+                low = chr(c).lower()
+                if len(low) == 1 and low != chr(c) and len(low.encode()) == len(chr(c).encode()):
+                    small[c] = ord(low)
+        _KNOWN[below] = flags, small
+    return _KNOWN[below]
+
+
+_ASCII_FLAGS = np.zeros(256, np.uint8)
+_ASCII_FLAGS[:128] = _code_points(0x800)[0][:128]
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
@@ -109,28 +133,67 @@ class TextBatch:
         self.off = off - off[0]
         self._words = None
         self._folded = None
+        self._flags = None
         self._counted: tuple[int, np.ndarray | None] = (-1, None)
 
+    def _classify(self) -> None:
+        d = self.data
+        flags, folded = _ASCII_FLAGS[d], _FOLD[d]
+        lead = np.flatnonzero(d >= 0xC0)
+        if len(lead):
+            head = d[lead]
+            for low, high, more, mask in ((0xC0, 0xE0, 1, 0x1F), (0xE0, 0xF0, 2, 0x0F), (0xF0, 0x100, 3, 0x07)):
+                at = lead[(head >= low) & (head < high)]
+                if not len(at):
+                    continue
+                cp = d[at].astype(np.uint32) & mask
+                for k in range(1, more + 1):
+                    cp = (cp << np.uint32(6)) | (d[at + k] & 0x3F)
+                known, small = _code_points(0x800 if more == 1 else 0x110000)
+                kind, to = known[cp], small[cp]
+                for k in range(more + 1):
+                    flags[at + k] = kind
+                change = np.flatnonzero(to != cp)
+                if len(change):
+                    x, to = at[change], to[change]
+                    for k in range(more, 0, -1):
+                        folded[x + k] = 0x80 | (to & 0x3F)
+                        to = to >> np.uint32(6)
+                    folded[x] = (d[x] & np.uint8(0xFF ^ mask)) | to.astype(np.uint8)
+        self._flags, self._folded = flags, folded
+
+    @property
+    def flags(self) -> np.ndarray:
+        """Of every byte, whether its character is WORD, LETTER, OWN."""
+        if self._flags is None:
+            self._classify()
+        return self._flags
+
     @property
     def folded(self) -> np.ndarray:
         if self._folded is None:
-            d = self.data
-            out = _FOLD[d]
-            if len(d) > 1:
-                upper = (d[:-1] == 0xC3) & (d[1:] >= 0x80) & (d[1:] <= 0x9E) & (d[1:] != 0x97)
-                out[1:] += upper.view(np.uint8) << np.uint8(5)
-            self._folded = out
+            self._classify()
         return self._folded
 
     @property
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of the words in the byte array, and the first word of every text (n + 1 entries)."""
         if self._words is None:
-            m = np.zeros(len(self.data) + 1, np.int8)
-            m[1:] = _WORD[self.data]
+            flags = self.flags
+            m = np.zeros(len(flags) + 1, np.int8)
+            m[1:] = flags & WORD
             step = np.diff(m)
-            starts = np.flatnonzero(step == 1)
-            ends = np.flatnonzero(step == -1)
+            alone = np.flatnonzero(flags & OWN)
+            if len(alone):
+                first = alone[(self.data[alone] & 0xC0) != 0x80]
+                after = alone[(flags[alone + 1] & WORD > 0) & ((self.data[alone + 1] & 0xC0) != 0x80)] + 1
+                begin, end = step == 1, step == -1
+                begin[first] = True
+                begin[after] = True
+                end |= begin & (m[:-1] == 1)
+                starts, ends = np.flatnonzero(begin), np.flatnonzero(end)
+            else:
+                starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
             self._words = starts, ends, np.searchsorted(starts, self.off)
         return self._words
 
@@ -140,12 +203,11 @@ class TextBatch:
 
     def normalized(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Folded words with one blank after each; where each byte came from; the first byte of every text."""
-        keep = _WORD[self.data]
-        ends = self.words[1]
-        keep[ends] = True
-        place = np.flatnonzero(keep)
+        starts, ends, _ = self.words
+        size = ends - starts + 1
+        place = np.arange(int(size.sum())) + np.repeat(starts - (np.cumsum(size) - size), size)
         out = self.folded[place]
-        out[~_WORD[out]] = 32
+        out[np.cumsum(size) - 1] = 32
         return out, place, np.searchsorted(place, self.off)
 
     def char_at(self, row: int, at: int) -> int:

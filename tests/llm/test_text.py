@@ -1,6 +1,7 @@
 """The byte-array view of text columns against plain string code."""
 
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -9,15 +10,28 @@ from hypothesis import strategies as st
 
 from nearfold.llm.textcol import TextBatch, range_hash, shingles, slices
 
-text = st.lists(st.one_of(st.none(), st.text(alphabet="aBz09 .,\nÉéñß東🙂'-", max_size=30)), max_size=12)
+text = st.lists(st.one_of(st.none(), st.text(alphabet="aBz09 .,\nÉéñßΣПривет東京アกิ’—  ؟。Ⅻ۴\u0301🙂'-", max_size=30)), max_size=12)
 
 
-def fold(s):
-    return "".join(c.lower() if c.isascii() or "À" <= c <= "Þ" else c for c in s)
+def fold(c):
+    small = c.lower()
+    return small if len(small) == 1 and len(small.encode()) == len(c.encode()) and unicodedata.category(c)[0] == "L" else c
 
 
 def words_of(s):
-    return re.findall(r"(?:[A-Za-z0-9]|[^\x00-\x7f])+", fold(s or ""))
+    """Words by plain string code: runs of letters, marks and digits, but Han, kana and Thai characters alone."""
+    out, own = [], ""
+    for c in [*(s or ""), " "]:
+        inside = unicodedata.category(c)[0] in "LMN"
+        alone = inside and re.match(r"[\u0e00-\u0e7f\u3040-\u30ff\u4e00-\u9fff]", c)
+        if own and (alone or not inside):
+            out.append(own)
+            own = ""
+        if alone:
+            out.append(c)
+        elif inside:
+            own += fold(c)
+    return out
 
 
 @settings(max_examples=150, deadline=None)
@@ -55,3 +69,11 @@ def test_shingles_of_short_and_long_texts():
     own, begin = shingles(b.word_hashes(), b.words[2], 3)
     assert np.diff(begin).tolist() == [2, 0, 0, 1, 1, 1]
     assert own[1] == own[3] and len(set(own.tolist())) == 4
+
+
+def test_punctuation_and_case_of_all_scripts():
+    column = ["It’s “good” — now", "it's good now", "ПРИВЕТ, МИР", "привет мир", "東京。大阪", "東京大阪"]
+    b = TextBatch(pa.array(column))
+    out, _, begin = b.normalized()
+    got = [out[x:y].tobytes().decode() for x, y in zip(begin, begin[1:])]
+    assert got[0] == got[1] == "it s good now " and got[2] == got[3] == "привет мир " and got[4] == got[5] == "東 京 大 阪 "
