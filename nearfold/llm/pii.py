@@ -10,8 +10,14 @@ one stays, then the longer.
 
 The trees are trained here, on rows that ``examples`` makes from a seed; no document is read for it.
 
-Defined results: null and empty texts hold nothing and stay as they are; a text is processed whole;
-repeated rows are each treated alike; other columns are kept but never read.
+All generators take time in proportion to the text: runs of a character class are taken whole, from their
+beginning only, and numbers have a length that bounds them.
+
+Defined results: null and empty texts hold nothing and stay as they are; a text, however long, is processed whole;
+repeated rows are each treated alike; of two equally likely and equally long overlapping candidates the
+first one stays, of two on the same span the last kind by name; an empty table gives no rows. ``find`` reads doc_id and text only, whatever
+doc_id's type; ``redact_documents`` keeps all columns and, where there is an n_chars, sets it to the new
+length of a text that it changed.
 """
 
 from __future__ import annotations
@@ -21,30 +27,34 @@ import random
 import re
 import uuid
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .textcol import TextBatch, arrow_column, segments, slices
+from .store import fresh
+from .textcol import TextBatch, arrow_column, modest_batches, segments, slices
 
 KINDS = ("email", "phone", "ip", "card", "ssn", "iban", "secret")
 _WORDISH = r"[^\W_]"
 GENERATORS: list[tuple[str, re.Pattern]] = [
-    ("email", re.compile(r"[\w.+%\-]{1,64}@[\w\-]{1,63}(?:\.[\w\-]{1,63}){0,6}")),
+    ("email", re.compile(r"(?<![\w.+%\-])[\w.+%\-]++@[\w\-]++(?:\.[\w\-]++)*+")),
     ("phone", re.compile(r"(?=((?<![\w.])(?:\+|\(|\b)\(?\d(?:[ .()/\-]{0,3}\d){6,14}(?!\w)))")),
     ("ip", re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d)(?!\.\d)")),
     ("ip", re.compile(r"(?<![\w:])(?:[0-9a-fA-F]{1,4}:){4,7}[0-9a-fA-F]{1,4}(?![\w:])")),
     ("card", re.compile(r"(?=((?<!\d)\d(?:[ \-]?\d){12,18}(?!\d)))")),
     ("ssn", re.compile(r"(?=((?<![\d\-])\d{3}[\- ]\d{2}[\- ]\d{4}(?![\d\-])))")),
     ("iban", re.compile(r"(?=((?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?!\w)))")),
-    ("secret", re.compile(r"(?<![^\s\"'=:(])(?=[^\s\"']*\d)[\w+/\-.]{8,}(?![\w+/@])")),
-    ("secret", re.compile(r"(?i)(?:token|secret|passw(?:or)?d|pwd|key|bearer|credential)s?[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"',;]{6,})")),
+    ("secret", re.compile(r"(?<![^\s\"'=:(])[\w+/\-.]{8,}+(?!@)")),
+    ("secret", re.compile(r"(?i)(?:token|secret|passw(?:or)?d|pwd|key|bearer|credential)s?[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"',;]{6,}+)")),
 ]
 #: Digits (letters too in an IBAN) of a reading at least; readings start and end at any group of them.
 _LEAST = {"phone": 7, "card": 13, "iban": 15}
 _GROUP = re.compile(r"[^\W_]+")
+_DIGIT = re.compile(r"\d")
 FEATURES = [f"is_{k}" for k in KINDS] + [
     "length", "digits", "digit_share", "letter_share", "upper_share", "separators", "luhn", "issuer", "octets", "iban_sum", "entropy", "plus", "bracket",
     "dotted_host", "hex", "before_phone", "before_card", "before_version", "before_secret", "before_record", "before_hash", "joined", "dates", "dots",
@@ -88,7 +98,7 @@ def propose(text: str) -> list[tuple[int, int, str]]:
             a, b = m.span(group)
             while b > a and text[b - 1] in ".-!?#*$%&:)":
                 b -= 1
-            if b > a:
+            if b > a and (group or kind != "secret" or _DIGIT.search(text, a, b)):  # a bare secret holds a digit
                 found.add((a, b, kind))
             if kind in _LEAST:  # another number or word may follow: every shorter reading too
                 n, last = 0, a
@@ -322,7 +332,7 @@ def redact(text: str, spans: list[tuple[int, int, str, float]]) -> str:
     return "".join([*out, text[at:]])
 
 
-FOUND = "struct<spans:array<struct<start:int,end:int,kind:string,score:double>>,redacted:string>"
+FOUND = "spans array<struct<start:int,end:int,kind:string,score:double>>, redacted string"
 _FOUND = pa.struct([("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("score", pa.float64())]))), ("redacted", pa.string())])
 _MODELS: dict[str, dict] = {}
 #: Every candidate of every generator holds one of these bytes or follows one.
@@ -330,8 +340,8 @@ _MARKS = np.zeros(256, bool)
 _MARKS[[*range(48, 58), ord("@"), ord("="), ord(":")]] = True
 
 
-def _found(text: pa.Array, sent, key: str) -> pa.Array:
-    """Null where nothing is found."""
+def _scan(text: pa.Array, sent, key: str) -> list[dict | None]:
+    """What each text holds; None where nothing is found."""
     if key not in _MODELS:
         _MODELS.clear()
         _MODELS[key] = sent.value
@@ -346,26 +356,38 @@ def _found(text: pa.Array, sent, key: str) -> pa.Array:
             if spans:
                 own[row] = {"spans": [dict(zip(("start", "end", "kind", "score"), s)) for s in spans], "redacted": redact(t, spans)}
         out += own
-    return pa.array(out, _FOUND)
+    return out
+
+
+def _redacted(text: pa.Array, sent, key: str) -> pa.Array:
+    return pa.array((x and x["redacted"] for x in _scan(text, sent, key)), pa.string())
+
+
+def _hits(batches: Iterator[pa.RecordBatch], sent, key: str) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = _scan(b.column("text"), sent, key)
+        rows = [k for k, x in enumerate(found) if x]
+        if rows:
+            own = pa.array([found[k] for k in rows], _FOUND)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(rows)), own.field("spans"), own.field("redacted")], ["doc_id", "spans", "redacted"])
 
 
-def found_column(docs: DataFrame, text: Column, model: dict | None = None) -> Column:
-    sent = docs.sparkSession.sparkContext.broadcast(model or train())
-    return arrow_column(_found, FOUND, sent, uuid.uuid4().hex)(text)
+def _send(docs: DataFrame, model: dict | None) -> tuple:
+    return docs.sparkSession.sparkContext.broadcast(model or train()), uuid.uuid4().hex
 
 
 def find(docs: DataFrame, model: dict | None = None) -> DataFrame:
     """One row for each document with personal data: doc_id, spans (characters, kind, score), redacted text."""
-    hits = docs.select("doc_id", found_column(docs, F.col("text"), model).alias("x")).filter("x IS NOT NULL")
-    return hits.select("doc_id", "x.*")
+    modest_batches(docs.sparkSession)
+    sent, key = _send(docs, model)
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *T.StructType.fromDDL(FOUND).fields])
+    return docs.select("doc_id", "text").mapInArrow(lambda it: _hits(it, sent, key), schema)
 
 
 def redact_documents(docs: DataFrame, model: dict | None = None) -> DataFrame:
     """The documents with all their columns, redacted; n_chars, where it exists, counts the new text."""
-    flag = "__pii"
-    while flag in docs.columns:
-        flag += "_"
-    text = F.coalesce(F.col(flag).getField("redacted"), F.col("text"))
-    out = docs.withColumn(flag, found_column(docs, F.col("text"), model))
+    flag = fresh("__pii", docs.columns)
+    text = F.coalesce(F.col(flag), F.col("text"))
+    out = docs.withColumn(flag, arrow_column(_redacted, "string", *_send(docs, model))(F.col("text")))
     changed = {"text": text} | ({"n_chars": F.when(F.col(flag).isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {})
     return out.withColumns(changed).select(docs.columns)

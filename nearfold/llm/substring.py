@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .minhash import rows_of
 from .store import keep_keys, materialize, release
-from .textcol import TextBatch, mix, modest_batches, segments, slices
+from .textcol import TextBatch, letters, mix, modest_batches, segments, slices
 
 WINDOW = 50
 PHRASE = 25
@@ -103,11 +103,6 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at += len(part)
 
 
-def letters(words: np.ndarray) -> str:
-    """Words as the letters of an automaton: 20 bits of each hash. What it finds is confirmed by whole hashes."""
-    return ((words >> np.uint64(44)).astype("<u4") + np.uint32(0x10000)).tobytes().decode("utf-32-le")
-
-
 class Shard:
     """Texts with the hashes of their recurring phrases; one automaton of the phrases, then all texts through it."""
 

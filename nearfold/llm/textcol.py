@@ -220,6 +220,11 @@ class TextBatch:
         return int(self._counted[1][at - a])
 
 
+def letters(words: np.ndarray) -> str:
+    """Words as the letters of an automaton: 20 bits of each hash. What it finds is to be confirmed by whole hashes."""
+    return ((words >> np.uint64(44)).astype("<u4") + np.uint32(0x10000)).tobytes().decode("utf-32-le")
+
+
 def segments(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of ``first`` (n + 1 starts): the rows that aren't empty, and their starts, as reduceat wants them."""
     rows = np.flatnonzero(first[1:] > first[:-1])
