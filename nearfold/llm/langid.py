@@ -1,29 +1,35 @@
 """Language identification: script ranges narrow candidates, Viterbi over word scores labels spans.
 
 Every word is scored for every language with byte trigrams. The script of its first character narrows
-the languages that may claim it to those that use the script in the training rows; a word that no
-language may claim is ``und``. The best path through the words, where each change of language costs
-``SWITCH``, gives the spans.
+the languages that may claim it to those that use the script in the training rows. Against them competes
+``und`` with a floor that every trigram would have to better: the floor is what the labelled rows themselves
+reach, all but the lowest ``LOW`` of them, less ``SLACK`` nats a trigram. So text of other languages, and junk in a
+known script, is ``und``. The best path through the words, where each change of language costs
+``SWITCH`` (and so does beginning with ``und``), gives the spans. Words without letters say nothing.
 
 A text in which one language's path can't be bettered by any detour (no run of words gains more than
 one change costs, by a bound over all languages) gets that path at once; for all others the Viterbi
 recursion runs. Both give the same best path.
 
-Defined results: null texts, empty texts and texts without words are ``und`` with no spans; null or
-empty labels are not trained on; with no labelled row at all every text is ``und``; ties go to the
-first language by name; repeated rows are labelled each; other columns are not read.
+Defined results: null texts, empty texts and texts without words are ``und`` with no spans, texts of words without
+letters ``und`` with one; very long texts are labelled whole; null or empty labels are not trained on; with no
+labelled row at all every text is ``und``; ties go to the first language by name, ``und`` last; repeated rows are
+labelled each; other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textcol import TextBatch, arrow_column, segments, slices
+from .store import fresh, materialize, release
+from .textcol import LETTER, TextBatch, arrow_column, modest_batches, segments, slices
 
 #: Cost of a change of language, in nats.
 SWITCH = 12.0
@@ -36,6 +42,12 @@ SCRIPT_SHARE = 0.01
 BITS = 16
 UND = "und"
 SHUT = np.float32(-50.0)
+#: The share of labelled rows that may lie below the floor of ``und``, and nats a trigram from there down to it.
+LOW, SLACK = 0.001, 1.5
+#: Trigrams of a labelled row that counts for the floor, at least.
+LEAST_TRIGRAMS = 30
+#: What a word without letters scores as ``und``: enough to decide between nothing and nothing.
+HINT = np.float32(0.01)
 
 LABEL = "struct<lang:string,share:double,spans:array<struct<start:int,end:int,lang:string>>>"
 _LABEL = pa.struct([("lang", pa.string()), ("share", pa.float64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])))])
@@ -59,49 +71,93 @@ for _second in range(0x80, 0xC0):
     _SCRIPT[(0xE3 << 8) + _second] = 7 if _second in (0x81, 0x82, 0x83) else 8 if _second >= 0x90 else 10
 
 
-def _units(batch: TextBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Trigram codes of the normalised bytes, where each word's begin, each text's first word, each word's script."""
-    out, _, first = batch.normalized()
-    starts, _, word_first = batch.words
+def _units(batch: TextBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Trigram codes of the normalised bytes (0: not counted), where each word's begin, each text's first word,
+    each word's script and whether it has letters."""
+    out, _, _ = batch.normalized()
+    starts, ends, word_first = batch.words
+    if not len(starts):
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64), word_first, np.zeros(0, np.uint8), np.zeros(0, bool)
     around = np.concatenate(([32], out, [32])).astype(np.uint32)
     code = (around[:-2] * np.uint32(0x9E3779B1)) ^ (around[1:-1] * np.uint32(0x85EBCA6B)) ^ (around[2:] * np.uint32(0xC2B2AE35))
     code = (code * np.uint32(0x27D4EB2F)) >> np.uint32(32 - BITS)
     code[out == 32] = 0  # a blank's own trigram would depend on the next word, or the next text
-    begins = np.concatenate(([0], np.flatnonzero(out == 32)[:-1] + 1)) if len(starts) else np.zeros(0, np.int64)
-    second = batch.data[np.minimum(starts + 1, len(batch.data) - 1)] if len(starts) else np.zeros(0, np.uint8)
-    script = _SCRIPT[(batch.data[starts].astype(np.uint32) << 8) | second]
-    return code, begins, word_first, script
+    lettered = (np.bitwise_or.reduceat(batch.flags, starts) & LETTER) > 0
+    size = ends - starts + 1
+    code[np.repeat(~lettered, size)] = 0
+    script = _SCRIPT[(batch.data[starts].astype(np.uint32) << 8) | batch.data[starts + 1]]
+    return code, np.cumsum(size) - size, word_first, script, lettered
+
+
+def counts(part: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """How often each trigram, and each script among lettered words, stands in a slice of texts."""
+    code, _, _, script, lettered = _units(TextBatch(part))
+    table = np.bincount(code, minlength=1 << BITS)
+    table[0] = 0
+    return table, np.bincount(script[lettered], minlength=len(SCRIPTS))
+
+
+def model_of(langs: list[str], table: np.ndarray, script: np.ndarray) -> dict:
+    """A model, as yet without a floor, from counts: trigrams x languages, scripts x languages."""
+    smooth = table + 0.1
+    log = np.log(smooth / smooth.sum(0))
+    usual = (table * log).sum(0) / np.maximum(table.sum(0), 1)  # of a trigram of the language itself
+    allowed = script / np.maximum(script.sum(0), 1) >= SCRIPT_SHARE
+    shut = np.zeros((len(SCRIPTS), len(langs) + 1))
+    shut[:, :-1][~allowed] = SHUT
+    return {"langs": [*langs, UND], "log": log, "usual": usual, "shut": shut.astype(np.float32)}
+
+
+def reached(part: pa.Array, langs: list[str], model: dict) -> np.ndarray:
+    """How far each text's mean trigram lies above what its language's usually has (NaN: too few, or no such language)."""
+    batch = TextBatch(part)
+    code, begins, first, _, _ = _units(batch)
+    out = np.full(batch.n, np.nan)
+    edge = np.append(begins, len(code))[first]
+    for row, lang in enumerate(langs):
+        own = code[edge[row] : edge[row + 1]]
+        own = own[own > 0]
+        if len(own) >= LEAST_TRIGRAMS and lang in model["langs"][:-1]:
+            k = model["langs"].index(lang)
+            out[row] = model["log"][own, k].mean() - model["usual"][k]
+    return out
+
+
+def finish(model: dict, low: float) -> dict:
+    """The model with the floor that follows from the labelled rows' ``low`` end."""
+    floor = (model["usual"].min() if len(model["usual"]) else 0.0) + min(low, 0.0) - SLACK
+    scores = (model["log"] - floor).astype(np.float32)
+    scores[0] = 0
+    return {"langs": model["langs"], "columns": list(np.ascontiguousarray(scores.T)), "shut": model["shut"]}
 
 
 def train(rows: list[tuple[str, str]]) -> dict:
-    """A model from (language, text) rows: trigram log probabilities, candidates of every script."""
+    """A model from (language, text) rows."""
     langs = sorted({lang for lang, _ in rows})
-    table = np.zeros((1 << BITS, len(langs)), np.float64)
-    script = np.zeros((len(SCRIPTS), len(langs)))
+    table, script = np.zeros((1 << BITS, len(langs))), np.zeros((len(SCRIPTS), len(langs)))
     for k, lang in enumerate(langs):
         for part in slices(pa.array([t for x, t in rows if x == lang])):
-            code, _, _, s = _units(TextBatch(part))
-            table[:, k] += np.bincount(code, minlength=1 << BITS)
-            script[:, k] += np.bincount(s, minlength=len(SCRIPTS))
-    table += 0.1
-    table[0] = 1.0
-    log = np.log(table / table.sum(0))
-    allowed = script / np.maximum(script.sum(0), 1) >= SCRIPT_SHARE
-    scores = (log - log.max(1, keepdims=True)).astype(np.float32) if langs else log
-    shut = np.zeros((len(SCRIPTS), len(langs) + 1))
-    shut[:, :-1][~allowed] = SHUT
-    shut[allowed.any(1), -1] = SHUT
-    return {"langs": [*langs, UND], "columns": list(np.ascontiguousarray(scores.T)), "shut": shut.astype(np.float32)}
+            a, b = counts(part)
+            table[:, k] += a
+            script[:, k] += b
+    model = model_of(langs, table, script)
+    far = [x for lang, t in rows for part in slices(pa.array([t])) for x in reached(part, [lang], model).tolist() if x == x]
+    return finish(model, float(np.quantile(far, LOW)) if far else 0.0)
 
 
 def word_scores(batch: TextBatch, model: dict) -> tuple[np.ndarray, np.ndarray]:
     """Scores, words x languages, and each text's first word."""
-    code, begins, first, script = _units(batch)
+    code, begins, first, script, lettered = _units(batch)
     if not len(begins):
         return np.zeros((0, len(model["langs"])), np.float32), first
     score = model["shut"][script]
     for k in range(score.shape[1] - 1):  # und scores nothing
         score[:, k] += np.add.reduceat(model["columns"][k][code], begins)
+    score[~lettered] = 0
+    score[~lettered, -1] = HINT
+    rows, begin = segments(first)
+    some = np.add.reduceat(lettered.astype(np.int64), begin) > 0
+    score[begin[some], -1] -= np.float32(SWITCH)
     return score, first
 
 
@@ -130,6 +186,7 @@ def viterbi(score: np.ndarray, switch: float) -> np.ndarray:
 
 
 def label(column: pa.Array, model: dict, switch: float = SWITCH) -> list[dict]:
+    """What ``LABEL`` says, of every text."""
     langs = model["langs"]
     und = len(langs) - 1
     found: list[dict] = []
@@ -190,12 +247,52 @@ def _label(text: pa.Array, sent, key: str, switch: float) -> pa.Array:
     return pa.array(label(text, _MODELS[key], switch), _LABEL)
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, code, n): trigrams, and from 1 << BITS on scripts, of a partition."""
+    found: dict[str, np.ndarray] = {}
+    for b in batches:
+        for lang in b.column("lang").unique().to_pylist():
+            own = found.setdefault(lang, np.zeros((1 << BITS) + len(SCRIPTS), np.int64))
+            for part in slices(b.column("text").filter(pc.equal(b.column("lang"), lang))):
+                table, script = counts(part)
+                own[: 1 << BITS] += table
+                own[1 << BITS :] += script
+    for lang, own in found.items():
+        at = np.flatnonzero(own)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(own[at])], ["lang", "code", "n"])
+
+
+def _reached(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        at = 0
+        for part in slices(b.column("text")):
+            far = reached(part, b.column("lang").slice(at, len(part)).to_pylist(), sent.value)
+            yield pa.RecordBatch.from_arrays([pa.array(far[~np.isnan(far)])], ["x"])
+            at += len(part)
+
+
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
-    """A model of ``docs.lang`` from about ``fit_rows`` rows, drawn by a hash of doc_id; whole texts are read."""
-    rows = docs.select(F.col("doc_id"), F.col("lang"), F.col("text")).filter("lang IS NOT NULL AND lang <> '' AND text IS NOT NULL AND doc_id IS NOT NULL")
-    share = min(1.0, fit_rows / max(1, rows.select("doc_id").count()))
-    drawn = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1))
-    return train([(r.lang, r.text) for r in drawn.select("lang", "text").collect()])
+    """A model of ``docs.lang`` from about ``fit_rows`` rows, drawn by a hash of doc_id; whole texts are read.
+
+    The rows stay on the executors: the driver gets their trigram counts, at most 65,536 for each label, and a quantile.
+    """
+    spark = docs.sparkSession
+    modest_batches(spark)
+    labelled = docs.filter("lang IS NOT NULL AND lang <> '' AND doc_id IS NOT NULL")
+    share = min(1.0, fit_rows / max(1, labelled.select(F.lit(1)).count()))
+    drawn = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1))
+    drawn = materialize(drawn.filter("text IS NOT NULL").select("lang", "text"))
+    found = drawn.mapInArrow(_counted, "lang string, code int, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
+    langs = sorted(found.lang.unique())
+    table = np.zeros(((1 << BITS) + len(SCRIPTS), len(langs)))
+    for k, lang in enumerate(langs):
+        own = found[found.lang == lang]
+        table[own.code.to_numpy(), k] = own.n.to_numpy()
+    model = model_of(langs, table[: 1 << BITS], table[1 << BITS :])
+    sent = spark.sparkContext.broadcast(model)
+    low = drawn.mapInArrow(lambda it: _reached(it, sent), "x double").agg(F.percentile("x", F.lit(LOW))).first()[0]
+    release(drawn)
+    return finish(model, low or 0.0)
 
 
 def label_column(model: dict, docs: DataFrame, text: Column, switch: float = SWITCH) -> Column:
@@ -212,7 +309,5 @@ def identify(docs: DataFrame, model: dict | None = None, switch: float = SWITCH)
 def keep_identified(docs: DataFrame, model: dict | None = None) -> DataFrame:
     """The documents, with all their columns, whose language is known; ``und`` is rejected."""
     model = model or fit(docs)
-    flag = "__lang"
-    while flag in docs.columns:
-        flag += "_"
+    flag = fresh("__lang", docs.columns)
     return docs.withColumn(flag, label_column(model, docs, F.col("text")).getField("lang")).filter(F.col(flag) != UND).drop(flag)

@@ -1,9 +1,11 @@
 """Language spans, personal data and benchmark passages."""
 
 import itertools
+import math
 import random
 import re
 import time
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -60,9 +62,54 @@ def i_even(i):
 
 
 def test_scripts_narrow(labelled):
-    model = langid.train([(lang, t) for _, lang, t in labelled] + [("ru", "привет как дела сегодня хорошо")])
-    got = langid.label(pa.array(["как хорошо", "東京 東京", "", None, "123", "?!"]), model)
-    assert [g["lang"] for g in got][:4] == ["ru", "und", "und", "und"] and got[5]["lang"] == "und" and got[2]["spans"] == []
+    model = langid.train([(lang, t) for _, lang, t in labelled] + [("ru", "привет как дела сегодня хорошо " * 4)])
+    got = langid.label(pa.array(["как дела хорошо", "東京 東京", "", None, "123", "?!", "2024 1999 17", "© ®"]), model)
+    assert [g["lang"] for g in got] == ["ru"] + ["und"] * 7
+    assert [len(g["spans"]) for g in got] == [1, 1, 0, 0, 1, 0, 1, 0] and all(g["share"] == 0 for g in got[1:])
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "Tất cả mọi người sinh ra đều được tự do và bình đẳng về nhân phẩm và quyền lợi.",
+        "q2hhVGx0dGlrZXMgYmFzZTY0 Zm9yIHN1cmUgdGhpcyBpcyBu b3QgYSBsYW5ndWFnZSBhdCBhbGw",
+        "xkcd qwrt zzpfk bvnmx wqrtz pkjhg vbnxz rtwqp mnbvx lkjhgf dsrtw qzxcv",
+    ],
+)
+def test_other_languages_and_junk_are_unknown(labelled, text):
+    model = langid.train([(lang, t) for _, lang, t in labelled])
+    english = next(t for _, lang, t in labelled if lang == "en" and 500 < len(t) < 3000)
+    alone, after = langid.label(pa.array([text, english + "\n" + text]), model)
+    assert alone["lang"] == "und"
+    assert after["lang"] == "en" and after["spans"][0]["lang"] == "en" and after["spans"][-1]["lang"] == "und"
+
+
+def test_word_scores_by_force(labelled):
+    """Trigrams counted and scored by plain code, word by word."""
+    rows = [(lang, t) for _, lang, t in labelled[:60]]
+    model = langid.train(rows)
+    langs = sorted({lang for lang, _ in rows})
+    hold = lambda x: x & 0xFFFFFFFF
+
+    def grams(word):
+        raw = b" " + word.encode() + b" "
+        return [hold((hold(a * 0x9E3779B1) ^ hold(b * 0x85EBCA6B) ^ hold(c * 0xC2B2AE35)) * 0x27D4EB2F) >> 16 for a, b, c in zip(raw, raw[1:], raw[2:])]
+
+    count = {x: Counter(g for lang, t in rows if lang == x for w in words_of(t) if re.search(r"[^\W\d_]", w) for g in grams(w) if g) for x in langs}
+    log = {x: lambda g, c=c, n=sum(c.values()): math.log((c[g] + 0.1) / (n + 0.1 * 65536)) for x, c in count.items()}
+    usual = {x: sum(n * log[x](g) for g, n in c.items()) / sum(c.values()) for x, c in count.items()}
+    far = []
+    for lang, t in rows:
+        own = [log[lang](g) for w in words_of(t) if re.search(r"[^\W\d_]", w) for g in grams(w) if g]
+        far += [sum(own) / len(own) - usual[lang]] if len(own) >= langid.LEAST_TRIGRAMS else []
+    floor = min(usual.values()) + min(0, float(np.quantile(far, langid.LOW))) - langid.SLACK
+    text = "The river was " + rows[3][1][:300] + " 42 xqz"
+    score, _ = langid.word_scores(TextBatch(pa.array([text])), model)
+    want = [[sum(log[x](g) - floor for g in grams(w) if g) for x in langs] + [0.0] if re.search(r"[^\W\d_]", w) else [0.0] * len(langs) + [0.01] for w in words_of(text)]
+    want[0][-1] -= langid.SWITCH
+    assert np.allclose(score, want, atol=0.02)
 
 
 def test_language_awkward(spark, awkward, empty):
