@@ -28,13 +28,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The archive of all pages against a replica in which one record in 256 is altered and one in 256 is lost."""
+    """The archive of all pages against a replica, indexed from its own records, in which one record in 256 is altered and one in 256 was lost."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    whole = materialize(warc.index(pages))
     fate = F.substring(F.md5(F.col("page_id").cast("string")), 1, 2)
-    altered = pages.withColumn("html", F.when(fate == "00", F.overlay("html", F.lit("?"), F.lit(1))).otherwise(F.col("html")))
-    replica = warc.index(altered).filter(fate != "01")
-    return warc.audit(whole, materialize(replica))
+    altered = pages.filter(F.coalesce(fate != "01", F.lit(True))).withColumn("html", F.when(fate == "00", F.overlay("html", F.lit("?"), F.lit(1))).otherwise(F.col("html")))
+    return warc.audit(*(materialize(warc.index(p)) for p in (pages, altered)))
 
 
 def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +100,8 @@ WHERE fate = '01' OR fate = '00' AND substr(html, 1, 1) <> '?'
 URL_SQL = r"""
 WITH c AS (
   SELECT page_id, url, TIMESTAMP '2024-01-01' + to_minutes(page_id * 7919 % 525600) AS fetched_at,
-    lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)) AS host, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^#]*)', 1) AS rest
+    lower(regexp_replace(regexp_extract(url, '^\s*[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/:?#]+)', 1), '[\s.]+$', '')) AS host,
+    regexp_replace(regexp_extract(url, '^\s*[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^#]*)', 1), '\s+$', '') AS rest
   FROM pages
 ), named AS (
   SELECT 'd:' || host AS pattern FROM c UNION SELECT 'd:' || regexp_replace(host, '^(www|m|blog)\.', '') FROM c UNION SELECT 'p:' || host || '/' || regexp_extract(rest, '^/([^/?]*)', 1) FROM c

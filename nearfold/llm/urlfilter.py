@@ -10,7 +10,8 @@ the longest, then the first by name).
 Defined results: a null url or one without a host, and a null fetch time, are covered by nothing; entries
 with a null field or another action are ignored; an entry and its removal at one time leave the pattern
 unlisted; repeated entries count once; captures that repeat an id, url and time are one; other columns
-are never read; an empty list covers nothing.
+are never read; an empty list covers nothing, an empty table has no rows. Very long urls are read whole; blanks
+around a url, case, a login, a port and dots after the host don't count.
 """
 
 from __future__ import annotations
@@ -25,12 +26,14 @@ BROADCAST_BYTES = 64 << 20
 
 
 def host_of(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
+    """The host in small letters; empty where there is none."""
+    host = F.regexp_extract(url, r"^\s*[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/:?#]+)", 1)
+    return F.lower(F.regexp_replace(host, r"[\s.]+$", ""))
 
 
 def rest_of(url: Column) -> Column:
     """Path and query, without the fragment."""
-    return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^#]*)", 1)
+    return F.regexp_replace(F.regexp_extract(url, r"^\s*[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^#]*)", 1), r"\s+$", "")
 
 
 def patterns(host: Column, rest: Column) -> Column:
