@@ -12,7 +12,8 @@ Words count as equal if their 64-bit hashes and lengths are; words of more than
 compared in full.
 
 Defined results: a null text has null tokens, an empty one none; a text is encoded whole; strings of
-special tokens are ordinary text; repeated rows are encoded alike; other columns are not read. Null
+special tokens are ordinary text; repeated rows are encoded alike; other columns are not read; an empty
+table gives no rows; doc_id keeps its type and may be null. Null
 tokens decode to null, an empty list to an empty text, and a list with an id outside the vocabulary to
 null; bytes that aren't UTF-8 are replaced.
 """
@@ -284,19 +285,6 @@ class Vocabulary:
         raw = data.tobytes()
         return [None if n else raw[a:b].decode("utf-8", "replace") for n, a, b in zip(null.tolist(), off[:-1].tolist(), off[1:].tolist())]
 
-    def faithful(self, column: pa.Array, tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Whether each text's tokens spell its bytes."""
-        batch = TextBatch(column)
-        keep = np.ones(len(batch.data), bool)
-        keep[batch.off[1:] - 1] = False
-        text = batch.data[keep]
-        data, total = self.spell(tokens.astype(np.int64))
-        begin, own = total[first], batch.off - np.arange(batch.n + 1)
-        if len(data) == len(text) and np.array_equal(begin, own):
-            wrong = np.concatenate(([0], np.cumsum(data != text)))
-            return wrong[own[1:]] == wrong[own[:-1]]
-        return np.array([np.array_equal(data[begin[k] : begin[k + 1]], text[own[k] : own[k + 1]]) for k in range(batch.n)], bool)
-
 
 _WORKERS: dict[str, Vocabulary] = {}
 ENCODED = "array<int>"
@@ -325,9 +313,8 @@ def _encode_checked(text: pa.Array, sent, key: str) -> pa.Array:
     lists, right = [], []
     for part in slices(text):
         tokens, first = words.encode(part)
-        null = part.is_null()
-        lists.append(pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(tokens), mask=null if part.null_count else None))
-        right.append(pa.array(words.faithful(part, tokens, first), mask=null.to_numpy(zero_copy_only=False)))
+        lists.append(pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(tokens), mask=part.is_null() if part.null_count else None))
+        right.append(pc.equal(pa.array(words.decode(lists[-1]), part.type), part))
     if not lists:
         return pa.array([], _CHECKED)
     return pa.StructArray.from_arrays([pa.concat_arrays(lists), pa.concat_arrays(right)], fields=list(_CHECKED))

@@ -20,7 +20,8 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenbin.write_blocks(table(spark, sf_dir, "documents"))
+    """Every document's tokens as blocks, each decoded again."""
+    return tokenbin.write_blocks(table(spark, sf_dir, "documents"), check=True)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +60,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of every document, and whether they decode to it."""
+    """Tokens of every document, decoded again, and whether that is the document."""
     return bpe.encode_checked(table(spark, sf_dir, "documents"))
 
 

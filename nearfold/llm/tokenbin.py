@@ -2,19 +2,22 @@
 
 The texts of a partition are encoded to token ids and laid end to end. Every ``BLOCK`` ids make a block,
 coded with fresh statistics, so that blocks can be decoded alone and in parallel; each carries checksums
-of its ids and of its payload, and the documents it holds.
+of its head, of its ids and of its payload, and the documents it holds.
 
-For each id three predictions are mixed. Order 2 and order 1 predict the id that last followed the
-two previous ids, and the previous one; their histories of right and wrong guesses, and whether they
-agree, select a set of adaptive counts that weights which of them, or order 0, will be right. Order 0
-is the adaptive frequency of all ids so far in the block, refreshed every ``REFRESH`` ids. Arithmetic
-coding turns the mixture into bits in ``LANES`` interleaved range coders, one step of all lanes and of
-many blocks at a time. Encoding knows all ids, so every prediction and count is found by sorting;
-decoding replays them id by id.
+For each id the predictions of three orders are mixed. Order 2 keeps the ``TWO`` ids that most followed the two
+previous ones, order 1 the ``ONE`` that most followed the previous one, order 0 the frequency of all ids. The guesses
+of order 2 and then those of order 1 that it hasn't made form the mixture with order 0: adaptive counts of how often a guess of
+its order, place, count and rivals' counts was right weigh it, of what the guesses before leave over; a guess that is
+absent weighs nothing. Arithmetic coding turns the mixture, and an id that no guess has by order 0, into bits.
+
+A block is cut into up to ``LANES`` lanes of neighbouring ids, each with a range coder of its own, which all
+learn into the block's statistics; a step codes or decodes one id of every lane of many blocks at a time, so that both
+ways are whole-array operations. Frequencies and weights are put to use at set steps (1, 2, 4, 8, then every 16).
 
 Defined results: null and empty texts have no ids but are listed with 0; texts longer than a block
-continue in the next; repeated rows are coded each; other columns are not read; an empty table gives no
-block. A damaged block raises ValueError when decoded.
+continue in the next; repeated rows are coded each; a doc_id that is no whole number is listed as null; other columns
+are not read; an empty table gives no block. A damaged block raises ValueError when decoded, whichever bit
+differs, before anything is read by it. Vocabularies have fewer than 131,072 ids.
 """
 
 from __future__ import annotations
@@ -30,214 +33,329 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
+from .store import doc_key
 from .textcol import modest_batches, slices
 
-BLOCK = 1 << 16
-LANES = 64
-REFRESH = 4096
-STEP = 24  # weight of one occurrence in order 0, where every id of the vocabulary has 1
-GROUP = 16  # blocks coded together
-MAGIC = b"NFT1"
-_HEAD = struct.Struct("<4sIIII")  # magic, ids, vocabulary, checksum of ids, checksum of the words
+BLOCK = 1 << 18
+LANE_IDS = 1024  # ids of a lane, about
+LANES = 256  # of a block at most
+GROUP = 8  # blocks coded together
+MAGIC = b"NFT2"
+_HEAD = struct.Struct("<4sIIII")  # magic, ids, vocabulary, checksum of ids, of the body
+_SUM = struct.Struct("<I")  # checksum of the head
+ID_BITS, COUNT_BITS = 17, 4  # of a slot of a context's row, the count above the id
+_SLOT = ID_BITS + COUNT_BITS
+_FULL, _ID = ((1 << COUNT_BITS) - 1) << ID_BITS, np.int32((1 << ID_BITS) - 1)
+_ONCE = np.int32(1 << ID_BITS)
+_21, _42, _ROW = np.uint64(_SLOT), np.uint64(2 * _SLOT), np.uint64((1 << _SLOT) - 1)
+TWO, ONE = 2, 3  # successors that order 2 and order 1 keep
+GUESSES = TWO + ONE
+_STATES = GUESSES << (COUNT_BITS + 3)
+PAIRS = 1 << 17  # contexts of order 2 in a block's table
+SCALE, SCALE_0 = np.uint64(16), np.uint64(22)  # bits of the mixture's weights, and of order 0's
+STEP = 32  # weight of one occurrence in order 0
 _32 = np.uint64(32)
+_WHOLE = 1 << int(SCALE_0)
 _MIN = np.uint64(1) << _32
 
 
-def _order(keys: list[np.ndarray]) -> np.ndarray:
-    """A stable order by the last key, then the one before it: one radix pass each where keys fit 16 bits."""
-    at = np.argsort(keys[0], kind="stable")
-    for k in keys[1:]:
-        at = at[np.argsort(k[at], kind="stable")]
-    return at
-
-
-def _predictions(x: np.ndarray, contexts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The id that followed each context last time (-1: none), and a state 0..4 of how its guesses went."""
-    at = _order(contexts)
-    same = np.zeros(len(x), bool)
-    same[1:] = True
-    for k in contexts:
-        c = k[at]
-        same[1:] &= c[1:] == c[:-1]
-    v = x[at]
-    guess = np.full(len(x), -1, np.int64)
-    guess[1:][same[1:]] = v[:-1][same[1:]]
-    hit = (guess == v).astype(np.int64)
-    state = np.zeros(len(x), np.int64)
-    state[1:] = np.where(same[1:], 1 + 2 * hit[:-1], 0)
-    state[2:] += same[2:] & same[1:-1] & (hit[:-2] == 1)
-    out, how = np.empty_like(guess), np.empty_like(state)
-    out[at], how[at] = guess, state
-    return out, how
-
-
-def _intervals(x: np.ndarray, vocabulary: int) -> np.ndarray:
-    """For every id two intervals of the range coder: (low, width, total) of the mixture's branch and of order 0."""
-    n = len(x)
-    kind = np.uint16 if vocabulary < 65536 else np.int64
-    p1 = np.concatenate(([vocabulary], x[:-1])).astype(kind)
-    p2 = np.concatenate(([vocabulary, vocabulary], x[:-2]))[:n].astype(kind)
-    g1, s1 = _predictions(x, [p1])
-    g2, s2 = _predictions(x, [p1, p2])
-    branch = np.where(g2 == x, 2, np.where(g1 == x, 1, 0))
-    mixed = (s2 * 10 + s1 * 2 + (g1 == g2)).astype(np.uint8)
-    at = np.argsort(mixed, kind="stable")
-    b, m = branch[at], mixed[at]
-    start = np.concatenate(([0], np.flatnonzero(m[1:] != m[:-1]) + 1)) if n else np.zeros(0, np.int64)
-    own = np.repeat(start, np.diff(np.concatenate((start, [n]))))
-    count = np.zeros((3, n), np.int64)
-    for k in range(3):
-        c = np.concatenate(([0], np.cumsum(b == k)))
-        count[k, at] = c[:-1] - c[own]
-    weight = 2 * count + 1
-    out = np.empty((6, n), np.int64)
-    pick = np.arange(n)
-    out[0] = np.where(branch == 2, 0, np.where(branch == 1, weight[2], weight[2] + weight[1]))
-    out[1] = weight[branch, pick]
-    out[2] = weight.sum(0)
-    out[3], out[4], out[5] = 0, 1, 1
-    freq = np.ones(vocabulary, np.int64)
-    for a in range(0, n, REFRESH):
-        part = x[a : a + REFRESH]
-        missed = np.flatnonzero(branch[a : a + REFRESH] == 0)
-        below = np.cumsum(freq)
-        v = part[missed]
-        out[3, a + missed] = below[v] - freq[v]
-        out[4, a + missed] = freq[v]
-        out[5, a + missed] = below[-1]
-        freq += STEP * np.bincount(part, minlength=vocabulary)
-    return out
+def lanes_of(n: int) -> int:
+    return min(LANES, max(1, n // LANE_IDS))
+
+
+class _Mixture:
+    """The adaptive model of many blocks side by side, one position of all their lanes at a time.
+
+    Encoder and decoder keep it alike. Blocks share nothing, so that each can be decoded without the others.
+    """
+
+    def __init__(self, sizes: list[int], vocabulary: int, decode: bool = False):
+        self.decode = decode
+        self.vocabulary = vocabulary
+        lanes = np.array([lanes_of(n) for n in sizes], np.int64)
+        steps = -(-np.array(sizes, np.int64) // lanes)
+        self.block = np.repeat(np.arange(len(sizes)), lanes)
+        nth = np.arange(len(self.block)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        self.first = nth * steps[self.block]  # position of a lane's first id in its block
+        self.size = np.clip(np.array(sizes, np.int64)[self.block] - self.first, 0, steps[self.block])
+        self.lane = np.arange(len(self.block))
+        self.steps = int(self.size.max(initial=0))
+        self.ends = set(self.size.tolist())
+        n = len(sizes)
+        self.after_one = np.zeros(n * (vocabulary + 1), np.uint64)
+        self.after_two = np.zeros(n * PAIRS, np.uint64)
+        # The first place of each of these counts what is not to be counted.
+        self.tried, self.hit = np.full(n * _STATES + 1, 2, np.int64), np.full(n * _STATES + 1, 1, np.int64)
+        self.freq = np.zeros(n * vocabulary + 1, np.int64)
+        self.freq[1:] = np.tile(np.maximum(1, 20000 // (np.arange(vocabulary) + 300)), n)  # ids ascend as words get rarer
+        self.below = np.empty((n, vocabulary + 1), np.int32)
+        self.p1 = np.full(len(self.block), vocabulary, np.int64)
+        self.p2 = self.p1.copy()
+        self.seen: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.odd = np.arange(vocabulary + 1, dtype=np.int32)
+        self.kind = 1 + (np.arange(GUESSES) << (COUNT_BITS + 3))[:, None]
+        self.order = np.arange(GUESSES, dtype=np.int8)[:, None]
+
+    def begin(self, step: int) -> np.ndarray | None:
+        """Which of the lanes go on at this step (None: all), after what was learned so far is put to use."""
+        if step & (step - 1) == 0 or step % 16 == 0:
+            self.learn(step & (step - 1) == 0 or step % 64 == 0)
+        on = None
+        if step in self.ends:
+            on = np.flatnonzero(self.size > step)
+            self.block, self.size, self.lane, self.first, self.p1, self.p2 = (x[on] for x in (self.block, self.size, self.lane, self.first, self.p1, self.p2))
+        if on is not None or step == 0:
+            self.base_1, self.base_2 = self.block * (self.vocabulary + 1), self.block * PAIRS
+            self.base_state = (self.block * _STATES)[None, :] + self.kind
+            self.base_0, self.base_freq = self.base_1, self.block * self.vocabulary + 1
+            width = len(self.block)
+            self.pick = np.arange(width)
+            self.ends_at = np.zeros((GUESSES + 2, width), np.uint32)
+            self.ends_at[-1] = 1 << int(SCALE)
+            self.slots = np.empty((GUESSES, width), np.int32)
+            self.states = np.zeros((GUESSES + 1, width), np.int64)
+        return on
+
+    def learn(self, order_0: bool) -> None:
+        if self.seen:
+            states, hits, missed = (np.concatenate([x.ravel() for x in own]) for own in zip(*self.seen))
+            self.tried += np.bincount(states, minlength=len(self.tried))
+            self.hit += np.bincount(hits, minlength=len(self.hit))
+            self.freq += STEP * np.bincount(missed, minlength=len(self.freq))
+            self.seen = []
+        self.chance = np.clip((self.hit << 16) // self.tried, 32, 65000).astype(np.uint32)
+        self.chance[0] = 0
+        if order_0:
+            total = np.cumsum(self.freq[1:].reshape(len(self.below), -1), axis=1)
+            self.below[:, 0] = 0
+            np.multiply(total, (_WHOLE - self.vocabulary) / total[:, -1:], out=self.below[:, 1:], casting="unsafe")
+            self.below += self.odd
+            self.below[:, -1] = _WHOLE
+            self.flat = self.below.ravel()
+            if self.decode:  # all blocks' in one ascending line
+                self.line = (self.below + (np.arange(len(self.below), dtype=np.int32) << np.int32(SCALE_0))[:, None]).ravel()
+
+    def guess(self) -> tuple[np.ndarray, np.ndarray]:
+        """The guesses (guesses x lanes, negative: none), and where the parts of the mixture begin
+        (order 0 after the guesses, then the whole)."""
+        self.i1 = self.base_1 + self.p1
+        self.i2 = self.base_2 + (((self.p1 * 0x9E3779B1 + self.p2 * 0x85EBCA6B) >> 9) & (PAIRS - 1))
+        one, two = self.after_one.take(self.i1), self.after_two.take(self.i2)
+        slots = self.slots
+        slots[0] = two & _ROW
+        slots[1] = two >> _21
+        slots[2] = one & _ROW
+        slots[3] = (one >> _21) & _ROW
+        slots[4] = one >> _42
+        count = slots >> ID_BITS
+        ids = slots & _ID
+        self.ids = ids | -(count == 0).astype(np.int32)
+        again = (ids[2:] == ids[0]) | (ids[2:] == ids[1])
+        rest = np.empty_like(count)
+        rest[:2] = count[1::-1]
+        rest[2:] = count[2] + count[3] + count[4] - count[2:]
+        self.fit = count > 0
+        self.fit[2:] &= ~again
+        np.add(self.base_state, (count << 3) + np.minimum(rest, 7), out=self.states[:-1])
+        self.states[:-1] *= self.fit
+        chance = self.chance.take(self.states[:-1])
+        begin = self.ends_at
+        left = np.full(begin.shape[1], 1 << int(SCALE), np.uint32)
+        for k in range(GUESSES):
+            w = (left * chance[k]) >> np.uint32(16)
+            left -= w
+            np.add(begin[k], w, out=begin[k + 1])
+        return self.ids | -(begin[1:-1] == begin[:-2]).astype(np.int32), begin
+
+    def update(self, x: np.ndarray, branch: np.ndarray) -> None:
+        """Learn that x came, by the guess ``branch`` (``GUESSES``: none)."""
+        states = self.states
+        self.seen.append((states[:-1] * (self.order <= branch), states.ravel().take(branch * len(x) + self.pick), (self.base_freq + x) * (branch == GUESSES)))
+        mark = x.astype(np.int32)
+        same = self.ids == mark
+        slots = self.slots
+        slots += (same & (slots < _FULL)).astype(np.int32) << np.int32(ID_BITS)
+        fresh = mark | _ONCE
+        for low, high, table, at in ((0, TWO, self.after_two, self.i2), (TWO, GUESSES, self.after_one, self.i1)):
+            kept = [slots[k] for k in range(low, high)]
+            none = ~np.logical_or.reduce(same[low:high])
+            last = kept[-1]
+            weak = last < 2 * _ONCE
+            last = np.where(none & weak, fresh, last - ((none & ~weak).astype(np.int32) << np.int32(ID_BITS)))
+            kept[-1] = last
+            for k in range(len(kept) - 1, 0, -1):  # the count leads, so the larger number is the more frequent
+                kept[k - 1], kept[k] = np.maximum(kept[k - 1], kept[k]), np.minimum(kept[k - 1], kept[k])
+            row = kept[0].astype(np.uint64) | (kept[1].astype(np.uint64) << _21)
+            table[at] = row | (kept[2].astype(np.uint64) << _42) if len(kept) == 3 else row
+        self.p2, self.p1 = self.p1, x
 
 
 def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
     """Code blocks of at most ``BLOCK`` ids, all lanes of all of them side by side."""
-    steps = -(-max((len(x) for x in blocks), default=0) // LANES)
-    lanes = LANES * len(blocks)
-    plan = np.ones((6, steps, len(blocks), LANES), np.uint32)
-    plan[0], plan[3] = 0, 0
-    for k, x in enumerate(blocks):
-        own = np.ones((6, steps * LANES), np.uint32)
-        own[0], own[3] = 0, 0
-        if len(x):
-            own[:, : len(x)] = _intervals(x.astype(np.int64), vocabulary)
-        plan[:, :, k] = own.reshape(6, steps, LANES)
-    plan = plan.reshape(2, 3, steps, lanes)
+    if vocabulary >= 1 << ID_BITS:
+        raise ValueError(f"a vocabulary has fewer than {1 << ID_BITS} ids")
+    m = _Mixture([len(x) for x in blocks], vocabulary)
+    ids = np.concatenate([np.zeros(0, np.int64), *blocks]).astype(np.int64)
+    start = np.cumsum([0, *(len(x) for x in blocks)])
+    at = start[m.block] + m.first
+    block, lanes = m.block, len(m.block)
     low, width = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    words = np.zeros((lanes, 2 * steps + 2), np.uint32)
-    length = np.zeros(lanes, np.int64)
+    words, length, rest = np.zeros((lanes, 2 * m.steps + 2), np.uint32), np.zeros(lanes, np.int64), np.zeros(lanes, np.uint64)
 
-    def carry(at: np.ndarray) -> None:
-        for lane in at.tolist():
+    def carry(which: np.ndarray) -> None:
+        for lane in which.tolist():
             k = length[lane] - 1
             while words[lane, k] == 0xFFFFFFFF:
                 words[lane, k] = 0
                 k -= 1
             words[lane, k] += 1
 
-    for s in range(steps):
-        for half in range(2):
-            a, f, t = plan[half, :, s]
-            width //= t
-            add = width * a
-            low += add
-            width *= f
-            over = np.flatnonzero(low < add)
-            if len(over):
-                carry(over)
-            out = np.flatnonzero(width < _MIN)
-            if len(out):
-                words[out, length[out]] = low[out] >> _32
-                length[out] += 1
-                low[out] <<= _32
-                width[out] <<= _32
-    top = low + (_MIN - np.uint64(1))
-    carry(np.flatnonzero(top < low))
+    def narrow(begin: np.ndarray, size: np.ndarray, bits: np.uint64) -> None:
+        nonlocal low, width
+        part = width >> bits
+        add = part * begin
+        low = low + add
+        width = part * size
+        over = np.flatnonzero(low < add)
+        if len(over):
+            carry(m.lane[over])
+        small = np.flatnonzero(width < _MIN)
+        if len(small):
+            lane = m.lane[small]
+            words[lane, length[lane]] = low[small] >> _32
+            length[lane] += 1
+            low[small] <<= _32
+            width[small] <<= _32
+
+    for s in range(m.steps):
+        before, on = m.lane, m.begin(s)
+        if on is not None:
+            rest[before] = low
+            low, width, at = low[on], width[on], at[on]
+        x = ids[at + s]
+        guesses, begin = m.guess()
+        right = (guesses == x).view(np.int8)
+        branch = np.full(len(x), GUESSES, np.int64)
+        for g in range(GUESSES):  # one is right at most
+            branch -= right[g] * (GUESSES - g)
+        k = branch * len(x) + m.pick
+        a = begin.ravel().take(k).astype(np.uint64)
+        narrow(a, begin.ravel().take(k + len(x)) - a, SCALE)
+        k = m.base_0 + x
+        a, b = m.flat.take(k), m.flat.take(k + 1)
+        known = -(branch < GUESSES).astype(np.int32)
+        narrow((a & ~known).astype(np.uint64), ((b - a) & ~known | known & _WHOLE).astype(np.uint64), SCALE_0)
+        m.update(x, branch)
+    rest[m.lane] = low
+    top = rest + (_MIN - np.uint64(1))
+    carry(np.flatnonzero(top < rest))
     words[np.arange(lanes), length] = top >> _32
     length += 1
-    coded = []
+    coded, cut = [], np.searchsorted(block, np.arange(len(blocks) + 1))
     for k, x in enumerate(blocks):
-        mine = range(k * LANES, (k + 1) * LANES)
+        mine = range(cut[k], cut[k + 1])
         body = length[mine.start : mine.stop].astype("<u4").tobytes() + b"".join(words[i, : length[i]].astype("<u4").tobytes() for i in mine)
-        coded.append(_HEAD.pack(MAGIC, len(x), vocabulary, zlib.crc32(x.astype("<u4").tobytes()), zlib.crc32(body)) + body)
+        head = _HEAD.pack(MAGIC, len(x), vocabulary, zlib.crc32(x.astype("<u4").tobytes()), zlib.crc32(body))
+        coded.append(head + _SUM.pack(zlib.crc32(head)) + body)
     return coded
 
 
-def decode_block(payload: bytes) -> np.ndarray:
-    """The ids of one block; ValueError if it isn't whole."""
-    if len(payload) < _HEAD.size:
-        raise ValueError("block too short")
+def _opened(payload: bytes) -> tuple[int, int, int, np.ndarray, np.ndarray]:
+    """Ids, vocabulary, checksum of the ids, words of each lane, all words; ValueError if the block isn't whole."""
+    size = _HEAD.size + _SUM.size
+    if len(payload) < size or _SUM.unpack_from(payload, _HEAD.size)[0] != zlib.crc32(payload[: _HEAD.size]):
+        raise ValueError("damaged head of a block")
     magic, n, vocabulary, ids_sum, body_sum = _HEAD.unpack_from(payload)
-    body = payload[_HEAD.size :]
-    if magic != MAGIC or zlib.crc32(body) != body_sum:
+    body = payload[size:]
+    if magic != MAGIC or n > BLOCK or vocabulary >= 1 << ID_BITS or zlib.crc32(body) != body_sum:
         raise ValueError("damaged block")
-    length = np.frombuffer(body, "<u4", LANES)
-    flat = np.frombuffer(body, "<u4", offset=4 * LANES).tolist()
-    at = (np.cumsum(length) - length).tolist()
-    stop = np.cumsum(length).tolist()
-    full = (1 << 64) - 1
-
-    def take(lane: int) -> int:
-        k = at[lane]
-        at[lane] = k + 1
-        return flat[k] if k < stop[lane] else 0
-
-    low, width = [0] * LANES, [full] * LANES  # low: the code less the interval's start
-    for lane in range(LANES):
-        low[lane] = take(lane) << 32 | take(lane)
-    seen: dict[int, list[int]] = {}  # context -> last id that followed, its last and last but one guess
-    weights = [[1, 1, 1] for _ in range(50)]
-    freq = np.ones(vocabulary, np.int64)
-    out: list[int] = []
-    below, total, a, b = None, 0, vocabulary, vocabulary
-    for i in range(n):
-        if i % REFRESH == 0:
-            if i:
-                freq += STEP * np.bincount(out[i - REFRESH : i], minlength=vocabulary)
-            below = np.cumsum(freq)
-            total = int(below[-1])
-        lane = i % LANES
-        k1, k2 = -1 - a, b * (vocabulary + 1) + a
-        c1, c2 = seen.get(k1), seen.get(k2)
-        g1, s1 = (-1, 0) if c1 is None else (c1[0], 1 + 2 * c1[1] + c1[2])
-        g2, s2 = (-1, 0) if c2 is None else (c2[0], 1 + 2 * c2[1] + c2[2])
-        w = weights[s2 * 10 + s1 * 2 + (g1 == g2)]
-        r = width[lane] // (w[0] + w[1] + w[2])
-        v = low[lane] // r
-        if v < w[2]:
-            branch, x, start = 2, g2, 0
-        elif v < w[2] + w[1]:
-            branch, x, start = 1, g1, w[2]
-        else:
-            branch, x, start = 0, -1, w[2] + w[1]
-        low[lane] -= r * start
-        width[lane] = r * w[branch]
-        w[branch] += 2
-        if width[lane] < 1 << 32:
-            low[lane], width[lane] = (low[lane] << 32 | take(lane)) & full, (width[lane] << 32) & full
-        if branch == 0:
-            r = width[lane] // total
-            x = int(np.searchsorted(below, low[lane] // r, "right"))
-            if x >= vocabulary:
-                raise ValueError("damaged block")
-            f = int(freq[x])
-            low[lane] -= r * (int(below[x]) - f)
-            width[lane] = r * f
-            if width[lane] < 1 << 32:
-                low[lane], width[lane] = (low[lane] << 32 | take(lane)) & full, (width[lane] << 32) & full
-        seen[k1] = [x, int(g1 == x), c1[1] if c1 else 0]
-        seen[k2] = [x, int(g2 == x), c2[1] if c2 else 0]
-        out.append(x)
-        b, a = a, x
-    ids = np.array(out, np.int64)
-    if zlib.crc32(ids.astype("<u4").tobytes()) != ids_sum:
+    lanes = lanes_of(n)
+    if len(body) % 4 or len(body) < 4 * lanes:
         raise ValueError("damaged block")
-    return ids
+    length, words = np.frombuffer(body, "<u4", lanes).astype(np.int64), np.frombuffer(body, "<u4", offset=4 * lanes)
+    if int(length.sum()) != len(words):
+        raise ValueError("damaged block")
+    return n, vocabulary, ids_sum, length, words
+
+
+def decode_blocks(payloads: list[bytes]) -> list[np.ndarray]:
+    """The ids of blocks of one vocabulary, decoded side by side; ValueError if one isn't whole."""
+    opened = [_opened(p) for p in payloads]
+    if not opened:
+        return []
+    vocabulary = opened[0][1]
+    if any(v != vocabulary for _, v, *_ in opened):
+        return [decode_blocks([p])[0] for p in payloads]
+    sizes = [n for n, *_ in opened]
+    m = _Mixture(sizes, vocabulary, decode=True)
+    start = np.cumsum([0, *sizes])
+    at = start[m.block] + m.first
+    out = np.zeros(int(start[-1]), np.int64)
+    words = np.concatenate([*(w for *_, w in opened), np.zeros(1, np.uint32)]).astype(np.uint64)
+    stop = np.cumsum(np.concatenate([n for *_, n, _ in opened]))
+    nothing = len(words) - 1
+    ahead = np.concatenate(([0], stop[:-1]))
+    low, width = np.zeros(len(m.block), np.uint64), np.full(len(m.block), 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for _ in range(2):  # low: the code less the interval's start
+        low = low << _32 | words[np.where(ahead < stop, ahead, nothing)]
+        ahead = ahead + 1
+
+    def narrow(part: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+        nonlocal low, width
+        low = low - part * begin
+        width = part * size
+        small = np.flatnonzero(width < _MIN)
+        if len(small):
+            k = ahead[small]
+            low[small] = low[small] << _32 | words[np.where(k < stop[small], k, nothing)]
+            width[small] <<= _32
+            ahead[small] = k + 1
+
+    for s in range(m.steps):
+        on = m.begin(s)
+        if on is not None:
+            low, width, at, ahead, stop = (v[on] for v in (low, width, at, ahead, stop))
+        guesses, begin = m.guess()
+        part = width >> SCALE
+        branch = np.zeros(len(low), np.int64)
+        for g in range(GUESSES):
+            branch += low >= part * begin[g + 1]
+        k = branch * len(low) + m.pick
+        a = begin.ravel().take(k).astype(np.uint64)
+        narrow(part, a, begin.ravel().take(k + len(low)) - a)
+        x = guesses.ravel().take(k, mode="clip").astype(np.int64)
+        a, size = np.zeros(len(x), np.int64), np.full(len(x), _WHOLE)
+        part = width >> SCALE_0
+        missed = np.flatnonzero(branch == GUESSES)
+        if len(missed):
+            v = np.minimum((low[missed] // part[missed]).astype(np.int64), _WHOLE - 1)
+            own = m.block[missed]
+            v = (v + (own << int(SCALE_0))).astype(np.int32)
+            rank = np.argsort(v)  # ascending, the search stays in the cache
+            k = np.empty(len(v), np.int64)
+            k[rank] = np.searchsorted(m.line, v[rank], "right") - 1
+            x[missed] = k - own * (vocabulary + 1)
+            a[missed] = m.flat[k]
+            size[missed] = m.flat[k + 1] - a[missed]
+        narrow(part, a.astype(np.uint64), size.astype(np.uint64))
+        out[at + s] = x
+        m.update(x, branch)
+    found = [out[a:b] for a, b in zip(start, start[1:])]
+    for x, (_, _, ids_sum, *_) in zip(found, opened):
+        if zlib.crc32(x.astype("<u4").tobytes()) != ids_sum:
+            raise ValueError("damaged block")
+    return found
+
+
+def decode_block(payload: bytes) -> np.ndarray:
+    """The ids of one block; ValueError if it isn't whole."""
+    return decode_blocks([payload])[0]
 
 
 BLOCKS = "stream int, block int, first_doc bigint, doc_ids array<bigint>, doc_tokens array<int>, n_tokens int, checksum bigint, payload binary"
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], sent, key: str) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], sent, key: str, check: bool) -> Iterator[pa.RecordBatch]:
     words = bpe.vocabulary_of(sent, key)
     stream = TaskContext.get().partitionId()
     done: list[tuple[int, list, list[int], np.ndarray]] = []
@@ -253,13 +371,14 @@ def _blocks(batches: Iterator[pa.RecordBatch], sent, key: str) -> Iterator[pa.Re
     def flush() -> Iterator[pa.RecordBatch]:
         nonlocal block, done
         coded = encode_blocks([x for *_, x in done], words.size)
+        right = [pa.array([np.array_equal(x, y) for (*_, x), y in zip(done, decode_blocks(coded))])] if check else []
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([stream] * len(done), pa.int32()), pa.array(range(block, block + len(done)), pa.int32()), pa.array([d[0] for d in done], pa.int64()),
                 pa.array([d[1] for d in done], pa.list_(pa.int64())), pa.array([d[2] for d in done], pa.list_(pa.int32())), pa.array([len(d[3]) for d in done], pa.int32()),
-                pa.array([_HEAD.unpack_from(c)[3] for c in coded], pa.int64()), pa.array(coded, pa.binary()),
+                pa.array([_HEAD.unpack_from(c)[3] for c in coded], pa.int64()), pa.array(coded, pa.binary()), *right,
             ],
-            ["stream", "block", "first_doc", "doc_ids", "doc_tokens", "n_tokens", "checksum", "payload"],
+            ["stream", "block", "first_doc", "doc_ids", "doc_tokens", "n_tokens", "checksum", "payload", *["round_trip"] * check],
         )
         block += len(done)
         done = []
@@ -292,26 +411,28 @@ def _blocks(batches: Iterator[pa.RecordBatch], sent, key: str) -> Iterator[pa.Re
         yield from flush()
 
 
-def write_blocks(docs: DataFrame, path: str = bpe.VOCABULARY) -> DataFrame:
+def write_blocks(docs: DataFrame, path: str = bpe.VOCABULARY, check: bool = False) -> DataFrame:
     """Blocks of the documents' token ids, in the order of each partition.
 
     ``stream`` and ``block`` number them; ``first_doc`` is the number, within the stream, of the first of
     ``doc_ids``; ``doc_tokens`` counts each one's ids here. A document that continues has the same number.
+    With ``check``, every block is decoded again, and ``round_trip`` says whether that gave its ids.
     """
     modest_batches(docs.sparkSession)
     sent, key = bpe.send(docs, path)
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(lambda it: _blocks(it, sent, key), BLOCKS)
+    return docs.select(doc_key(), "text").mapInArrow(lambda it: _blocks(it, sent, key, check), BLOCKS + ", round_trip boolean" * check)
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = []
-        for r in b.to_pylist():
-            ids, at = decode_block(r["payload"]), 0
-            for k, (doc, n) in enumerate(zip(r["doc_ids"], r["doc_tokens"])):
-                rows.append({"stream": r["stream"], "number": r["first_doc"] + k, "block": r["block"], "doc_id": doc, "ids": ids[at : at + n].astype(np.int32)})
-                at += n
-        yield pa.RecordBatch.from_pylist(rows, pa.schema([("stream", pa.int32()), ("number", pa.int64()), ("block", pa.int32()), ("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]))
+        for k in range(0, b.num_rows, GROUP):
+            rows, own = [], b.slice(k, GROUP).to_pylist()
+            for r, ids in zip(own, decode_blocks([r["payload"] for r in own])):
+                at = 0
+                for k, (doc, n) in enumerate(zip(r["doc_ids"], r["doc_tokens"])):
+                    rows.append({"stream": r["stream"], "number": r["first_doc"] + k, "block": r["block"], "doc_id": doc, "ids": ids[at : at + n].astype(np.int32)})
+                    at += n
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("stream", pa.int32()), ("number", pa.int64()), ("block", pa.int32()), ("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]))
 
 
 def read_blocks(blocks: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from awkward_rows import awkward_rows
+from awkward_rows import awkward_rows, prose
 from nearfold.llm import bpe, tokenbin
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -78,34 +78,59 @@ def test_decode_defined_cases(spark):
 
 def test_blocks_round_trip():
     r = np.random.default_rng(0)
-    for size in (0, 1, 2, 63, 64, 65, 5000, tokenbin.BLOCK):
-        for vocabulary in (2, 300, 50257, 100000):
-            if size == tokenbin.BLOCK and vocabulary != 50257:
+    for size in (0, 1, 2, 63, 1024, 5000, 70001):
+        for vocabulary in (2, 300, 50257, 131071):
+            if size == 70001 and vocabulary != 50257:
                 continue
             ids = np.minimum(r.zipf(1.3, size), vocabulary) - 1
             assert (tokenbin.decode_block(tokenbin.encode_blocks([ids], vocabulary)[0]) == ids).all()
-    many = [np.zeros(5000, np.int64), r.integers(0, 9, 100), np.tile(np.arange(50), 60)]
+    with pytest.raises(ValueError):
+        tokenbin.encode_blocks([np.zeros(1, np.int64)], 131072)
+
+
+def test_blocks_side_by_side_are_as_alone():
+    r = np.random.default_rng(1)
+    many = [np.zeros(5000, np.int64), r.integers(0, 9, 100), np.tile(np.arange(50), 60), np.zeros(0, np.int64), r.integers(0, 50257, 4000), np.minimum(r.zipf(1.2, 3 * tokenbin.LANE_IDS + 7), 50257) - 1]
     coded = tokenbin.encode_blocks(many, 50257)
+    assert coded == [tokenbin.encode_blocks([x], 50257)[0] for x in many]
+    assert all((x == y).all() for x, y in zip(tokenbin.decode_blocks(coded), many))
     assert all((tokenbin.decode_block(c) == x).all() for c, x in zip(coded, many))
-    assert len(coded[0]) < 900
+    assert len(coded[0]) < 300
+    other = tokenbin.encode_blocks([np.arange(70) % 7], 7)[0]
+    assert [x.tolist() for x in tokenbin.decode_blocks([coded[1], other])] == [many[1].tolist(), (np.arange(70) % 7).tolist()]
+    assert tokenbin.decode_blocks([]) == [] and tokenbin.encode_blocks([], 9) == []
+
 
+def test_a_whole_block_of_documents(vocabulary):
+    """Fewer than 7.5 bits an id, and fewer than order 0 alone could reach with frequencies known beforehand."""
+    import pyarrow.parquet as pq
 
-def test_blocks_beat_sixteen_bits(vocabulary, texts):
-    ids = np.array([t for x in encode(vocabulary, list(texts.values())) for t in x])[: tokenbin.BLOCK]
-    assert len(tokenbin.encode_blocks([ids], vocabulary.size)[0]) * 8 / len(ids) < 10
+    own = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()
+    ids = np.array([t for x in encode(vocabulary, own) for t in x])
+    blocks = [ids[a : a + tokenbin.BLOCK] for a in range(0, len(ids), tokenbin.BLOCK)]
+    coded = tokenbin.encode_blocks(blocks, vocabulary.size)
+    assert all((x == y).all() for x, y in zip(tokenbin.decode_blocks(coded), blocks))
+    assert sum(map(len, coded)) * 8 / len(ids) < 7.5
+    for x, c in zip(blocks, coded):
+        n = np.bincount(x)
+        n = n[n > 0]
+        assert len(c) * 8 < -(n * np.log2(n / len(x))).sum()
 
 
 def test_damage_is_noticed():
-    r = random.Random(1)
     whole = tokenbin.encode_blocks([np.arange(3000) % 700], 50257)[0]
-    for _ in range(40):
-        at = r.randrange(len(whole))
-        broken = whole[:at] + bytes([whole[at] ^ (1 << r.randrange(8))]) + whole[at + 1 :]
+    head = tokenbin._HEAD.size + tokenbin._SUM.size
+    r = random.Random(1)
+    for at, bit in [(a, b) for a in range(head) for b in range(8)] + [(r.randrange(head, len(whole)), r.randrange(8)) for _ in range(60)]:
+        broken = whole[:at] + bytes([whole[at] ^ (1 << bit)]) + whole[at + 1 :]
         with pytest.raises(ValueError):
             tokenbin.decode_block(broken)
-    for cut in (0, 10, len(whole) - 1):
+    for cut in (0, 10, head, head + 3, len(whole) - 1):
         with pytest.raises(ValueError):
             tokenbin.decode_block(whole[:cut])
+    forged = tokenbin._HEAD.pack(tokenbin.MAGIC, 1 << 31, 50257, 0, 0)
+    with pytest.raises(ValueError):
+        tokenbin.decode_block(forged + tokenbin._SUM.pack(tokenbin.zlib.crc32(forged)))
 
 
 def test_write_and_read_blocks(spark, awkward, empty, public, monkeypatch):
@@ -114,3 +139,24 @@ def test_write_and_read_blocks(spark, awkward, empty, public, monkeypatch):
     assert got == sorted(repr((i, public.encode_ordinary(t or ""))) for i, t, *_ in awkward_rows())
     assert blocks.agg(F.sum("n_tokens")).first()[0] == sum(len(public.encode_ordinary(t or "")) for _, t, *_ in awkward_rows())
     assert tokenbin.write_blocks(empty).count() == 0
+    checked = tokenbin.write_blocks(awkward, check=True).collect()
+    assert checked and all(r.round_trip for r in checked)
+
+
+def test_long_documents_go_on_in_the_next_block(spark, public, monkeypatch):
+    rows = [(1, prose(400, 1)), (2, prose(3000, 2)), (3, None), (4, "x")]
+    monkeypatch.setattr(tokenbin, "BLOCK", 500)
+    words = bpe.Vocabulary.read(bpe.VOCABULARY)
+
+    class Sent:
+        value = words
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in rows], "text": pa.array([t for _, t in rows], pa.string())})
+    monkeypatch.setattr(tokenbin.TaskContext, "get", lambda: type("T", (), {"partitionId": lambda self: 3})())
+    blocks = [r for b in tokenbin._blocks(iter([batch]), Sent, "long", True) for r in b.to_pylist()]
+    assert len(blocks) > 5 and all(r["round_trip"] and r["n_tokens"] <= 500 for r in blocks)
+    back = [x for b in tokenbin._parts(iter([pa.RecordBatch.from_pylist(blocks)])) for x in b.to_pylist()]
+    whole = {}
+    for x in sorted(back, key=lambda x: x["block"]):
+        whole[x["doc_id"]] = whole.get(x["doc_id"], []) + x["ids"]
+    assert whole == {i: public.encode_ordinary(t or "") for i, t in rows}
