@@ -7,12 +7,12 @@ of its head, of its ids and of its payload, and the documents it holds.
 For each id the predictions of three orders are mixed. Order 2 keeps the ``TWO`` ids that most followed the two
 previous ones, order 1 the ``ONE`` that most followed the previous one, order 0 the frequency of all ids. The guesses
 of order 2 and then those of order 1 that it hasn't made form the mixture with order 0: adaptive counts of how often a guess of
-its order, place, count and rivals' counts was right weigh it, of what the guesses before leave over; a guess that is
+its order and place, its count and its row's was right weigh it, of what the guesses before leave over; a guess that is
 absent weighs nothing. Arithmetic coding turns the mixture, and an id that no guess has by order 0, into bits.
 
 A block is cut into up to ``LANES`` lanes of neighbouring ids, each with a range coder of its own, which all
 learn into the block's statistics; a step codes or decodes one id of every lane of many blocks at a time, so that both
-ways are whole-array operations. Frequencies and weights are put to use at set steps (1, 2, 4, 8, then every 16).
+ways are whole-array operations. Frequencies and weights are put to use at set steps (1, 2, 4, 8, then every 16, those of order 0 every 64).
 
 Defined results: null and empty texts have no ids but are listed with 0; texts longer than a block
 continue in the next; repeated rows are coded each; a doc_id that is no whole number is listed as null; other columns
@@ -39,7 +39,7 @@ from .textcol import modest_batches, slices
 BLOCK = 1 << 18
 LANE_IDS = 1024  # ids of a lane, about
 LANES = 256  # of a block at most
-GROUP = 8  # blocks coded together
+GROUP = 16  # blocks coded together
 MAGIC = b"NFT2"
 _HEAD = struct.Struct("<4sIIII")  # magic, ids, vocabulary, checksum of ids, of the body
 _SUM = struct.Struct("<I")  # checksum of the head
@@ -50,10 +50,10 @@ _ONCE = np.int32(1 << ID_BITS)
 _21, _42, _ROW = np.uint64(_SLOT), np.uint64(2 * _SLOT), np.uint64((1 << _SLOT) - 1)
 TWO, ONE = 2, 3  # successors that order 2 and order 1 keep
 GUESSES = TWO + ONE
-_STATES = GUESSES << (COUNT_BITS + 3)
+_STATES = GUESSES << (COUNT_BITS + 4)
 PAIRS = 1 << 17  # contexts of order 2 in a block's table
 SCALE, SCALE_0 = np.uint64(16), np.uint64(22)  # bits of the mixture's weights, and of order 0's
-STEP = 32  # weight of one occurrence in order 0
+STEP = 128  # weight of one occurrence in order 0
 _32 = np.uint64(32)
 _WHOLE = 1 << int(SCALE_0)
 _MIN = np.uint64(1) << _32
@@ -91,15 +91,17 @@ class _Mixture:
         self.below = np.empty((n, vocabulary + 1), np.int32)
         self.p1 = np.full(len(self.block), vocabulary, np.int64)
         self.p2 = self.p1.copy()
-        self.seen: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.seen: list[tuple[np.ndarray, np.ndarray]] = []
+        self.missed: list[np.ndarray] = []
         self.odd = np.arange(vocabulary + 1, dtype=np.int32)
-        self.kind = 1 + (np.arange(GUESSES) << (COUNT_BITS + 3))[:, None]
+        self.kind = 1 + (np.arange(GUESSES) << (COUNT_BITS + 4))[:, None]
         self.order = np.arange(GUESSES, dtype=np.int8)[:, None]
 
     def begin(self, step: int) -> np.ndarray | None:
         """Which of the lanes go on at this step (None: all), after what was learned so far is put to use."""
         if step & (step - 1) == 0 or step % 16 == 0:
             self.learn(step & (step - 1) == 0 or step % 64 == 0)
+        self.counts = step < 64 or step % 2 == 0
         on = None
         if step in self.ends:
             on = np.flatnonzero(self.size > step)
@@ -118,14 +120,15 @@ class _Mixture:
 
     def learn(self, order_0: bool) -> None:
         if self.seen:
-            states, hits, missed = (np.concatenate([x.ravel() for x in own]) for own in zip(*self.seen))
-            self.tried += np.bincount(states, minlength=len(self.tried))
-            self.hit += np.bincount(hits, minlength=len(self.hit))
-            self.freq += STEP * np.bincount(missed, minlength=len(self.freq))
+            self.tried += np.bincount(np.concatenate([x.ravel() for x, _ in self.seen]), minlength=len(self.tried))
+            self.hit += np.bincount(np.concatenate([x for _, x in self.seen]), minlength=len(self.hit))
             self.seen = []
         self.chance = np.clip((self.hit << 16) // self.tried, 32, 65000).astype(np.uint32)
         self.chance[0] = 0
         if order_0:
+            if self.missed:
+                self.freq += STEP * np.bincount(np.concatenate(self.missed), minlength=len(self.freq))
+                self.missed = []
             total = np.cumsum(self.freq[1:].reshape(len(self.below), -1), axis=1)
             self.below[:, 0] = 0
             np.multiply(total, (_WHOLE - self.vocabulary) / total[:, -1:], out=self.below[:, 1:], casting="unsafe")
@@ -151,13 +154,14 @@ class _Mixture:
         ids = slots & _ID
         self.ids = ids | -(count == 0).astype(np.int32)
         again = (ids[2:] == ids[0]) | (ids[2:] == ids[1])
-        rest = np.empty_like(count)
-        rest[:2] = count[1::-1]
-        rest[2:] = count[2] + count[3] + count[4] - count[2:]
         self.fit = count > 0
         self.fit[2:] &= ~again
-        np.add(self.base_state, (count << 3) + np.minimum(rest, 7), out=self.states[:-1])
-        self.states[:-1] *= self.fit
+        states = self.states[:-1]
+        np.left_shift(count, 4, out=states, casting="unsafe")
+        states += self.base_state
+        states[:TWO] += np.minimum(count[0] + count[1], 15)
+        states[TWO:] += np.minimum(count[2] + count[3] + count[4], 15)
+        states *= self.fit
         chance = self.chance.take(self.states[:-1])
         begin = self.ends_at
         left = np.full(begin.shape[1], 1 << int(SCALE), np.uint32)
@@ -170,7 +174,9 @@ class _Mixture:
     def update(self, x: np.ndarray, branch: np.ndarray) -> None:
         """Learn that x came, by the guess ``branch`` (``GUESSES``: none)."""
         states = self.states
-        self.seen.append((states[:-1] * (self.order <= branch), states.ravel().take(branch * len(x) + self.pick), (self.base_freq + x) * (branch == GUESSES)))
+        self.missed.append((self.base_freq + x)[branch == GUESSES])
+        if self.counts:
+            self.seen.append((states[:-1] * (self.order <= branch.astype(np.int8)), states.ravel().take(branch * len(x) + self.pick)))
         mark = x.astype(np.int32)
         same = self.ids == mark
         slots = self.slots
@@ -203,12 +209,11 @@ def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
     words, length, rest = np.zeros((lanes, 2 * m.steps + 2), np.uint32), np.zeros(lanes, np.int64), np.zeros(lanes, np.uint64)
 
     def carry(which: np.ndarray) -> None:
-        for lane in which.tolist():
-            k = length[lane] - 1
-            while words[lane, k] == 0xFFFFFFFF:
-                words[lane, k] = 0
-                k -= 1
-            words[lane, k] += 1
+        k = length[which] - 1
+        words[which, k] += np.uint32(1)
+        while len(more := np.flatnonzero(words[which, k] == 0)):  # one more each: only a full word became 0
+            which, k = which[more], k[more] - 1
+            words[which, k] += np.uint32(1)
 
     def narrow(begin: np.ndarray, size: np.ndarray, bits: np.uint64) -> None:
         nonlocal low, width
