@@ -285,6 +285,8 @@ def _opened(payload: bytes) -> tuple[int, int, int, np.ndarray, np.ndarray]:
 
 def decode_blocks(payloads: list[bytes]) -> list[np.ndarray]:
     """The ids of blocks of one vocabulary, decoded side by side; ValueError if one isn't whole."""
+    if len(payloads) > GROUP:
+        return [x for k in range(0, len(payloads), GROUP) for x in decode_blocks(payloads[k : k + GROUP])]
     opened = [_opened(p) for p in payloads]
     if not opened:
         return []
