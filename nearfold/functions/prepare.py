@@ -32,9 +32,25 @@ def lifted(coords: Column, least: list[int]) -> Column:
     return F.zip_with(coords, F.array(*(F.lit(m).cast("bigint") for m in least)), lambda c, m: c - m)
 
 
+def complete(coords: Column, dimension: int) -> Column:
+    """Whether a point has all its coordinates; one that hasn't is near nothing and nothing is near it."""
+    return coords.isNotNull() & (F.size(coords) == dimension) & ~F.exists(coords, lambda c: c.isNull())
+
+
+def extent(points: DataFrame, dimension: int, coords: str = "coords") -> tuple[list[int], list[int]]:
+    """Minima and maxima of the coordinates, 0 where there are none."""
+    bound = [f(F.get(F.col(coords), F.lit(k))).alias(f"{n}{k}") for n, f in (("l", F.min), ("h", F.max)) for k in range(dimension)]
+    row = [int(x) if x is not None else 0 for x in points.agg(*bound).first()]
+    return row[:dimension], row[dimension:]
+
+
 def minima(points: DataFrame, dimension: int, coords: str = "coords") -> list[int]:
-    row = points.agg(*(F.min(F.col(coords)[k]).alias(f"m{k}") for k in range(dimension))).first()
-    return [int(x) if x is not None else 0 for x in row]
+    return extent(points, dimension, coords)[0]
+
+
+def rebalanced(rows: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Rows dealt evenly, over ``partitions`` or as adaptive execution sees fit."""
+    return rows.repartition(partitions) if partitions else rows.hint("rebalance")
 
 
 def shift_vectors(count: int, dimension: int, seed: int, most: int = 10000) -> list[list[int]]:

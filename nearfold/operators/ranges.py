@@ -62,10 +62,15 @@ def padded_bounds(bounds: DataFrame, s_sample: DataFrame, reach: int, code: str
     """Ranges of S for ranges of R: each end moved outwards by ``reach`` rows of S's sample."""
     order = Window.partitionBy("shift").orderBy("code")
     s = s_sample.select("shift", F.col(code).alias("code")).withColumns({"below": F.lag("code", reach).over(order), "above": F.lead("code", reach).over(order)})
-    b, t = bounds.alias("b"), s.alias("t")
-    at_low = b.join(t, (F.col("b.shift") == F.col("t.shift")) & (F.col("t.code") >= F.col("b.low")), "left").groupBy("b.shift", "b.pid").agg(F.min_by("t.below", "t.code").alias("low"))
-    at_high = b.join(t, (F.col("b.shift") == F.col("t.shift")) & (F.col("t.code") >= F.col("b.high")), "left").groupBy("b.shift", "b.pid").agg(F.min_by("t.above", "t.code").alias("high"))
-    return at_low.join(at_high, ["shift", "pid"]).select("shift", "pid", "low", "high")
+    none = F.lit(None).cast("int")
+    both = s.select("shift", "code", F.lit(1).alias("is_s"), F.struct("below", "above").alias("near"), none.alias("pid"), none.alias("end"))
+    for k, end in enumerate(("low", "high")):
+        both = both.unionByName(bounds.filter(F.col(end).isNotNull()).select("shift", F.col(end).alias("code"), F.lit(0).alias("is_s"), F.lit(None).alias("near"), "pid", F.lit(k).alias("end")))
+    # Downwards along the codes, the last row of S met is the first one at or above a bound.
+    down = Window.partitionBy("shift").orderBy(F.desc("code"), F.desc("is_s")).rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("near", F.last("near", ignorenulls=True).over(down)).filter("is_s = 0")
+    found = met.groupBy("shift", "pid").agg(F.max(F.when(F.col("end") == 0, F.col("near.below"))).alias("low"), F.max(F.when(F.col("end") == 1, F.col("near.above"))).alias("high"))
+    return bounds.select("shift", "pid").join(found, ["shift", "pid"], "left")
 
 
 def in_range(code: Column, low: Column, high: Column) -> Column:
@@ -78,6 +83,26 @@ def route(rows: DataFrame, bounds: DataFrame, code: str = "z") -> DataFrame:
     return r.join(b, (F.col("r.shift") == F.col("b.shift")) & in_range(F.col(f"r.{code}"), F.col("b.low"), F.col("b.high"))).select("r.*", "b.pid")
 
 
+def sampled_bounds(coded: DataFrame, partitions: int, epsilon: float, seed: int = 17) -> DataFrame:
+    """(shift, bounds) as ``quantile_bounds`` gives them, from independent samples of R and S.
+
+    ``coded`` has is_r, shift and z. Each set is drawn at the rate that its size and ``epsilon`` give; the ranks of the
+    cuts in the samples are those of ``estimator_index``. The driver gets two counts.
+    """
+    n = {r.is_r: r["count"] for r in coded.groupBy("is_r", "shift").count().collect()}
+    rates = {flag: sample_rate(rows, epsilon) for flag, rows in n.items()}
+    drawn = bernoulli(coded, rates, "is_r", seed)
+    rows, mean = sum(n.values()), sum(n[f] * rates[f] for f in n) / max(1, sum(n.values()))
+    ranks = [estimator_index(i, rows, mean, partitions) for i in range(1, partitions + 1)] if rows else []
+    ends = range_bounds(drawn.select("shift", "z"), ranks) if rows else coded.select("shift", F.col("z").alias("high")).limit(0)
+    return ends.filter("high IS NOT NULL").groupBy("shift").agg(F.array_sort(F.collect_set("high")).alias("bounds"))
+
+
+def partitioned(rows: DataFrame, partitions: int, code: str = "z") -> DataFrame:
+    """Routed rows, those of one range in one partition, in order of their codes, then ids."""
+    return rows.repartition(partitions, "shift", "pid").sortWithinPartitions("shift", "pid", code, "id")
+
+
 def quantile_bounds(coded: DataFrame, partitions: int, code: str = "z", accuracy: int = 10000) -> DataFrame:
     """(shift, bounds): ascending inner bounds of about equal parts of each shift's codes, found in one pass.
 

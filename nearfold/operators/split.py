@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Distinct values of a text column, about, by which an order is cut.
+SAMPLE = 10_000
+
+
 def by_condition(rows: DataFrame, in_r: Column) -> tuple[DataFrame, DataFrame]:
     """R where the condition holds, S everywhere else, null included."""
     held = F.coalesce(in_r, F.lit(False))
@@ -20,12 +24,18 @@ def id_date(identifier: Column) -> Column:
 def numbered(rows: DataFrame, order: list[str], parts: int = 64) -> DataFrame:
     """Rows with their position ``rn`` (from 1) and the count ``n`` in a total order.
 
-    The order is cut at quantiles of its first column, where that is a number or a time; each part is
-    numbered by itself and the sizes of those before are added. Cuts only balance the work.
+    The order is cut at quantiles of its first column, or for a column that is neither a number nor a time at those of
+    about ``SAMPLE`` of its distinct values, drawn by hash; each part is numbered by itself and the sizes of those
+    before are added. Cuts only balance the work.
     """
     kind = dict(rows.dtypes)[order[0]]
-    first = F.unix_micros(order[0]) if kind == "timestamp" else F.col(order[0]) if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") else None
-    bounds = rows.agg(F.percentile_approx(first, [i / parts for i in range(1, parts)]).alias("b")).first().b if first is not None else None
+    first = F.unix_micros(order[0]) if kind == "timestamp" else F.col(order[0])
+    if kind in ("timestamp", "tinyint", "smallint", "int", "bigint", "float", "double"):
+        bounds = rows.agg(F.percentile_approx(first, [i / parts for i in range(1, parts)]).alias("b")).first().b
+    else:
+        drawn = rows.filter(F.pmod(F.xxhash64(first), F.lit(max(1, rows.count() // SAMPLE))) == 0).select(first.alias("b")).distinct()
+        known = sorted(r.b for r in drawn.filter("b IS NOT NULL").collect())
+        bounds = [known[i * len(known) // parts] for i in range(1, parts)] if known else None
     part = F.size(F.filter(F.array(*(F.lit(x) for x in sorted(set(bounds)))), lambda b: b < first)) if bounds else F.lit(0)
     cut = rows.withColumn("__part", part)
     sizes = cut.groupBy("__part").agg(F.count("*").alias("__n"))

@@ -6,11 +6,10 @@ Points come from ``embeddings`` (four of its dimensions, cut to integers; every
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearfold.functions import curves, prepare
@@ -18,6 +17,7 @@ from nearfold.operators import knn, metrics, predict, ranges, split, tune
 from nearfold.plans import sessions
 from nearfold.plans.config import KnnConfig
 from nearfold.sources import text
+from nearfold.sources.tables import scratch
 
 K, D, BITS = 5, 4, 15
 VECTORS = [[0, 0, 0, 0], [137, 4211, 9001, 2718]]
@@ -71,16 +71,42 @@ def copies_sql(vectors: list[list[int]], source: str = "pts", d: int = D) -> str
     return "moved AS (" + " UNION ALL ".join(one(i, v) for i, v in enumerate(vectors)) + ")"
 
 
-def join_sql(vectors: list[list[int]], k: int = K, gray: bool = False, d: int = D, bits: int = BITS) -> str:
+def join_sql(vectors: list[list[int]], k: int = K, gray: bool = False, d: int = D, bits: int = BITS, hilbert: bool = False) -> str:
     """CTEs from pts to top(rid, sid, d2, rank)."""
-    z = z_sql([f"m{i}" for i in range(d)], bits)
+    z = z_sql([f"h{i}" if hilbert else f"m{i}" for i in range(d)], bits)
     code = "xor(z, z >> 1)" if gray else "z"
-    return f"""{copies_sql(vectors, d=d)}, coded0 AS (SELECT *, {z} AS z FROM moved), coded AS (SELECT * EXCLUDE (z), {code} AS z FROM coded0),
+    turned = f"{hilbert_sql('moved', [f'm{i}' for i in range(d)], 'turned', bits)}, " if hilbert else ""
+    return f"""{copies_sql(vectors, d=d)}, {turned}coded0 AS (SELECT *, {z} AS z FROM {'turned' if hilbert else 'moved'}), coded AS (SELECT * EXCLUDE (z), {code} AS z FROM coded0),
 ranked AS (SELECT *, CAST(sum(CASE WHEN is_r THEN 0 ELSE 1 END) OVER (PARTITION BY shift ORDER BY z, is_r, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS srank FROM coded),
 edges AS (SELECT r.id AS rid, s.id AS sid, min({d2_sql('r', 's', d)}) AS d2 FROM ranked r JOIN ranked s ON r.is_r AND NOT s.is_r AND r.shift = s.shift AND s.srank BETWEEN r.srank - {k - 1} AND r.srank + {k} GROUP BY 1, 2),
 top AS (SELECT * FROM (SELECT rid, sid, d2, CAST(row_number() OVER (PARTITION BY rid ORDER BY d2, sid) AS INTEGER) AS rank FROM edges) WHERE rank <= {k})"""
 
 
+def hilbert_sql(source: str, columns: list[str], out: str, bits: int = BITS) -> str:
+    """CTEs up to ``out``: ``source`` with h0, h1, ..., whose interleaved bits are the Hilbert index of the columns."""
+    d = len(columns)
+    x = [f"h{i}" for i in range(d)]
+    steps = [(f"{out}_0", f"SELECT *, {', '.join(f'{c} AS {h}' for c, h in zip(columns, x))} FROM {source}")]
+
+    def then(**new: str) -> None:
+        prior = steps[-1][0]
+        steps.append((f"{out}_{len(steps)}", f"SELECT * EXCLUDE ({', '.join(new)}), {', '.join(f'{e} AS {c}' for c, e in new.items())} FROM {prior}"))
+
+    for p in range(bits - 1, 0, -1):
+        q, low = 1 << p, (1 << p) - 1
+        then(h0=f"CASE WHEN h0 & {q} <> 0 THEN xor(h0, {low}) ELSE h0 END")
+        for h in x[1:]:
+            then(**{"h0": f"CASE WHEN {h} & {q} <> 0 THEN xor(h0, {low}) ELSE xor(h0, xor(h0, {h}) & {low}) END", h: f"CASE WHEN {h} & {q} <> 0 THEN {h} ELSE xor({h}, xor(h0, {h}) & {low}) END"})
+    for k in range(1, d):
+        then(**{x[k]: f"xor({x[k]}, {x[k - 1]})"})
+    turn = "0"
+    for p in range(bits - 1, 0, -1):
+        turn = f"xor({turn}, CASE WHEN {x[-1]} & {1 << p} <> 0 THEN {(1 << p) - 1} ELSE 0 END)"
+    steps.append((f"{out}_t", f"SELECT *, {turn} AS turn FROM {steps[-1][0]}"))
+    steps.append((out, f"SELECT * EXCLUDE ({', '.join(x)}, turn), {', '.join(f'xor({h}, turn) AS {h}' for h in x)} FROM {steps[-1][0]}"))
+    return ", ".join(f"{n} AS MATERIALIZED ({q})" for n, q in steps)
+
+
 VOTES = """near AS (SELECT t.rid, s.label, sqrt(CAST(d2 AS DOUBLE)) AS d, min(sqrt(CAST(d2 AS DOUBLE))) OVER w AS lo, max(sqrt(CAST(d2 AS DOUBLE))) OVER w AS hi FROM top t JOIN pts s ON s.id = t.sid WINDOW w AS (PARTITION BY t.rid)),
 votes AS (SELECT rid, label, CAST(sum(CAST(round((CASE WHEN hi = lo THEN 1.0::DOUBLE ELSE (hi - d) / (hi - lo) END) * 1000000000) AS BIGINT)) AS BIGINT) AS votes, count(*) AS n FROM near GROUP BY 1, 2),
 predicted AS (SELECT rid, label AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY votes DESC, label) AS nth FROM votes) WHERE nth = 1),
@@ -156,7 +182,7 @@ def gray_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("id", *(F.col("b")[i].alias(f"c{i}") for i in range(D)))
 
 
-@query()
+@query(f"WITH {PTS}, {hilbert_sql('pts', ['c0', 'c1', 'c2', 'c3'], 'turned')} SELECT id, {z_sql(['h0', 'h1', 'h2', 'h3'], BITS)} AS h FROM turned")
 def hilbert_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = embedded(spark, sf_dir).withColumn("t", curves.hilbert_transpose(F.col("coords"), D, BITS))
     return moved.select("id", curves.z_encode(F.col("t"), D, BITS).alias("h"))
@@ -177,10 +203,17 @@ def bernoulli_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(flag, n, ranges.sample_rate(n, 0.05)) for flag, n in counts.items()], "is_r boolean, n bigint, rate double")
 
 
-@query()
+@query("SELECT CAST(l_orderkey % 10 = 0 AS INTEGER) AS src, count(*) AS n, true AS as_many_as_said, true AS all_known FROM lineitem GROUP BY 1")
 def bernoulli_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each source its rows, whether the sample of them has the size of its rate by four standard errors, and whether all of it are rows of the table."""
     tagged = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") % 10 == 0).cast("int").alias("src"))
-    return ranges.bernoulli(tagged, {0: 0.1, 1: 0.5}, "src", 17)
+    rates = {0: 0.1, 1: 0.5}
+    drawn = ranges.bernoulli(tagged, rates, "src", 17)
+    rate = F.when(F.col("src") == 0, rates[0]).otherwise(rates[1])
+    sizes = tagged.groupBy("src").agg(F.count("*").alias("n")).join(drawn.groupBy("src").agg(F.count("*").alias("m")), "src", "left")
+    strange = drawn.join(tagged, ["l_orderkey", "l_linenumber", "src"], "left_anti").groupBy("src").agg(F.count("*").alias("strange"))
+    near = F.abs(F.coalesce("m", F.lit(0)) - F.col("n") * rate) <= 4 * F.sqrt(F.col("n") * rate * (1 - rate))
+    return sizes.join(strange, "src", "left").select("src", "n", near.alias("as_many_as_said"), F.coalesce("strange", F.lit(0)).eqNullSafe(F.lit(0)).alias("all_known"))
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_orderkey * 7919) % 10007 < 1001")
@@ -233,6 +266,25 @@ def group_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return range_route(spark, sf_dir).groupBy("shift", "pid").agg((F.first("shift") * 8 + F.first("pid")).alias("group_key"), F.count("*").alias("n"))
 
 
+@query(BOUNDS + " SELECT c.shift, b.pid, c.id, row_number() OVER (PARTITION BY c.shift, b.pid ORDER BY c.z, c.id) AS place, count(DISTINCT b.pid) OVER (PARTITION BY c.shift, b.pid) AS parts FROM coded c JOIN bounds b ON c.shift = b.shift AND (b.low IS NULL OR c.z >= b.low) AND (b.high IS NULL OR c.z < b.high)")
+def range_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row's place as the rows lie in the partitions, and how many partitions hold its range (one)."""
+    sample, at = _sampled(spark, sf_dir)
+    routed = ranges.route(knn.coded(embedded(spark, sf_dir), VECTORS, D, BITS), ranges.range_bounds(sample, at))
+    laid = ranges.partitioned(routed, 8).select("shift", "pid", "id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
+    own = Window.partitionBy("shift", "pid")
+    return laid.select("shift", "pid", "id", F.row_number().over(own.orderBy("at")).cast("bigint").alias("place"), F.size(F.collect_set("part").over(own)).cast("bigint").alias("parts"))
+
+
+@query("SELECT i AS shift, j AS feature, CASE WHEN i = 0 THEN 0 END AS zero, true AS in_bounds FROM range(0, 3) a(i), range(0, 9) b(j)")
+def shift_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three shift vectors of nine features: the first is zero, all lie in 0..10000, and a seed gives the same ones again."""
+    vectors = prepare.shift_vectors(3, 9, 17)
+    frame = prepare.shift_frame(spark, vectors).select("shift", F.posexplode("vector").alias("feature", "value"))
+    again = F.lit(vectors == prepare.shift_vectors(3, 9, 17))
+    return frame.select(F.col("shift").cast("bigint").alias("shift"), F.col("feature").cast("bigint").alias("feature"), F.when(F.col("shift") == 0, F.col("value").cast("int")).alias("zero"), (F.col("value").between(0, 10000) & again).alias("in_bounds"))
+
+
 # --- joins ----------------------------------------------------------------------------------------
 
 
@@ -264,11 +316,33 @@ def knn_join_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emb_edges(spark, sf_dir, curve="gray", partitions=8)[2]
 
 
-@query()
+@query(f"WITH {PTS}, {join_sql(VECTORS, hilbert=True)} {TOP}")
 def knn_join_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emb_edges(spark, sf_dir, curve="hilbert", partitions=8)[2]
 
 
+@query(f"{EMB} {TOP}")
+def knn_join_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The curve cut at ranks of samples that epsilon sizes: the same result for any cuts."""
+    return emb_edges(spark, sf_dir, partitions=8, epsilon=0.06)[2]
+
+
+WIDE_D, WIDE_K, WIDE_BITS = 9, 15, 32
+WIDE_VECTORS = [[0] * WIDE_D, [137, 4211, 9001, 2718, 77, 5005, 8191, 6007, 3331]]
+WIDE_PTS = "pts AS (SELECT vec_id AS id, label + 1 AS label, vec_id % 10 = 0 AS is_r, " + ", ".join(f"CAST(trunc((CAST(embedding[{i + 1}] AS DOUBLE) + 1.0) * 1000.0) AS BIGINT) AS c{i}" for i in range(WIDE_D)) + " FROM embeddings)"
+#: Coordinates stay below 2^15, so 15 of the 32 bits of each tell codes apart; as text, for 9 x 15 bits fit no BIGINT.
+WIDE_Z = " || ".join(f"CAST((m{k} >> {p}) & 1 AS VARCHAR)" for p in range(14, -1, -1) for k in range(WIDE_D))
+WIDE_JOIN = join_sql(WIDE_VECTORS, WIDE_K, d=WIDE_D, bits=1).replace(z_sql([f"m{i}" for i in range(WIDE_D)], 1), WIDE_Z)
+
+
+@query(f"WITH {WIDE_PTS}, {WIDE_JOIN} {TOP}")
+def knn_join_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default settings: 9 dimensions of 32 bits, codes as digit strings, 15 neighbours."""
+    coords = F.array(*(((F.col("embedding")[i].cast("double") + 1.0) * 1000.0).cast("bigint") for i in range(WIDE_D)))
+    points = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 10 == 0).alias("is_r"), coords.alias("coords"))
+    return knn.approximate_knn(*r_and_s(points), WIDE_K, WIDE_VECTORS, WIDE_D, WIDE_BITS, partitions=8)
+
+
 @query(f"WITH {PTS}, few AS (SELECT * FROM pts WHERE is_r OR id < 4), {copies_sql(VECTORS, 'few')}, " + join_sql(VECTORS).split("), ", 1)[1].replace("pts", "few") + f" {TOP}")
 def knn_join_few(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S has fewer rows than k: every R row gets what there is."""
@@ -418,14 +492,14 @@ def chained_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r2.select("id", "label", F.lit("R").alias("part")).unionByName(s2.select("id", "label", F.lit("S").alias("part")))
 
 
-@query(f"""{CHAIN}, e2 AS (SELECT r.id AS rid, s.id AS sid, {d2_sql('r', 's')} AS d2 FROM r2 r, s2 s), t2 AS (SELECT * FROM (SELECT rid, sid, row_number() OVER (PARTITION BY rid ORDER BY d2, sid) AS rank FROM e2) WHERE rank <= {K}),
+@query(f"""{CHAIN}, t2 AS (WITH pts AS (SELECT id, label, true AS is_r, c0, c1, c2, c3 FROM r2 UNION ALL SELECT id, label, false, c0, c1, c2, c3 FROM s2), {join_sql(VECTORS)} SELECT rid, sid FROM top),
 g AS (SELECT t.rid, round(avg(CAST(s.c0 AS DOUBLE)), 6) AS v FROM t2 t JOIN s2 s ON s.id = t.sid GROUP BY 1) SELECT p.id, coalesce(g.v, 0.0) AS value FROM pts p LEFT JOIN g ON g.rid = p.id WHERE p.is_r""")
 def final_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classification, then regression of the first coordinate for those predicted positive; 0 for the others."""
     r, s, found = emb_edges(spark, sf_dir)
     r2, s2 = split.chain(r, s, predict.classify(found, s))
     s2 = s2.withColumn("value", F.col("coords")[0].cast("double"))
-    return split.final_series(r, predict.regress(knn.exact_knn(r2, s2, K, D), s2))
+    return split.final_series(r, predict.regress(knn.approximate_knn(r2, s2, K, VECTORS, D, BITS), s2))
 
 
 @query("SELECT vec_id AS id, CASE WHEN vec_id % 10 = 0 THEN 0 ELSE 1 END AS src FROM embeddings")
@@ -434,6 +508,20 @@ def union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("id", F.lit(0).alias("src")).unionByName(s.select("id", F.lit(1).alias("src")))
 
 
+@query("SELECT vec_id AS id, label FROM embeddings")
+def rebalanced_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows dealt evenly over partitions: the same rows."""
+    return prepare.rebalanced(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label"), 4)
+
+
+@query("SELECT id, CASE WHEN nth > floor(n * 0.9) THEN 'R' ELSE 'S' END AS part FROM (SELECT id, row_number() OVER (ORDER BY id) AS nth, count(*) OVER () AS n FROM (SELECT 'M' || CAST(event_id * 7919 % 10007 AS VARCHAR) || '-' || CAST(event_id AS VARCHAR) AS id FROM events))")
+def split_by_text_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The positional split where ids are text, as those of meters are."""
+    key = F.concat(F.lit("M"), (F.col("event_id") * 7919 % 10007).cast("string"), F.lit("-"), F.col("event_id").cast("string"))
+    r, s = split.positional(table(spark, sf_dir, "events").select(key.alias("id")), ["id"])
+    return r.select("id", F.lit("R").alias("part")).union(s.select("id", F.lit("S")))
+
+
 def fold_sql(fold: int) -> str:
     pts = f"pts AS (SELECT * EXCLUDE (is_r, fold), coalesce(fold = {fold}, false) AS is_r FROM (SELECT *, CASE WHEN (rn - 1) // size < 3 THEN (rn - 1) // size END AS fold FROM (SELECT *, row_number() OVER (ORDER BY id) AS rn, count(*) OVER () // 3 AS size FROM all_pts)))"
     return f"(WITH {pts}, {join_sql(VECTORS)}, {VOTES} SELECT {fold} AS fold, round(100 * sum(CASE WHEN predicted = real THEN 1 ELSE 0 END) / count(DISTINCT id), 6) AS accuracy FROM pairs)"
@@ -463,7 +551,7 @@ def phase_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows written as CSV and parsed again."""
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), F.array(F.col("p_size").cast("float"), F.col("p_retailprice").cast("float")).alias("features"), F.col("p_retailprice").cast("float").alias("value"), (F.col("p_size") % 3 + 1).alias("label"))
-    path = f"{scratch(spark)}/rows"
+    path = scratch(spark)
     text.write_rows(rows, path)
     back = text.read_rows(spark, path, 2, value_at=2, class_at=3)
     return back.select("id", F.col("features")[0].alias("f1"), F.col("features")[1].alias("f2"), "value", "label")
@@ -473,19 +561,11 @@ def text_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classification results written as text lines and read again."""
     r, s, found = emb_edges(spark, sf_dir)
-    path = f"{scratch(spark)}/results"
+    path = scratch(spark)
     text.write_lines(text.classification_lines(predict.classify(found, s, [1, 2]), r, [1, 2]), path)
     return text.read_results(spark, path)
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder on storage that all executors share: below ``spark.checkpoint.dir``, a local one where that is unset."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="nearfold-")
-    return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
-
-
 THREE = KnnConfig(k=K, shifts=1, dimension=D, classes=10, partitions=4, bits=BITS)
 
 
@@ -512,9 +592,86 @@ def three_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.phase3(spark, THREE, path).select("rid", "predicted")
 
 
-@query()
+@query(f"{PART} SELECT CAST(id AS VARCHAR) AS rid, CAST(real AS DOUBLE) AS real, CAST(predicted AS DOUBLE) AS predicted FROM pairs")
+def regression_result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regression results written as text lines and read again."""
+    r, _, found = _part(spark, sf_dir)
+    path = scratch(spark)
+    text.write_lines(text.regression_lines(found, r), path)
+    return text.read_results(spark, path)
+
+
+@query("SELECT count(*) AS lines, CAST(1 AS BIGINT) AS files FROM nation")
+def single_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines written by one writer: one file has them all."""
+    path = scratch(spark)
+    text.write_lines(table(spark, sf_dir, "nation").select(F.col("n_name").cast("string").alias("value")).repartition(4), path, files=1)
+    return spark.read.text(path).select("value", F.input_file_name().alias("file")).agg(F.count("*").alias("lines"), F.count_distinct("file").alias("files"))
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS id, CAST(n_nationkey AS FLOAT) AS f1, CAST(0 AS FLOAT) AS value, 1 AS label FROM nation WHERE n_nationkey % 2 = 0")
+def overwrite_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second write to a path leaves nothing of the first."""
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.array(F.col("n_nationkey").cast("float")).alias("features"), F.lit(0.0).alias("value"), F.lit(1).alias("label"))
+    path = scratch(spark)
+    text.write_rows(rows, path)
+    text.write_rows(rows.filter(F.col("id").cast("int") % 2 == 0), path)
+    return text.read_rows(spark, path, 1, value_at=1, class_at=2).select("id", F.col("features")[0].alias("f1"), "value", "label")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {k}, {x})" for i, v in enumerate(VECTORS) for k, x in enumerate(v)) + ") t(shift, feature, value)")
+def shift_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shift vectors written to a file and read again."""
+    path = scratch(spark)
+    text.write_shifts(spark, VECTORS, path)
+    return prepare.shift_frame(spark, text.read_shifts(spark, path)).select("shift", F.posexplode("vector").alias("feature", "value")).withColumn("value", F.col("value").cast("int"))
+
+
+@query(BOUNDS + " SELECT shift, pid, coalesce(low, -1) AS low, coalesce(high, -1) AS high FROM bounds")
+def range_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges written for a later session and read by it."""
+    path = scratch(spark)
+    text.write_ranges(ranges.range_bounds(*_sampled(spark, sf_dir)), path)
+    return text.read_ranges(spark, path).fillna(-1)
+
+
+VALUED = KnnConfig(k=PART_K, shifts=1, dimension=2, task="regress", partitions=4, bits=PART_BITS, folds=3, epsilon=0.1)
+VALUED_PTS = "SELECT p_partkey AS id, CAST(trunc(p_size * 10.0) AS BIGINT) AS c0, CAST(trunc(p_partkey % 1000 * 10.0) AS BIGINT) AS c1, p_retailprice AS value FROM part"
+
+
+def _valued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array(F.col("p_size").cast("double"), (F.col("p_partkey") % 1000).cast("double")).alias("features"), F.col("p_retailprice").alias("value"))
+
+
+def valued_sql(is_r: str) -> str:
+    """CTEs to predicted(rid, predicted) of a regression of part, R by this condition."""
+    lift = "pts AS (SELECT id, is_r, value, c0 - min(c0) OVER () AS c0, c1 - min(c1) OVER () AS c1 FROM (SELECT *, " + is_r + " AS is_r FROM raw))"
+    return f"{lift}, {join_sql([[0, 0]], PART_K, d=2, bits=PART_BITS)}, predicted AS (SELECT t.rid, round(avg(s.value), 6) AS predicted FROM top t JOIN pts s ON s.id = t.sid GROUP BY 1)"
+
+
+@query(f"WITH raw AS ({VALUED_PTS}), {valued_sql('id % 10 = 0')} SELECT rid, predicted FROM predicted")
+def regression_three_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A regression in three jobs with tables between them."""
+    r, s = split.by_condition(_valued(spark, sf_dir), F.col("id") % 10 == 0)
+    path = scratch(spark)
+    sessions.phase1(r, s, VALUED, path)
+    sessions.phase2(spark, VALUED, path)
+    return sessions.phase3(spark, VALUED, path).select("rid", "predicted")
+
+
+def _valued_fold(fold: int) -> str:
+    return f"(WITH {valued_sql(f'coalesce(fold = {fold}, false)')} SELECT {fold} AS fold, round(sqrt(avg(pow(predicted - value, 2))), 6) AS rmse FROM predicted p JOIN pts s ON s.id = p.rid)"
+
+
+@query(f"WITH raw AS (SELECT *, CASE WHEN (rn - 1) // size < 3 THEN (rn - 1) // size END AS fold FROM (SELECT *, row_number() OVER (ORDER BY id) AS rn, count(*) OVER () // 3 AS size FROM ({VALUED_PTS}))) {' UNION ALL '.join(map(_valued_fold, range(3)))}")
+def regression_cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The error of a regression on each of three folds."""
+    return sessions.cross_validate(_valued(spark, sf_dir), ["id"], VALUED).select("fold", "rmse")
+
+
+@query("SELECT CAST(i AS INTEGER) AS generation, true AS never_worse, true AS is_share FROM range(0, 3) t(i)")
 def genetic_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A short search for feature scales: generation, best accuracy so far."""
+    """A short search for feature scales: each generation's best accuracy is a share, and no less than the one before."""
     from dataclasses import replace
 
     r, s = (x.persist() for x in _features(spark, sf_dir))
@@ -525,4 +682,17 @@ def genetic_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
         return float(metrics.accuracy(metrics.joined(sessions.run(r, s, own), r, "label")).first().accuracy or 0.0)
 
     genes, best, history = tune.genetic(score, (3,) * D, tune.Search(population=3, generations=2, seed=5))
-    return spark.createDataFrame([(i, h) for i, h in enumerate([*history, best])], "generation int, accuracy double")
+    found = [*history, best]
+    return spark.createDataFrame([(i, h >= found[max(0, i - 1)], 0.0 <= h <= 100.0) for i, h in enumerate(found)], "generation int, never_worse boolean, is_share boolean")
+
+
+@query("SELECT true AS scales_in_domain, true AS is_best_of_all, true AS scored_as_said")
+def tuned_cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scales tuned over cross-validated regressions: they lie in the domain, no generation had better ones, and score again as said."""
+    from dataclasses import replace
+
+    rows = _valued(spark, sf_dir).filter("id <= 150")
+    config = replace(VALUED, folds=2, scale_domain=(5, 5))
+    best, score, history = sessions.tuned(rows, ["id"], config, tune.Search(population=3, generations=1, seed=3))
+    again = metrics.fold_average(sessions.cross_validate(rows, ["id"], best), ["rmse"]).first().rmse
+    return spark.createDataFrame([(all(0 <= x <= 5 for x in best.scale), score <= min(history), again == score)], "scales_in_domain boolean, is_best_of_all boolean, scored_as_said boolean")

@@ -23,9 +23,12 @@ def read_rows(spark: SparkSession, path: str, dimension: int, value_at: int | No
 
 
 def write_rows(rows: DataFrame, path: str, files: int | None = None) -> None:
-    """CSV lines id, features..., value, label; replaces what is there. ``files`` = 1 writes one file."""
-    size = rows.select(F.size("features").alias("n")).first()
-    flat = rows.select("id", *(F.col("features")[i].alias(f"f{i + 1}") for i in range(size.n if size else 0)), "value", "label")
+    """CSV lines id, features..., value, label; replaces what is there. ``files`` = 1 writes one file.
+
+    All rows have as many features as the longest; what a shorter one lacks is an empty field.
+    """
+    size = rows.agg(F.max(F.size("features")).alias("n")).first().n or 0
+    flat = rows.select("id", *(F.get("features", F.lit(i)).alias(f"f{i + 1}") for i in range(max(0, size))), "value", "label")
     (flat.coalesce(files) if files else flat).write.mode("overwrite").csv(path, header=True)
 
 

@@ -3,35 +3,42 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from nearfold.functions.prepare import lifted, minima, shift_vectors
-from nearfold.operators import knn, predict
+from nearfold.functions.prepare import extent, lifted
+from nearfold.operators import predict
 from nearfold.plans import sessions
 from nearfold.plans.config import KnnConfig
 
 
 @dataclass(frozen=True)
 class Scorer:
-    """Scores one micro-batch after another against S, a stored table.
+    """Scores one micro-batch after another against S, a stored table, which is scaled and cut to integers once.
 
-    Coordinates of query rows below the smallest of S count as that smallest one.
+    Query rows beyond the bounds of S have their true distances; only their place on the curve is that of the bound.
     """
 
     s: DataFrame
     config: KnnConfig
     path: str
 
-    def predictions(self, batch: DataFrame) -> DataFrame:
+    @cached_property
+    def training(self) -> tuple[DataFrame, list[int]]:
+        """S above zero, and the minima that were subtracted."""
         s = sessions.points(self.s, self.config)
-        least = minima(s.select("coords"), self.config.dimension)
-        s = s.withColumn("coords", lifted(F.col("coords"), least))
-        placed = sessions.points(batch, self.config).withColumn("coords", F.transform(lifted(F.col("coords"), least), lambda c: F.greatest(c, F.lit(0))))
-        vectors = shift_vectors(self.config.shifts, self.config.dimension, self.config.seed, self.config.max_shift)
-        found = knn.approximate_knn(placed, s, self.config.k, vectors, self.config.dimension, self.config.bits, self.config.curve, self.config.partitions)
+        least, most = extent(s.select("coords"), self.config.dimension)
+        sessions.check_fit(least, most, self.config)
+        return s.withColumn("coords", lifted(F.col("coords"), least)).persist(StorageLevel.MEMORY_AND_DISK), least
+
+    def predictions(self, batch: DataFrame) -> DataFrame:
+        s, least = self.training
+        placed = sessions.points(batch, self.config).withColumn("coords", lifted(F.col("coords"), least))
+        found = sessions.edges(placed, s, self.config)
         return predict.classify(found, s, list(range(1, self.config.classes + 1))) if self.config.task == "classify" else predict.regress(found, s)
 
     def __call__(self, batch: DataFrame, number: int) -> None:
