@@ -1,3 +1,4 @@
+import os
 import random
 from dataclasses import replace
 
@@ -209,7 +210,7 @@ def test_cross_validation_and_sessions(spark, tmp_path):
 
 
 def test_settings_are_checked():
-    for wrong in ({"curve": "peano"}, {"k": 0}, {"task": "rank"}, {"scale": (1.0,)}):
+    for wrong in ({"epsilon": 0}, {"scale_domain": (1,)}, {"curve": "peano"}, {"k": 0}, {"task": "rank"}, {"scale": (1.0,)}):
         with pytest.raises(ValueError):
             KnnConfig(**wrong)
 
@@ -218,3 +219,106 @@ def test_top_k_is_cut_before_the_shuffle(spark):
     edges = some(spark, 5, 2, 1).select(F.col("id").alias("rid"), F.col("id").alias("sid"), F.col("id").alias("d2"))
     plan = knn.nearest(edges, 2)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+@pytest.mark.parametrize("curve", ["z", "hilbert"])
+def test_incomplete_points_are_near_nothing(spark, curve):
+    r, s = [(1, [5, 5]), (2, None), (3, [1, None])], [(10, [1, 1]), (11, [9, 9]), (12, None), (13, [None, 5]), (14, [5, 5, 5]), (15, [])]
+    for found in (knn.exact_knn(points(spark, r), points(spark, s), 5, 2), knn.approximate_knn(points(spark, r), points(spark, s), 5, [[0, 0], [3, 1]], 2, 6, curve, 3)):
+        assert sorted((e.rid, e.sid) for e in found.collect()) == [(1, 10), (1, 11)]
+    empty = points(spark, [])
+    assert knn.approximate_knn(empty, points(spark, s), 2, [[0, 0]], 2, 6, curve, 3).count() == 0
+    assert knn.approximate_knn(points(spark, r), empty, 2, [[0, 0], [1, 1]], 2, 6, curve, 3).count() == 0
+
+
+def test_coordinates_beyond_the_bits(spark):
+    far = knn.coded(points(spark, [(1, [99, 3]), (2, [15, 3]), (3, [-7, 2]), (4, [0, 2])]), [[0, 0]], 2, 4)
+    z = {r.id: r.z for r in far.collect()}
+    assert z[1] == z[2] and z[3] == z[4]
+    rows = spark.createDataFrame([(i, [float(i), 0.0], 1) for i in range(30)], "id bigint, features array<double>, label int")
+    config = KnnConfig(k=2, dimension=2, bits=8, shifts=1, partitions=2, epsilon=0.1)
+    with pytest.raises(ValueError):
+        sessions.run(rows, rows, config)
+    assert sessions.run(rows, rows, replace(config, bits=9)).count() == 30
+    with pytest.raises(ValueError):
+        sessions.run(rows, rows, replace(config, bits=9, shifts=2, max_shift=300))
+
+
+def test_sampled_cuts_do_not_change_the_join(spark):
+    r, s = some(spark, 50, 2, 1), some(spark, 400, 2, 2, 1000)
+    whole, cut = (knn.approximate_knn(r, s, 4, [[0, 0], [31, 7]], 2, 9, "z", p, e) for p, e in ((1, None), (6, 0.1)))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, cut.collect()))
+    both = knn.coded(s.withColumn("is_r", F.col("id") % 3 == 0), [[0, 0]], 2, 9)
+    bounds = ranges.sampled_bounds(both, 6, 0.1).first().bounds
+    assert bounds == sorted(bounds) and 3 <= len(bounds) <= 5
+
+
+def test_padding_by_force(spark):
+    r, s = some(spark, 60, 2, 4), some(spark, 150, 2, 5, 1000)
+    cr, cs = (knn.coded(x, [[0, 0], [9, 40]], 2, 9) for x in (r, s))
+    bounds = ranges.range_bounds(cr, [20, 40, 60])
+    codes = {k: sorted(x.z for x in cs.filter(F.col("shift") == k).collect()) for k in (0, 1)}
+
+    def moved(shift, code, reach):
+        at = next((i for i, z in enumerate(codes[shift]) if code is not None and z >= code), None)
+        return None if at is None or not 0 <= at + reach < len(codes[shift]) else codes[shift][at + reach]
+
+    want = sorted(str((b.shift, b.pid, moved(b.shift, b.low, -7), moved(b.shift, b.high, 7))) for b in bounds.collect())
+    assert sorted(str(tuple(b)) for b in ranges.padded_bounds(bounds, cs, 7).collect()) == want
+
+
+def test_partitions_hold_one_range_in_order(spark):
+    coded = knn.coded(some(spark, 300, 2, 9), [[0, 0], [3, 5]], 2, 10)
+    laid = ranges.partitioned(ranges.route(coded, ranges.range_bounds(coded, [75, 150, 225, 300])), 4).select("shift", "pid", "z", F.spark_partition_id().alias("p")).collect()
+    assert all(len({x.p for x in laid if (x.shift, x.pid) == key}) == 1 for key in {(x.shift, x.pid) for x in laid})
+    assert all((a.shift, a.pid, a.z) <= (b.shift, b.pid, b.z) for a, b in zip(laid, laid[1:]) if a.p == b.p)
+
+
+def test_numbering_by_text(spark, monkeypatch):
+    monkeypatch.setattr(split, "SAMPLE", 20)
+    rows = spark.createDataFrame([(f"M{i * 37 % 101}", i) for i in range(101)] + [("M5", 500), (None, 501), ("", 502)], "a string, b int")
+    placed = split.numbered(rows, ["a", "b"], 8)
+    want = {b: k + 1 for k, (_, b) in enumerate(sorted(((a is not None, a or ""), b) for a, b in [(r.a, r.b) for r in rows.collect()]))}
+    assert {r.b: r.rn for r in placed.collect()} == want
+    assert split.numbered(rows.limit(0), ["a", "b"]).count() == 0
+
+
+def test_ragged_rows_keep_all_features(spark, tmp_path):
+    rows = spark.createDataFrame([("a", [1.0], 1.0, 1), ("b", [1.0, 2.0], 1.0, 1), ("c", None, 1.0, 2)], "id string, features array<double>, value double, label int")
+    text.write_rows(rows, str(tmp_path / "rows"))
+    back = {r.id: r.features for r in text.read_rows(spark, str(tmp_path / "rows"), 2, 2, 3).collect()}
+    assert back == {"a": [1.0, 0.0], "b": [1.0, 2.0], "c": [0.0, 0.0]}
+    text.write_rows(rows.limit(0), str(tmp_path / "none"))
+    assert spark.read.csv(str(tmp_path / "none"), header=True, schema="id string").count() == 0
+
+
+def test_tuning_finds_the_feature_that_tells(spark):
+    r = random.Random(4)
+    rows = spark.createDataFrame([(i, [float(i % 2), float(r.randint(0, 30))], i % 2 + 1) for i in range(40)], "id bigint, features array<double>, label int")
+    config = KnnConfig(k=3, dimension=2, bits=20, partitions=2, folds=2, shifts=1, epsilon=0.2, scale_domain=(400, 1))
+    best, score, history = sessions.tuned(rows, ["id"], config, tune.Search(population=3, generations=1, seed=1))
+    assert score == 100.0 and len(best.scale) == 2 and history[0] <= score
+
+
+def test_tables_need_a_shared_folder():
+    from nearfold.sources import tables
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default=None: None)
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+
+    with pytest.raises(RuntimeError):
+        tables.shared_dir(Cluster())
+
+
+def test_released_tables_are_gone(spark):
+    from nearfold.sources import tables
+
+    kept = tables.materialize(spark.range(5))
+    path = kept.inputFiles()[0].removeprefix("file://")
+    assert kept.count() == 5 and os.path.exists(path)
+    tables.release(kept)
+    assert not os.path.exists(path)
