@@ -2,46 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearfold.sources.tables import materialize, release, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names. Where that is unset, a folder of our own in a session
-    without other machines; RuntimeError in any other session, whose executors would not see it."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="nearfold-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-#: Where the tables of this driver's ``materialize`` lie, by the id of their frame.
-_PATHS: dict[int, tuple[DataFrame, str]] = {}
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    _PATHS[id(back)] = back, path
-    return back
-
-
-def release(*tables: DataFrame) -> None:
-    """Delete materialized tables that nothing reads any more."""
-    for table in tables:
-        spark, (_, path) = table.sparkSession, _PATHS.pop(id(table))
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+__all__ = ["doc_key", "fresh", "keep_keys", "materialize", "release", "shared_dir", "table"]
 
 
 def fresh(name: str, columns: Iterable[str]) -> str:
