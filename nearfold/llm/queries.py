@@ -68,6 +68,17 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def tokens_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that the documents' tokens, as a table, decode to."""
+    return bpe.decode(materialize(bpe.encode(table(spark, sf_dir, "documents"))))
+
+
+def blocks_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that the documents' token blocks, as a table, decode to."""
+    blocks = materialize(tokenbin.write_blocks(table(spark, sf_dir, "documents")))
+    return bpe.decode(tokenbin.read_blocks(blocks))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_pii": op2_pii,
@@ -79,6 +90,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeated_passages": op8_repeated_passages,
     "op9_url_filter": op9_url_filter,
     "op10_decontaminate": op10_decontaminate,
+    "tokens_decoded": tokens_decoded,
+    "blocks_decoded": blocks_decoded,
 }
 
 #: The lengths of the records follow from their texts; which are altered or lost follows from the ids.
@@ -128,4 +141,56 @@ SELECT DISTINCT c.page_id, c.fetched_at, h.pattern IS NOT NULL AS listed, h.patt
 FROM c LEFT JOIN hits h ON h.nth = 1 AND h.page_id = c.page_id AND h.url = c.url AND h.fetched_at = c.fetched_at
 """
 
-ORACLES: dict[str, str] = {"op5_warc_audit": WARC_SQL, "op9_url_filter": URL_SQL}
+#: Rows of ``documents`` (equal ones once) as words with their places: cut (rid, doc_id, n, words, starts, ends).
+WORDS_SQL = r"""
+WITH rows_ AS (SELECT row_number() OVER () AS rid, doc_id, text FROM (SELECT {distinct} doc_id, text FROM documents WHERE text IS NOT NULL{known})),
+pieces AS (SELECT rid, doc_id, regexp_extract_all(text, '[\p{{L}}\p{{M}}\p{{N}}]+|[^\p{{L}}\p{{M}}\p{{N}}]+') AS p FROM rows_),
+placed AS (SELECT rid, doc_id, k, piece, CAST(sum(length(piece)) OVER (PARTITION BY rid ORDER BY k) AS BIGINT) AS stop FROM (SELECT rid, doc_id, unnest(p) AS piece, unnest(range(1, len(p) + 1)) AS k FROM pieces)),
+cut AS (SELECT rid, any_value(doc_id) AS doc_id, count(*) AS n, list(lower(piece) ORDER BY k) AS words, list(stop - length(piece) ORDER BY k) AS starts, list(stop ORDER BY k) AS ends FROM placed WHERE regexp_matches(piece, '[\p{{L}}\p{{M}}\p{{N}}]') GROUP BY rid)"""
+
+PASSAGES_SQL = WORDS_SQL.format(distinct="DISTINCT", known=" AND doc_id IS NOT NULL") + f""",
+w AS (SELECT rid, unnest(range(0, n - {substring.WINDOW} + 1)) AS pos FROM cut WHERE n >= {substring.WINDOW}),
+h AS (SELECT w.rid, w.pos, md5(array_to_string(list_slice(cut.words, w.pos + 1, w.pos + {substring.WINDOW}), ' ')) AS h FROM w JOIN cut USING (rid)),
+shared AS (SELECT h FROM h GROUP BY h HAVING count(DISTINCT rid) > 1),
+hit AS (SELECT rid, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY rid ORDER BY pos) <= {substring.WINDOW} THEN 0 ELSE 1 END AS fresh FROM h WHERE h IN (SELECT h FROM shared)),
+isle AS (SELECT rid, pos, sum(fresh) OVER (PARTITION BY rid ORDER BY pos) AS isle FROM hit),
+span AS (SELECT rid, min(pos) AS lo, max(pos) + {substring.WINDOW} AS hi FROM isle GROUP BY rid, isle)
+SELECT cut.doc_id, CAST(cut.starts[lo + 1] AS INTEGER) AS start, CAST(cut.ends[hi] AS INTEGER) AS "end", CAST(hi - lo AS INTEGER) AS words FROM span JOIN cut USING (rid)
+"""
+
+LEAKS_SQL = WORDS_SQL.format(distinct="", known="") + f""",
+items AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{N}}]+') AS v FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+pattern AS (SELECT DISTINCT item_id, least(len(v), {decontam.WINDOW}) AS size, array_to_string(list_slice(v, a + 1, a + {decontam.WINDOW}), ' ') AS p FROM (SELECT item_id, v, unnest(range(0, greatest(1, len(v) - {decontam.WINDOW} + 1))) AS a FROM items WHERE len(v) > 0)),
+w AS (SELECT rid, size, unnest(range(0, n - size + 1)) AS pos FROM cut, (SELECT DISTINCT size FROM pattern) WHERE n >= size),
+seen AS (SELECT w.rid, w.pos, w.size, array_to_string(list_slice(cut.words, w.pos + 1, w.pos + w.size), ' ') AS p FROM w JOIN cut USING (rid)),
+hit AS (SELECT rid, item_id, pos AS lo, pos + seen.size AS hi FROM seen JOIN pattern USING (p, size)),
+step AS (SELECT *, CASE WHEN lo < max(hi) OVER (PARTITION BY rid, item_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM hit),
+isle AS (SELECT *, sum(fresh) OVER (PARTITION BY rid, item_id ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS isle FROM step),
+span AS (SELECT rid, item_id, min(lo) AS lo, max(hi) AS hi FROM isle GROUP BY rid, item_id, isle)
+SELECT cut.doc_id, item_id, CAST(cut.starts[lo + 1] AS INTEGER) AS start, CAST(cut.ends[hi] AS INTEGER) AS "end", CAST(hi - lo AS INTEGER) AS words FROM span JOIN cut USING (rid)
+"""
+
+#: Exact similarities of all pairs that share a shingle, and their connected components.
+COPIES_SQL = WORDS_SQL.format(distinct="DISTINCT", known=" AND doc_id IS NOT NULL") + f""",
+gram AS (SELECT DISTINCT rid, array_to_string(list_slice(words, a + 1, a + {minhash.SHINGLE}), ' ') AS g FROM (SELECT rid, words, unnest(range(0, greatest(1, n - {minhash.SHINGLE} + 1))) AS a FROM cut)),
+size AS (SELECT rid, count(*) AS n FROM gram GROUP BY rid),
+both_ AS (SELECT x.rid AS a, y.rid AS b, count(*) AS n FROM gram x JOIN gram y ON x.g = y.g AND x.rid < y.rid GROUP BY 1, 2),
+near AS (SELECT a, b FROM both_ JOIN size x ON x.rid = a JOIN size y ON y.rid = b WHERE both_.n >= {minhash.THRESHOLD} * (x.n + y.n - both_.n)),
+edge AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+reach AS (WITH RECURSIVE r(a, b) AS (SELECT a, b FROM edge UNION SELECT r.a, edge.b FROM r JOIN edge ON r.b = edge.a) SELECT a, b FROM r),
+team AS (SELECT a AS rid, least(a, min(b)) AS team FROM reach GROUP BY a),
+stat AS (SELECT team, min(doc_id) AS duplicate_of, count(*) AS group_size FROM team JOIN cut USING (rid) GROUP BY team)
+SELECT DISTINCT cut.doc_id, stat.duplicate_of, stat.group_size FROM team JOIN stat USING (team) JOIN cut USING (rid) WHERE cut.doc_id <> stat.duplicate_of
+"""
+
+WHOLE_SQL = "SELECT doc_id, text FROM documents"
+
+ORACLES: dict[str, str] = {
+    "op1_minhash": COPIES_SQL,
+    "op5_warc_audit": WARC_SQL,
+    "op8_repeated_passages": PASSAGES_SQL,
+    "op9_url_filter": URL_SQL,
+    "op10_decontaminate": LEAKS_SQL,
+    "tokens_decoded": WHOLE_SQL,
+    "blocks_decoded": WHOLE_SQL.replace("text", "coalesce(text, '') AS text", 1),
+}
