@@ -1,7 +1,7 @@
 """Benchmark decontamination: one Aho-Corasick automaton over normalised test items.
 
 Every run of ``WINDOW`` words of an item (the whole item where it is shorter) becomes a pattern of one automaton,
-over words as letters, so that a pattern has as many states as words. Each text is normalised and scanned once;
+over words of three letters each, so that a pattern has three states a word. Each text is normalised and scanned once;
 what the automaton says is confirmed by the words' whole hashes; matches of one item that overlap are
 joined, and their offsets are mapped back to the original text.
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .store import fresh, keep_keys, materialize
-from .textcol import TextBatch, arrow_column, letters, mix, modest_batches, slices
+from .textcol import LETTERS, TextBatch, arrow_column, letters, mix, modest_batches, slices
 
 #: Words of a pattern.
 WINDOW = 10
@@ -72,16 +72,17 @@ def scan(autos: list[ahocorasick.Automaton], column: pa.Array) -> list[list[dict
         batch = TextBatch(part)
         hashes = batch.word_hashes()
         starts, ends, first = batch.words
-        text = letters(hashes)
+        text, size = letters(hashes), len(LETTERS)
         for row in range(batch.n):
             a, b = int(first[row]), int(first[row + 1])
             spans: dict[int, list[list[int]]] = {}
             for auto in autos if b > a else ():
                 if not len(auto):
                     continue
-                for last, said in auto.iter(text, a, b):
+                for last, said in auto.iter(text[a * size : b * size]):
                     for words, items in said:
-                        lo, hi = last + 1 - len(words), last + 1
+                        hi = a + (last + 1) // size
+                        lo = hi - len(words)
                         if tuple(hashes[lo:hi].tolist()) == words:
                             for item in items:
                                 spans.setdefault(item, []).append([lo, hi])
@@ -160,10 +161,10 @@ def _occurring(docs: DataFrame, items: DataFrame, window: int) -> list[list[Patt
     states = 0
     own = table.join(held, "h", "left_semi").groupBy("words").agg(F.sort_array(F.collect_set("item_id")).alias("ids"))
     for r in own.toLocalIterator():
-        if states + len(r.words) > STATES:
+        if states + len(LETTERS) * len(r.words) > STATES:
             out.append([])
             states = 0
-        states += len(r.words)
+        states += len(LETTERS) * len(r.words)
         out[-1].append((tuple(x & 0xFFFFFFFFFFFFFFFF for x in r.words), r.ids))
     return out
 
@@ -172,10 +173,10 @@ def _send(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple:
     """The patterns of all automata, for all workers."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").try_cast("bigint").alias("item_id"), F.col("text").alias("text")).filter("text IS NOT NULL AND item_id IS NOT NULL")
-    # An item of n characters has at most (n + 1) / 2 words, each in at most ``window`` patterns' places.
-    bound = items.agg(F.sum((F.length("text") + 1) / 2 * window)).first()[0] or 0
+    # A word, with what parts it from the next, has at least two characters, and begins one pattern at most.
+    bound = items.agg(F.sum(F.length("text") / 2 * window * len(LETTERS))).first()[0] or 0
     own = [patterns([tuple(r) for r in items.collect()], window)] if bound <= 8 * STATES else None
-    if own is None or sum(len(w) for w, _ in own[0]) > STATES:
+    if own is None or sum(len(w) for w, _ in own[0]) * len(LETTERS) > STATES:
         own = _occurring(docs, items, window)
     return spark.sparkContext.broadcast(own), uuid.uuid4().hex
 

@@ -5,7 +5,7 @@ A passage is repeated where every run of ``WINDOW`` words in it occurs in at lea
 1. Phrases: from each distinct document those runs of ``PHRASE`` words whose smallest 3-word hash comes
    first or last in them. That depends on their words alone, so a phrase is chosen in every document
    that holds it; and any ``WINDOW`` words hold at least one. Phrases of at least two documents recur.
-2. Automata: all documents are dealt to shards. A shard's automaton, over words as letters, is compiled from
+2. Automata: all documents are dealt to shards. A shard's automaton, over words of three letters each, is compiled from
    all recurring phrases of its documents, at most about ``SHARD_PHRASES``, and every document of the shard is
    streamed through it, whether it holds a phrase or not, which locates every occurrence. A phrase of many documents is in
    the automata of many shards, so none is hot, and each document is streamed once however many there are.
@@ -33,13 +33,13 @@ from pyspark.sql import functions as F
 
 from .minhash import rows_of
 from .store import keep_keys, materialize, release
-from .textcol import TextBatch, letters, mix, modest_batches, segments, slices
+from .textcol import LETTERS, TextBatch, letters, mix, modest_batches, segments, slices
 
 WINDOW = 50
 PHRASE = 25
 PART = 3
 #: Phrases of one automaton, about, and bytes of text of one shard (one text may exceed either).
-SHARD_PHRASES = 60_000
+SHARD_PHRASES = 20_000
 SHARD_BYTES = 8 << 20
 _Q = np.uint64(0xC6A4A7935BD1E995)
 _Q_INV = np.uint64(pow(int(_Q), -1, 1 << 64))
@@ -123,7 +123,7 @@ class Shard:
             if own:
                 mine = slice(cut[row], cut[row + 1])
                 for w in chosen[mine][np.isin(hashes[mine].view(np.int64), own)].tolist():
-                    self.auto.add_word(text[w : w + PHRASE])
+                    self.auto.add_word(text[w * len(LETTERS) : (w + PHRASE) * len(LETTERS)])
 
     def search(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each text with occurrences: its node, begins of the windows around them, and the windows' hashes."""
@@ -135,7 +135,7 @@ class Shard:
             ends = [e for e, _ in self.auto.iter(letters(words))]
             if node is None or not ends or n < WINDOW:
                 continue
-            last = np.array(ends)
+            last = np.array(ends) // len(LETTERS)  # the last word of each occurrence
             around = np.zeros(n + 2, np.int64)
             np.add.at(around, np.maximum(last + 1 - WINDOW, 0), 1)
             np.add.at(around, last - PHRASE + 2, -1)

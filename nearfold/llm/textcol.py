@@ -220,9 +220,17 @@ class TextBatch:
         return int(self._counted[1][at - a])
 
 
+#: Letters of a word, and the bits and the first letter of each: no two share one, so that no match begins within a word.
+LETTERS = ((58, 6, 0), (52, 6, 64), (45, 7, 128))
+
+
 def letters(words: np.ndarray) -> str:
-    """Words as the letters of an automaton: 20 bits of each hash. What it finds is to be confirmed by whole hashes."""
-    return ((words >> np.uint64(44)).astype("<u4") + np.uint32(0x10000)).tobytes().decode("utf-32-le")
+    """Words, by ``len(LETTERS)`` letters for each hash, as the text of an automaton, whose states look their followers up one by
+    one and so are fast with few of them. What it finds is to be confirmed by whole hashes."""
+    out = np.empty((len(words), len(LETTERS)), np.uint8)
+    for k, (shift, bits, first) in enumerate(LETTERS):
+        out[:, k] = (words >> np.uint64(shift)).astype(np.uint8) & np.uint8((1 << bits) - 1) | np.uint8(first)
+    return out.tobytes().decode("latin-1")
 
 
 def segments(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -362,7 +362,7 @@ def test_benchmark_awkward(spark, awkward, empty, monkeypatch):
     nothing = spark.createDataFrame([], "item_id bigint, text string")
     assert decontam.contamination(awkward, nothing).count() == 0 and decontam.contamination(empty, bench).count() == 0
     whole = sorted(map(str, decontam.contamination(awkward, bench).collect()))
-    for states in (30, 400):  # several automata of the patterns that occur, and one
+    for states in (90, 1200):  # several automata of the patterns that occur, and one
         monkeypatch.setattr(decontam, "STATES", states)
         assert sorted(map(str, decontam.contamination(awkward, bench).collect())) == whole
 
@@ -375,7 +375,7 @@ def test_benchmark_in_other_scripts(spark):
 
 
 def test_letters_that_collide_are_told_apart(monkeypatch):
-    monkeypatch.setattr(decontam, "letters", lambda words: "x" * len(words))
+    monkeypatch.setattr(decontam, "letters", lambda words: "xyz" * len(words))
     autos = [decontam.build(decontam.patterns([(1, "red blue"), (2, "old new")]))]
     assert [[m["item_id"] for m in x] for x in decontam.scan(autos, pa.array(["some old new red blue", "blue red", None]))] == [[1, 2], [], []]
 
