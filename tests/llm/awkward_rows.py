@@ -1,7 +1,7 @@
 """Small inputs with everything that could trip an operator."""
 
 #: Names that operators use inside, as columns of the input.
-CLASHING = ("node", "key", "h", "sketch", "a", "b", "c", "x", "m", "label", "item_id", "start", "end", "spans", "redacted", "token_ids", "fingerprint", "docs", "file", "seq", "pattern", "since", "hit", "begins", "__lang", "__hits", "__pii")
+CLASHING = ("node", "key", "h", "sketch", "a", "b", "c", "x", "m", "label", "item_id", "start", "end", "spans", "redacted", "token_ids", "fingerprint", "docs", "file", "seq", "pattern", "since", "hit", "begins", "__LANG", "__Hits", "__PII", "__key", "__Mark", "t", "head", "group", "phrases")
 
 WORDS = "the of and to in for that with from this are was onion river market window letter garden stone bridge yellow quiet engine winter paper forest silver".split()
 

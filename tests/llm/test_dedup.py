@@ -10,6 +10,7 @@ from awkward_rows import awkward_rows, prose
 from nearfold.llm import minhash, simhash, substring
 from nearfold.llm.components import components
 from nearfold.llm.textcol import TextBatch
+from test_text import word_spans, words_of
 
 
 def rows_of(df):
@@ -17,8 +18,12 @@ def rows_of(df):
 
 
 def shingle_sets(rows):
-    _, _, own, begin = minhash._sets(pa.array([t for _, t in rows], pa.string()))
-    return [frozenset(own[begin[i] : begin[i + 1]].tolist()) for i in range(len(rows))]
+    """Word 3-grams by plain string code; all words where there are fewer."""
+    out = []
+    for _, t in rows:
+        w = words_of(t)
+        out.append({tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if w else set())
+    return out
 
 
 def groups_by_force(rows, threshold=minhash.THRESHOLD):
@@ -61,11 +66,7 @@ def test_minhash_many_copies_and_bridges(spark):
 
 
 def test_minhash_awkward(spark, awkward, empty):
-    seen = {}
-    for i, t, *_ in awkward_rows():
-        if i is not None and t is not None:
-            seen[i] = min(t, seen.get(i, t))
-    rows = sorted(seen.items())
+    rows = sorted({(i, t) for i, t, *_ in awkward_rows() if i is not None and t is not None})
     assert groups_of(minhash.duplicates(awkward)) == groups_by_force(rows)
     assert {1, 2, 4} <= next(g for g in groups_by_force(rows) if 1 in g)
     kept = minhash.drop_duplicates(awkward)
@@ -77,6 +78,26 @@ def test_minhash_awkward(spark, awkward, empty):
     assert minhash.duplicates(empty).count() == 0 and minhash.drop_duplicates(empty).count() == 0
 
 
+def test_every_text_of_a_repeated_id_is_compared(spark):
+    w, u, x = prose(60, 1), prose(60, 2), prose(60, 3)
+    rows = [(1, w), (2, w), (2, u), (3, x), (3, x), (3, x + " and more"), (4, u.upper()), (None, w), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = sorted(tuple(r) for r in minhash.duplicates(df).collect())
+    assert found == [(2, 1, 2), (4, 2, 2)]
+    kept = sorted(((r.doc_id, r.text) for r in minhash.drop_duplicates(df).collect()), key=str)
+    three = [t for i, t in kept if i == 3]
+    assert len(three) == 1 and three[0] in (x, x + " and more")
+    assert [r for r in kept if r[0] != 3] == sorted([(1, w), (2, u), (None, w), (5, None)], key=str)
+
+
+def test_ids_that_are_no_numbers(spark):
+    df = spark.createDataFrame([("1", prose(60, 1)), ("02", prose(60, 1)), ("x", prose(60, 1)), ("x", prose(60, 2))], "doc_id string, text string")
+    assert [tuple(r) for r in minhash.duplicates(df).collect()] == [(2, 1, 2)]
+    assert sorted(r.doc_id for r in minhash.drop_duplicates(df).collect()) == ["1", "x", "x"]
+    assert {r.doc_id for r in substring.repeated_passages(df).collect()} == {1, 2}
+    assert [(r.doc_a, r.doc_b) for r in simhash.near_documents(df).collect()] == [(1, 2)]
+
+
 def test_sketches_merge_and_estimate():
     r = np.random.default_rng(1)
     pool = r.integers(0, 2**63, 6000).astype(np.uint64)
@@ -149,6 +170,22 @@ def test_simhash_awkward(spark, awkward, empty):
     assert simhash.near_documents(empty).count() == 0
 
 
+def test_fingerprints_by_plain_votes(texts):
+    def mix(x):
+        for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> shift)) * odd % 2**64
+        return x ^ (x >> 31)
+
+    own = list(texts.values())[:40]
+    rows, prints = simhash.fingerprints_of(pa.array(own))
+    for row, got in zip(rows.tolist(), prints.tolist()):
+        votes = [0] * 64
+        for w in set(words_of(own[row])):
+            h = mix(int(TextBatch(pa.array([w])).word_hashes()[0]))
+            votes = [v + (1 if h >> (63 - k) & 1 else -1) for k, v in enumerate(votes)]
+        assert got == sum(1 << (63 - k) for k, v in enumerate(votes) if v > 0)
+
+
 def test_simhash_votes():
     rows, prints = simhash.fingerprints_of(pa.array(["one two three four", "ONE, two\nthree four!", "", None, "one"]))
     assert rows.tolist() == [0, 1, 4] and prints[0] == prints[1]
@@ -190,18 +227,17 @@ def test_simhash_recalls_planted_near_copies(spark):
 
 
 def passages_by_force(rows):
-    w, owner, shared, parsed = substring.WINDOW, {}, set(), {}
-    for i, t in rows:
-        b = TextBatch(pa.array([t]))
-        s, e, _ = b.words
-        raw = b.folded.tobytes()
-        words = tuple(raw[x:y] for x, y in zip(s, e))
-        parsed[i] = b, s, e, words
-        for k in range(len(words) - w + 1):
-            if owner.setdefault(words[k : k + w], i) != i:
-                shared.add(words[k : k + w])
+    """Spans of words whose runs of ``WINDOW`` also stand in another row; places by plain string code."""
+    w, owner, shared, parsed = substring.WINDOW, {}, set(), []
+    for k, (i, t) in enumerate(rows):
+        cut = word_spans(t)
+        words, places = tuple(x for x, *_ in cut), [(a, b) for _, a, b in cut]
+        parsed.append((i, words, places))
+        for n in range(len(words) - w + 1):
+            if owner.setdefault(words[n : n + w], k) != k:
+                shared.add(words[n : n + w])
     out = set()
-    for i, (b, s, e, words) in parsed.items():
+    for i, words, places in parsed:
         spans = []
         for k in range(len(words) - w + 1):
             if words[k : k + w] in shared:
@@ -209,7 +245,7 @@ def passages_by_force(rows):
                     spans[-1][1] = k + w
                 else:
                     spans.append([k, k + w])
-        out |= {(i, b.char_at(0, s[x]), b.char_at(0, e[y - 1]), y - x) for x, y in spans}
+        out |= {(i, places[x][0], places[y - 1][1], y - x) for x, y in spans}
     return out
 
 
@@ -219,10 +255,10 @@ def test_passages(spark, documents):
 
 
 def test_passages_awkward(spark, awkward, empty):
-    rows = {i: t for i, t, *_ in awkward_rows() if i is not None and t is not None and i not in (11, 14)}
+    rows = {(i, t) for i, t, *_ in awkward_rows() if i is not None and t is not None and i not in (11, 14)}
     small = awkward.filter("doc_id IS NULL OR doc_id NOT IN (11, 14)")
     got = {tuple(r) for r in substring.repeated_passages(small).collect()}
-    assert got == passages_by_force(sorted(rows.items())) and {1, 2, 15} <= {g[0] for g in got}
+    assert got == passages_by_force(sorted(rows)) and {1, 2, 15} <= {g[0] for g in got}
     assert 11 in {r.doc_id for r in substring.repeated_passages(awkward).collect()}
     assert substring.repeated_passages(empty).count() == 0
 

@@ -3,11 +3,16 @@
 import os
 import re
 
+import pyarrow as pa
 import pytest
+import tiktoken
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from nearfold.llm import bpe, queries
+from nearfold.llm import bpe, langid, pii, queries
+from test_dedup import groups_by_force
+from test_text_operators import passages_by_force as windows_by_force
+from test_tokens import PATTERN
 
 
 def test_stage_order_and_registration():
@@ -35,6 +40,20 @@ def test_run(spark, documents, texts, sf_dir):
     assert sum(back[i] == texts[i] for i in back) > 0.8 * len(back)
 
 
+def test_run_by_force(spark, documents, sf_dir):
+    """The rows of ``run`` by plain code: labels, all pairs, all windows, redactions and a public tokenizer, text by text."""
+    rows = [(r.doc_id, r.text) for r in documents.collect()]
+    model = langid.fit(documents)
+    rows = [x for x, said in zip(rows, langid.label(pa.array([t for _, t in rows]), model)) if said["lang"] != "und"]
+    copies = {i: min(g) for g in groups_by_force(rows) for i in g}
+    rows = [(i, t) for i, t in rows if copies.get(i, i) == i]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    leaks = {i for i, _ in windows_by_force(rows, items)}
+    trained, public = pii.train(), tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.Vocabulary.read(bpe.VOCABULARY).ranks, special_tokens={})
+    want = {i: public.encode_ordinary(pii.redact(t, pii.detect(t, trained))) for i, t in rows if i not in leaks}
+    assert {r.doc_id: r.token_ids for r in corpus_pipeline.run(spark, sf_dir).collect()} == want
+
+
 def test_stages_awkward(spark, awkward, empty, sf_dir):
     for rows in (awkward, empty):
         docs = rows

@@ -18,22 +18,27 @@ def fold(c):
     return small if len(small) == 1 and len(small.encode()) == len(c.encode()) and unicodedata.category(c)[0] == "L" else c
 
 
-def words_of(s):
-    """Words by plain string code: runs of letters, marks and digits, but Han, kana and Thai characters alone."""
-    out, own = [], ""
-    for c in [*(s or ""), " "]:
+def word_spans(s):
+    """(word, start, end) by plain string code: runs of letters, marks and digits, but Han, kana and Thai characters alone."""
+    out, own, start = [], "", 0
+    for k, c in enumerate([*(s or ""), " "]):
         inside = unicodedata.category(c)[0] in "LMN"
         alone = inside and re.match(r"[\u0e00-\u0e7f\u3040-\u30ff\u4e00-\u9fff]", c)
         if own and (alone or not inside):
-            out.append(own)
+            out.append((own, start, k))
             own = ""
         if alone:
-            out.append(c)
+            out.append((c, k, k + 1))
         elif inside:
+            start = start if own else k
             own += fold(c)
     return out
 
 
+def words_of(s):
+    return [w for w, *_ in word_spans(s)]
+
+
 @settings(max_examples=150, deadline=None)
 @given(text)
 def test_words_and_normal_form(column):
