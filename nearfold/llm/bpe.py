@@ -35,6 +35,7 @@ from .textcol import TextBatch, arrow_column, range_hash, slices
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Encoded words that a worker keeps; beyond it, it starts anew.
 CACHE_WORDS = 1_500_000
+QUICK_BITS = 20
 LONG = 512
 
 L, N, O, SP, WS, END = 1, 2, 3, 4, 5, 6
@@ -219,7 +220,9 @@ class Vocabulary:
         self.slot = np.zeros(0, np.int64)
         self.begin = np.zeros(1, np.int64)
         self.tokens = np.zeros(0, np.int32)
-        self.long: dict[bytes, np.ndarray] = {}
+        # Where most words are found at once: by their leading bits, each place kept by the first that came.
+        self.at_once = np.zeros(1 << QUICK_BITS, np.uint64)
+        self.slot_at_once = np.zeros(1 << QUICK_BITS, np.int32)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All texts of one slice: tokens, and where each text's begin (n + 1 entries)."""
@@ -232,20 +235,36 @@ class Vocabulary:
         if len(long):  # compared in full: each gets a number of its own
             own: dict[bytes, int] = {}
             for i in long.tolist():
-                hashes[i] = own.setdefault(batch.data[begins[i] : ends[i]].tobytes(), len(own))
-        distinct, example, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+                hashes[i] = own.setdefault(batch.data[begins[i] : ends[i]].tobytes(), len(own) + 1)  # 0 marks an empty place
+            self.forget()
+        slot = self._slots(batch, begins, ends, hashes)
+        low = self.begin[slot]
+        count = self.begin[slot + 1] - low
+        total = np.concatenate(([0], np.cumsum(count)))
+        tokens = self.tokens[np.arange(int(total[-1])) + np.repeat(low - total[:-1], count)]
+        if len(long):
+            self.forget()
+        return tokens, total[first]
+
+    def _slots(self, batch: TextBatch, begins: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Where the encodings of words are kept; new words are encoded."""
+        place = (hashes >> np.uint64(64 - QUICK_BITS)).astype(np.int64)
+        slot = self.slot_at_once.take(place).astype(np.int64)
+        missed = np.flatnonzero(self.at_once.take(place) != hashes)
+        if not len(missed):
+            return slot
+        distinct, example, inverse = np.unique(hashes[missed], return_index=True, return_inverse=True)
         at = np.searchsorted(self.known, distinct)
         new = np.ones(len(distinct), bool)
         if len(self.known):
             new = self.known[np.minimum(at, len(self.known) - 1)] != distinct
-        small = int(np.searchsorted(distinct, len(long), "left")) if len(long) else 0
-        if len(self.known) + int(new.sum()) > CACHE_WORDS or len(long):
+        if len(self.known) and len(self.known) + int(new.sum()) > CACHE_WORDS:
             self.forget()
-            new, at = np.ones(len(distinct), bool), np.zeros(len(distinct), np.int64)
+            return self._slots(batch, begins, ends, hashes)
         fresh = np.flatnonzero(new)
         if len(fresh):
             raw = batch.data.tobytes()
-            pick = example[fresh]
+            pick = missed[example[fresh]]
             encoded = self.encode_words([raw[a:b] for a, b in zip(begins[pick].tolist(), ends[pick].tolist())])
             sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
             slots = len(self.begin) - 1 + np.arange(len(encoded))
@@ -253,14 +272,13 @@ class Vocabulary:
             self.tokens = np.concatenate((self.tokens, np.fromiter((t for e in encoded for t in e), np.int32, int(sizes.sum()))))
             self.known = np.insert(self.known, at[fresh], distinct[fresh])
             self.slot = np.insert(self.slot, at[fresh], slots)
-        slot = self.slot[np.searchsorted(self.known, distinct)][inverse]
-        low = self.begin[slot]
-        count = self.begin[slot + 1] - low
-        total = np.concatenate(([0], np.cumsum(count)))
-        tokens = self.tokens[np.arange(int(total[-1])) + np.repeat(low - total[:-1], count)]
-        if small or len(long):
-            self.forget()
-        return tokens, total[first]
+            place = place[pick]
+            free = np.flatnonzero(self.at_once[place] == 0)
+            self.at_once[place[free]] = distinct[fresh][free]
+            own = self.at_once[place] == distinct[fresh]  # of several for one place the last was kept
+            self.slot_at_once[place[own]] = slots[own]
+        slot[missed] = self.slot[np.searchsorted(self.known, distinct)][inverse]
+        return slot
 
     def spell(self, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of tokens, and where each token's begin (n + 1 entries)."""

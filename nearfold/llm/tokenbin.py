@@ -39,7 +39,7 @@ from .textcol import modest_batches, slices
 BLOCK = 1 << 18
 LANE_IDS = 1024  # ids of a lane, about
 LANES = 256  # of a block at most
-GROUP = 16  # blocks coded together
+GROUP = 24  # blocks coded together
 MAGIC = b"NFT2"
 _HEAD = struct.Struct("<4sIIII")  # magic, ids, vocabulary, checksum of ids, of the body
 _SUM = struct.Struct("<I")  # checksum of the head
@@ -54,6 +54,8 @@ _STATES = GUESSES << (COUNT_BITS + 4)
 PAIRS = 1 << 17  # contexts of order 2 in a block's table
 SCALE, SCALE_0 = np.uint64(16), np.uint64(22)  # bits of the mixture's weights, and of order 0's
 STEP = 128  # weight of one occurrence in order 0
+_BUCKET_BITS = 12
+_BUCKETS = np.arange(1 << _BUCKET_BITS, dtype=np.int32) << np.int32(SCALE_0 - np.uint64(_BUCKET_BITS))
 _32 = np.uint64(32)
 _WHOLE = 1 << int(SCALE_0)
 _MIN = np.uint64(1) << _32
@@ -63,6 +65,12 @@ def lanes_of(n: int) -> int:
     return min(LANES, max(1, n // LANE_IDS))
 
 
+def _by_lane(n: int) -> tuple[int, int]:
+    """Lanes of a block of n ids, and the ids of each (the last ones may have fewer)."""
+    lanes = lanes_of(n)
+    return lanes, -(-n // lanes)
+
+
 class _Mixture:
     """The adaptive model of many blocks side by side, one position of all their lanes at a time.
 
@@ -72,12 +80,10 @@ class _Mixture:
     def __init__(self, sizes: list[int], vocabulary: int, decode: bool = False):
         self.decode = decode
         self.vocabulary = vocabulary
-        lanes = np.array([lanes_of(n) for n in sizes], np.int64)
-        steps = -(-np.array(sizes, np.int64) // lanes)
+        lanes, steps = (np.array(x, np.int64) for x in zip(*map(_by_lane, sizes))) if sizes else (np.zeros(0, np.int64),) * 2
         self.block = np.repeat(np.arange(len(sizes)), lanes)
         nth = np.arange(len(self.block)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
-        self.first = nth * steps[self.block]  # position of a lane's first id in its block
-        self.size = np.clip(np.array(sizes, np.int64)[self.block] - self.first, 0, steps[self.block])
+        self.size = np.clip(np.array(sizes, np.int64)[self.block] - nth * steps[self.block], 0, steps[self.block])
         self.lane = np.arange(len(self.block))
         self.steps = int(self.size.max(initial=0))
         self.ends = set(self.size.tolist())
@@ -88,7 +94,8 @@ class _Mixture:
         self.tried, self.hit = np.full(n * _STATES + 1, 2, np.int64), np.full(n * _STATES + 1, 1, np.int64)
         self.freq = np.zeros(n * vocabulary + 1, np.int64)
         self.freq[1:] = np.tile(np.maximum(1, 20000 // (np.arange(vocabulary) + 300)), n)  # ids ascend as words get rarer
-        self.below = np.empty((n, vocabulary + 1), np.int32)
+        self.row = vocabulary + 1
+        self.below = np.empty((n, self.row), np.int32)
         self.p1 = np.full(len(self.block), vocabulary, np.int64)
         self.p2 = self.p1.copy()
         self.seen: list[tuple[np.ndarray, np.ndarray]] = []
@@ -105,16 +112,19 @@ class _Mixture:
         on = None
         if step in self.ends:
             on = np.flatnonzero(self.size > step)
-            self.block, self.size, self.lane, self.first, self.p1, self.p2 = (x[on] for x in (self.block, self.size, self.lane, self.first, self.p1, self.p2))
+            self.block, self.size, self.lane, self.p1, self.p2 = (x[on] for x in (self.block, self.size, self.lane, self.p1, self.p2))
         if on is not None or step == 0:
             self.base_1, self.base_2 = self.block * (self.vocabulary + 1), self.block * PAIRS
             self.base_state = (self.block * _STATES)[None, :] + self.kind
-            self.base_0, self.base_freq = self.base_1, self.block * self.vocabulary + 1
+            self.base_0, self.base_freq = self.block * self.row, self.block * self.vocabulary + 1
             width = len(self.block)
             self.pick = np.arange(width)
             self.ends_at = np.zeros((GUESSES + 2, width), np.uint32)
             self.ends_at[-1] = 1 << int(SCALE)
-            self.slots = np.empty((GUESSES, width), np.int32)
+            # Room that every step uses again.
+            self.slots, self.count, self.ids, self.usable, self.one_more = (np.empty((GUESSES, width), np.int32) for _ in range(5))
+            self.chances = np.empty((GUESSES, width), np.uint32)
+            self.flag, self.fit, self.same = (np.empty((GUESSES, width), bool) for _ in range(3))
             self.states = np.zeros((GUESSES + 1, width), np.int64)
         return on
 
@@ -127,7 +137,7 @@ class _Mixture:
         self.chance[0] = 0
         if order_0:
             if self.missed:
-                self.freq += STEP * np.bincount(np.concatenate(self.missed), minlength=len(self.freq))
+                np.add.at(self.freq, np.concatenate(self.missed), STEP)
                 self.missed = []
             total = np.cumsum(self.freq[1:].reshape(len(self.below), -1), axis=1)
             self.below[:, 0] = 0
@@ -135,59 +145,82 @@ class _Mixture:
             self.below += self.odd
             self.below[:, -1] = _WHOLE
             self.flat = self.below.ravel()
-            if self.decode:  # all blocks' in one ascending line
-                self.line = (self.below + (np.arange(len(self.below), dtype=np.int32) << np.int32(SCALE_0))[:, None]).ravel()
+            if self.decode:  # the last id that begins at or before each bucket of values
+                self.bucket = np.concatenate([np.searchsorted(row, _BUCKETS, "right") - 1 + k * self.row for k, row in enumerate(self.below[:, : self.vocabulary])])
+
+    def find(self, v: np.ndarray, block: np.ndarray) -> np.ndarray:
+        """The places in ``flat`` of the ids in whose parts of order 0 the values lie: by buckets, then by halves."""
+        found = self.bucket.take((block << _BUCKET_BITS) + (v >> (int(SCALE_0) - _BUCKET_BITS)), mode="clip")
+        more = np.flatnonzero(self.flat.take(found + 1, mode="clip") <= v)
+        if len(more):
+            at, value, end = found[more], v[more], block[more] * self.row + self.row - 1
+            step = 1 << (int(SCALE_0) - _BUCKET_BITS)  # every id has a part of its own
+            while step:
+                at += (self.flat.take(np.minimum(at + step, end)) <= value) * step
+                step >>= 1
+            found[more] = at
+        return found
 
     def guess(self) -> tuple[np.ndarray, np.ndarray]:
         """The guesses (guesses x lanes, negative: none), and where the parts of the mixture begin
         (order 0 after the guesses, then the whole)."""
         self.i1 = self.base_1 + self.p1
         self.i2 = self.base_2 + (((self.p1 * 0x9E3779B1 + self.p2 * 0x85EBCA6B) >> 9) & (PAIRS - 1))
-        one, two = self.after_one.take(self.i1), self.after_two.take(self.i2)
+        one, two = self.after_one.take(self.i1, mode="clip"), self.after_two.take(self.i2, mode="clip")
         slots = self.slots
         slots[0] = two & _ROW
         slots[1] = two >> _21
         slots[2] = one & _ROW
         slots[3] = (one >> _21) & _ROW
         slots[4] = one >> _42
-        count = slots >> ID_BITS
-        ids = slots & _ID
-        self.ids = ids | -(count == 0).astype(np.int32)
-        again = (ids[2:] == ids[0]) | (ids[2:] == ids[1])
-        self.fit = count > 0
-        self.fit[2:] &= ~again
+        count, ids, usable, flag, fit = self.count, self.ids, self.usable, self.flag, self.fit
+        np.right_shift(slots, ID_BITS, out=count)
+        np.bitwise_and(slots, _ID, out=ids)
+        np.equal(count, 0, out=flag)
+        np.negative(flag.view(np.int8), out=usable)
+        ids |= usable
+        np.logical_not(flag, out=fit)
+        fit[TWO:] &= (ids[TWO:] != ids[0]) & (ids[TWO:] != ids[1])
         states = self.states[:-1]
         np.left_shift(count, 4, out=states, casting="unsafe")
         states += self.base_state
         states[:TWO] += np.minimum(count[0] + count[1], 15)
         states[TWO:] += np.minimum(count[2] + count[3] + count[4], 15)
-        states *= self.fit
-        chance = self.chance.take(self.states[:-1])
+        states *= fit
+        self.chance.take(states, out=self.chances, mode="clip")
         begin = self.ends_at
         left = np.full(begin.shape[1], 1 << int(SCALE), np.uint32)
         for k in range(GUESSES):
-            w = (left * chance[k]) >> np.uint32(16)
+            w = self.chances[k]
+            w *= left
+            w >>= np.uint32(16)
             left -= w
             np.add(begin[k], w, out=begin[k + 1])
-        return self.ids | -(begin[1:-1] == begin[:-2]).astype(np.int32), begin
+        np.equal(self.chances, 0, out=flag)
+        np.negative(flag.view(np.int8), out=usable)
+        usable |= ids
+        return usable, begin
 
     def update(self, x: np.ndarray, branch: np.ndarray) -> None:
         """Learn that x came, by the guess ``branch`` (``GUESSES``: none)."""
         states = self.states
         self.missed.append((self.base_freq + x)[branch == GUESSES])
         if self.counts:
-            self.seen.append((states[:-1] * (self.order <= branch.astype(np.int8)), states.ravel().take(branch * len(x) + self.pick)))
+            self.seen.append((np.multiply(states[:-1], self.order <= branch.astype(np.int8)), states.ravel().take(branch * len(x) + self.pick, mode="clip")))
         mark = x.astype(np.int32)
-        same = self.ids == mark
-        slots = self.slots
-        slots += (same & (slots < _FULL)).astype(np.int32) << np.int32(ID_BITS)
+        same, slots, more = self.same, self.slots, self.one_more
+        np.equal(self.ids, mark, out=same)
+        np.less(slots, _FULL, out=self.flag)
+        self.flag &= same
+        np.multiply(self.flag, _ONCE, out=more)
+        slots += more
         fresh = mark | _ONCE
         for low, high, table, at in ((0, TWO, self.after_two, self.i2), (TWO, GUESSES, self.after_one, self.i1)):
             kept = [slots[k] for k in range(low, high)]
             none = ~np.logical_or.reduce(same[low:high])
             last = kept[-1]
             weak = last < 2 * _ONCE
-            last = np.where(none & weak, fresh, last - ((none & ~weak).astype(np.int32) << np.int32(ID_BITS)))
+            last = np.where(none & weak, fresh, last - (none.astype(np.int32) << np.int32(ID_BITS)))
             kept[-1] = last
             for k in range(len(kept) - 1, 0, -1):  # the count leads, so the larger number is the more frequent
                 kept[k - 1], kept[k] = np.maximum(kept[k - 1], kept[k]), np.minimum(kept[k - 1], kept[k])
@@ -201,10 +234,13 @@ def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
     if vocabulary >= 1 << ID_BITS:
         raise ValueError(f"a vocabulary has fewer than {1 << ID_BITS} ids")
     m = _Mixture([len(x) for x in blocks], vocabulary)
-    ids = np.concatenate([np.zeros(0, np.int64), *blocks]).astype(np.int64)
-    start = np.cumsum([0, *(len(x) for x in blocks)])
-    at = start[m.block] + m.first
     block, lanes = m.block, len(m.block)
+    ids = np.zeros((m.steps, lanes), np.int32)  # step by step
+    done = 0
+    for x in blocks:
+        own, size = _by_lane(len(x))
+        ids[:size, done : done + own] = np.concatenate((x, np.zeros(own * size - len(x), x.dtype))).reshape(own, size).T
+        done += own
     low, width = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
     words, length, rest = np.zeros((lanes, 2 * m.steps + 2), np.uint32), np.zeros(lanes, np.int64), np.zeros(lanes, np.uint64)
 
@@ -236,18 +272,19 @@ def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
         before, on = m.lane, m.begin(s)
         if on is not None:
             rest[before] = low
-            low, width, at = low[on], width[on], at[on]
-        x = ids[at + s]
+            low, width = low[on], width[on]
+        x = (ids[s] if len(m.lane) == lanes else ids[s][m.lane]).astype(np.int64)
         guesses, begin = m.guess()
         right = (guesses == x).view(np.int8)
-        branch = np.full(len(x), GUESSES, np.int64)
+        branch = np.full(len(x), GUESSES, np.int8)
         for g in range(GUESSES):  # one is right at most
-            branch -= right[g] * (GUESSES - g)
+            branch -= right[g] * np.int8(GUESSES - g)
+        branch = branch.astype(np.int64)
         k = branch * len(x) + m.pick
-        a = begin.ravel().take(k).astype(np.uint64)
-        narrow(a, begin.ravel().take(k + len(x)) - a, SCALE)
+        a = begin.ravel().take(k, mode="clip").astype(np.uint64)
+        narrow(a, begin.ravel().take(k + len(x), mode="clip") - a, SCALE)
         k = m.base_0 + x
-        a, b = m.flat.take(k), m.flat.take(k + 1)
+        a, b = m.flat.take(k, mode="clip"), m.flat.take(k + 1, mode="clip")
         known = -(branch < GUESSES).astype(np.int32)
         narrow((a & ~known).astype(np.uint64), ((b - a) & ~known | known & _WHOLE).astype(np.uint64), SCALE_0)
         m.update(x, branch)
@@ -295,9 +332,8 @@ def decode_blocks(payloads: list[bytes]) -> list[np.ndarray]:
         return [decode_blocks([p])[0] for p in payloads]
     sizes = [n for n, *_ in opened]
     m = _Mixture(sizes, vocabulary, decode=True)
-    start = np.cumsum([0, *sizes])
-    at = start[m.block] + m.first
-    out = np.zeros(int(start[-1]), np.int64)
+    lanes = len(m.block)
+    out = np.zeros((m.steps, lanes), np.int32)
     words = np.concatenate([*(w for *_, w in opened), np.zeros(1, np.uint32)]).astype(np.uint64)
     stop = np.cumsum(np.concatenate([n for *_, n, _ in opened]))
     nothing = len(words) - 1
@@ -321,15 +357,15 @@ def decode_blocks(payloads: list[bytes]) -> list[np.ndarray]:
     for s in range(m.steps):
         on = m.begin(s)
         if on is not None:
-            low, width, at, ahead, stop = (v[on] for v in (low, width, at, ahead, stop))
+            low, width, ahead, stop = (v[on] for v in (low, width, ahead, stop))
         guesses, begin = m.guess()
         part = width >> SCALE
         branch = np.zeros(len(low), np.int64)
         for g in range(GUESSES):
             branch += low >= part * begin[g + 1]
         k = branch * len(low) + m.pick
-        a = begin.ravel().take(k).astype(np.uint64)
-        narrow(part, a, begin.ravel().take(k + len(low)) - a)
+        a = begin.ravel().take(k, mode="clip").astype(np.uint64)
+        narrow(part, a, begin.ravel().take(k + len(low), mode="clip") - a)
         x = guesses.ravel().take(k, mode="clip").astype(np.int64)
         a, size = np.zeros(len(x), np.int64), np.full(len(x), _WHOLE)
         part = width >> SCALE_0
@@ -337,17 +373,22 @@ def decode_blocks(payloads: list[bytes]) -> list[np.ndarray]:
         if len(missed):
             v = np.minimum((low[missed] // part[missed]).astype(np.int64), _WHOLE - 1)
             own = m.block[missed]
-            v = (v + (own << int(SCALE_0))).astype(np.int32)
-            rank = np.argsort(v)  # ascending, the search stays in the cache
-            k = np.empty(len(v), np.int64)
-            k[rank] = np.searchsorted(m.line, v[rank], "right") - 1
-            x[missed] = k - own * (vocabulary + 1)
-            a[missed] = m.flat[k]
-            size[missed] = m.flat[k + 1] - a[missed]
+            k = m.find(v.astype(np.int32), own)
+            x[missed] = k - own * m.row
+            v = m.flat.take(k, mode="clip")
+            a[missed] = v
+            size[missed] = m.flat.take(k + 1, mode="clip") - v
         narrow(part, a.astype(np.uint64), size.astype(np.uint64))
-        out[at + s] = x
+        if len(m.lane) == lanes:
+            out[s] = x
+        else:
+            out[s, m.lane] = x
         m.update(x, branch)
-    found = [out[a:b] for a, b in zip(start, start[1:])]
+    found, done = [], 0
+    for n in sizes:
+        own, size = _by_lane(n)
+        found.append(out[:size, done : done + own].T.ravel()[:n].astype(np.int64))
+        done += own
     for x, (_, _, ids_sum, *_) in zip(found, opened):
         if zlib.crc32(x.astype("<u4").tobytes()) != ids_sum:
             raise ValueError("damaged block")
