@@ -39,7 +39,7 @@ from .textcol import modest_batches, slices
 BLOCK = 1 << 18
 LANE_IDS = 1024  # ids of a lane, about
 LANES = 256  # of a block at most
-GROUP = 24  # blocks coded together
+GROUP = 48  # blocks coded together: about 120 MB of statistics
 MAGIC = b"NFT2"
 _HEAD = struct.Struct("<4sIIII")  # magic, ids, vocabulary, checksum of ids, of the body
 _SUM = struct.Struct("<I")  # checksum of the head
