@@ -186,6 +186,48 @@ def test_fingerprints_by_plain_votes(texts):
         assert got == sum(1 << (63 - k) for k, v in enumerate(votes) if v > 0)
 
 
+def test_simhash_terms_vote_with_their_weights(spark):
+    """Weights by plain code: counts within a text, and how many of all the texts have the word."""
+    import math
+    from collections import Counter
+
+    def mix(x):
+        for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> shift)) * odd % 2**64
+        return x ^ (x >> 31)
+
+    rows = [(k, prose(20 + 7 * k, k) + f" rare{k}" * (1 + k % 5)) for k in range(90)] + [(90, prose(40, 1)), (90, prose(40, 1)), (91, "the the the onion"), (None, "Onion"), (92, None), (93, "?")]
+    own = [(i, Counter(words_of(t))) for i, t in rows if t and words_of(t)]
+    seen = Counter(w for _, c in own for w in c)
+    want = Counter()
+    for i, c in own:
+        votes = [0] * 64
+        for w, n in c.items():
+            h, weight = mix(int(TextBatch(pa.array([w])).word_hashes()[0])), round(16 * (1 + math.log(n)) * math.log2(1 + min(len(own) / seen[w], 32)))
+            votes = [v + (weight if h >> (63 - k) & 1 else -weight) for k, v in enumerate(votes)]
+        want[i, sum(1 << (63 - k) for k, v in enumerate(votes) if v > 0)] += 1
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = Counter((r.doc_id, r.fingerprint % 2**64) for r in simhash.fingerprints(df, weighted=True).collect())
+    assert got == want
+    assert simhash.fingerprints(df.limit(0), weighted=True).count() == 0
+
+
+def test_simhash_weighted_recall(spark):
+    """Copies with some words replaced are found, and texts that only share frequent words are not."""
+    r = np.random.default_rng(6)
+    common, pool = [f"c{k}" for k in range(20)], [f"w{k}" for k in range(4000)]
+    rows = []
+    for k in range(150):
+        base = r.choice(common, 150).tolist() + r.choice(pool, 150).tolist()
+        copy = list(base)
+        for at in r.choice(300, int(r.integers(1, 20)), replace=False):
+            copy[at] = str(r.choice(pool)) + "x"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+    got = {(x.doc_a, x.doc_b) for x in simhash.near_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), weighted=True).collect()}
+    planted = {(2 * k, 2 * k + 1) for k in range(150)}
+    assert len(got & planted) >= 0.9 * len(planted) and len(got - planted) < 0.001 * len(rows) ** 2 / 2
+
+
 def test_simhash_votes():
     rows, prints = simhash.fingerprints_of(pa.array(["one two three four", "ONE, two\nthree four!", "", None, "one"]))
     assert rows.tolist() == [0, 1, 4] and prints[0] == prints[1]
