@@ -249,6 +249,51 @@ def test_simhash_groups_leave_no_pair_out(spark, documents, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == near_by_force(rows_of(documents), simhash.RADIUS)
 
 
+def classes_by_force(rows, radius):
+    """Rows of ``simhash.classes`` from all pairs of rows with a fingerprint."""
+    found, prints = simhash.fingerprints_of(pa.array([t for _, t in rows], pa.string()))
+    print_of = dict(zip(found.tolist(), prints.tolist()))
+    own = sorted({(i, print_of.get(k)) for k, (i, _) in enumerate(rows) if i is not None}, key=str)
+    up, links = list(range(len(own))), [0] * len(own)
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, (_, f) in enumerate(own):
+        for b, (_, g) in enumerate(own[:a]):
+            if f is not None and g is not None and (f ^ g).bit_count() <= radius:
+                links[a], links[b] = links[a] + 1, links[b] + 1
+                up[root(a)] = root(b)
+    team, copy = defaultdict(list), defaultdict(list)
+    for k, (i, f) in enumerate(own):
+        team[root(k)].append(i)
+        copy[f if f is not None else ("none", i)].append(i)
+    return sorted((i, min(copy[f if f is not None else ("none", i)]), min(team[root(k)]), links[k]) for k, (i, f) in enumerate(own))
+
+
+def test_simhash_classes(spark, documents, awkward, empty, monkeypatch):
+    """A row for each document, whatever the number of pairs; classes and links of all pairs."""
+    rows, some = rows_of(documents), [(i, t) for i, t, *_ in awkward_rows()]
+    want = {radius: classes_by_force(rows, radius) for radius in (3, simhash.RADIUS, 22)}
+    for radius, blocks in ((3, 6), (simhash.RADIUS, simhash.BLOCKS), (22, 8)):
+        assert sorted(map(tuple, simhash.document_classes(documents, radius, blocks).collect())) == want[radius]
+    assert len(want[22]) == len(rows) < sum(x[3] for x in want[22]) / 2  # more pairs than documents
+    assert sorted(map(tuple, simhash.document_classes(awkward).collect())) == classes_by_force(some, simhash.RADIUS)
+    assert simhash.document_classes(empty, weighted=True).count() == 0
+    monkeypatch.setattr(simhash, "GROUP", 40)
+    monkeypatch.setattr(simhash, "_LINKS", 50)
+    assert sorted(map(tuple, simhash.document_classes(documents, 22, 8).collect())) == want[22]
+
+
+def test_simhash_query_has_a_row_for_each_document(spark, sf_dir, documents):
+    from nearfold.llm.queries import op4_simhash
+
+    found = op4_simhash(spark, sf_dir)
+    assert found.columns == ["doc_id", "copy_of", "class_id", "links"] and found.count() == documents.count()
+
+
 def test_simhash_recalls_planted_near_copies(spark):
     """Copies with some words replaced, 3-gram similarity 0.5 to 0.97, and unrelated texts."""
     r = np.random.default_rng(5)
