@@ -5,14 +5,15 @@ coded with fresh statistics, so that blocks can be decoded alone and in parallel
 of its head, of its ids and of its payload, and the documents it holds.
 
 For each id the predictions of three orders are mixed. Order 2 keeps the ``TWO`` ids that most followed the two
-previous ones, order 1 the ``ONE`` that most followed the previous one, order 0 the frequency of all ids. The guesses
-of order 2 and then those of order 1 that it hasn't made form the mixture with order 0: adaptive counts of how often a guess of
-its order and place, its count and its row's was right weigh it, of what the guesses before leave over; a guess that is
-absent weighs nothing. Arithmetic coding turns the mixture, and an id that no guess has by order 0, into bits.
+previous ones, order 1 the ``ONE`` that most followed the previous one, order 0 the frequency of all ids. How a
+context's counts stand (of order 1 also which of its ids order 2 has guessed) is its state, and adaptive counts by state of
+which guess was right, if any, part first the whole, then what order 2 leaves of it; an id that order 2 has guessed, or an empty
+place, has no part. Arithmetic coding turns these parts, and an id that no guess has by order 0, into bits.
 
 A block is cut into up to ``LANES`` lanes of neighbouring ids, each with a range coder of its own, which all
 learn into the block's statistics; a step codes or decodes one id of every lane of many blocks at a time, so that both
-ways are whole-array operations. Frequencies and weights are put to use at set steps (1, 2, 4, 8, then every 16, those of order 0 every 64).
+ways are whole-array operations. What was learned is put to use at set steps (1, 2, 4, 8, every 16 to 128, then every 64;
+of order 0 at 1, 4, 16, 64, then every 128).
 
 Defined results: null and empty texts have no ids but are listed with 0; texts longer than a block
 continue in the next; repeated rows are coded each; a doc_id that is no whole number is listed as null; other columns
@@ -22,6 +23,7 @@ differs, before anything is read by it. Vocabularies have fewer than 131,072 ids
 
 from __future__ import annotations
 
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -39,26 +41,109 @@ from .textcol import modest_batches, slices
 BLOCK = 1 << 18
 LANE_IDS = 1024  # ids of a lane, about
 LANES = 256  # of a block at most
-GROUP = 48  # blocks coded together: about 120 MB of statistics
-MAGIC = b"NFT2"
+GROUP = 24  # blocks coded together: about 50 MB of statistics
+MAGIC = b"NFT3"
 _HEAD = struct.Struct("<4sIIII")  # magic, ids, vocabulary, checksum of ids, of the body
 _SUM = struct.Struct("<I")  # checksum of the head
-ID_BITS, COUNT_BITS = 17, 4  # of a slot of a context's row, the count above the id
-_SLOT = ID_BITS + COUNT_BITS
-_FULL, _ID = ((1 << COUNT_BITS) - 1) << ID_BITS, np.int32((1 << ID_BITS) - 1)
-_ONCE = np.int32(1 << ID_BITS)
-_21, _42, _ROW = np.uint64(_SLOT), np.uint64(2 * _SLOT), np.uint64((1 << _SLOT) - 1)
+ID_BITS = 17  # of an id in a context's row, which is the ids and above them the number of their counts
+_ID = (1 << ID_BITS) - 1  # in a row, no id
 TWO, ONE = 2, 3  # successors that order 2 and order 1 keep
-GUESSES = TWO + ONE
-_STATES = GUESSES << (COUNT_BITS + 4)
+MOST_TWO, MOST_ONE = 15, 7  # the highest counts of a successor
 PAIRS = 1 << 17  # contexts of order 2 in a block's table
-SCALE, SCALE_0 = np.uint64(16), np.uint64(22)  # bits of the mixture's weights, and of order 0's
+SCALE, SCALE_1, SCALE_0 = 20, 16, 22  # bits of the parts of order 2, of those of order 1 in what is left, and of order 0's
+LEFT, LEAST, LEAST_1 = 1 << 11, 1 << 4, 1 << 5  # least parts: of what order 2 leaves, of its guesses, of order 1's; LEFT * LEAST_1 fills SCALE_1
+ONCE, PRIOR = 8, 24  # weight of one occurrence of a branch, and of what is expected beforehand
 STEP = 128  # weight of one occurrence in order 0
-_BUCKET_BITS = 12
-_BUCKETS = np.arange(1 << _BUCKET_BITS, dtype=np.int32) << np.int32(SCALE_0 - np.uint64(_BUCKET_BITS))
-_32 = np.uint64(32)
-_WHOLE = 1 << int(SCALE_0)
-_MIN = np.uint64(1) << _32
+_BUCKET_BITS = 14
+_IN_BUCKET = SCALE_0 - _BUCKET_BITS
+_31, _32, _SCALE, _SCALE_0 = np.uint64(31), np.uint64(32), np.uint64(SCALE), np.uint64(SCALE_0)
+_WHOLE, _WHOLE_1, _WHOLE_0 = 1 << SCALE, 1 << SCALE_1, 1 << SCALE_0
+_LAST, _LAST_0, _MIN = np.uint64(_WHOLE - 1), np.uint64(_WHOLE_0 - 1), np.uint64(1) << _31  # narrower intervals take words out and in
+_FULL, _ONES = np.uint64((1 << 63) - 1), np.uint64((1 << 32) - 1)
+
+
+class _Rows:
+    """All combinations of counts that a row can have, numbered, and what each becomes by the id that comes.
+
+    An id's count grows when it comes, and it moves before those that came no more often; one that is absent takes the
+    last place if that counts less than 2, and else lowers its count. The tables are by combination and branch (the place of
+    the id in the row, or the row's length): the new row's ids are
+    ids & keep | (ids & shift) << ID_BITS | id * put, and above what is kept stands the number of its counts.
+    """
+
+    def __init__(self, length: int, most: int):
+        self.length, self.bits = length, length * ID_BITS
+        self.counts = [c for c in itertools.product(range(most + 1), repeat=length) if list(c) == sorted(c, reverse=True)]
+        number = {c: k for k, c in enumerate(self.counts)}
+        self.empty = (1 << self.bits) - 1
+        table = np.zeros((4, len(self.counts) * (length + 1)), np.int64)
+        for k, c in enumerate(self.counts):
+            for branch in range(length + 1):
+                new, at = list(c), min(branch, length - 1)
+                keep, shift, put = self.empty, 0, 0
+                if branch == length and c[at] >= 2:
+                    new[at] -= 1
+                else:
+                    count = 1 if branch == length else min(most, c[at] + 1)
+                    del new[at]
+                    to = sum(x > count for x in new)
+                    new.insert(to, count)
+                    if branch == length or to < at:
+                        put = 1 << to * ID_BITS
+                        shift = (1 << at * ID_BITS) - put
+                        keep = self.empty ^ (shift | _ID << at * ID_BITS)
+                table[:, k * (length + 1) + branch] = keep, shift, put, number[tuple(new)] << self.bits
+        self.shift, self.put, self.keep = table[1], table[2], table[0] | table[3]
+
+    def next(self, row: np.ndarray, way: np.ndarray, x: np.ndarray) -> np.ndarray:
+        new = self.shift.take(way, mode="clip")
+        new &= row
+        new <<= ID_BITS
+        put = self.put.take(way, mode="clip")
+        put *= x
+        new |= put
+        self.keep.take(way, out=put, mode="clip")
+        put &= row | ~self.empty
+        new |= put
+        return new
+
+    def expected(self, more: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each combination and set of places that are not to be guessed (one bit each, ``more`` of them): weights of the branches, and which guesses can be right."""
+        counts = np.repeat(np.array(self.counts, float), 1 << more, axis=0)
+        barred = (np.tile(np.arange(1 << more), len(self.counts))[:, None] >> np.arange(self.length)) & 1 == 1
+        can = (counts > 0) & ~barred
+        weight = np.concatenate((np.where(can, counts - 0.4, 0), np.full((len(can), 1), 1.2)), axis=1)
+        return np.maximum(np.rint(PRIOR * weight / weight.sum(1, keepdims=True)), np.pad(can, ((0, 0), (0, 1)), constant_values=True)).astype(np.int64), can
+
+
+_TWO, _ONE = _Rows(TWO, MOST_TWO), _Rows(ONE, MOST_ONE)
+_EXPECTED_2, _EXPECTED_1 = _TWO.expected(0), _ONE.expected(ONE)
+
+
+class _Parts:
+    """The parts of the branches of each state of many blocks: where branch b begins is at ``flat[b * width + state]``, where it ends ``width`` further."""
+
+    def __init__(self, blocks: int, expected: tuple[np.ndarray, np.ndarray], whole: int, least: int, rest: int):
+        weight, can = expected
+        self.states, branches = weight.shape
+        self.width = blocks * self.states + 1  # the last state: all is the first part
+        self.weight = np.zeros((branches, self.width), np.int64)
+        self.weight[:, :-1] = np.tile(weight.T, blocks)
+        self.weight[0, -1] = 1
+        self.least = np.tile(np.cumsum(can, axis=1).T * least, blocks)
+        self.share = whole - rest - least * (branches - 1)
+        self.ends = np.zeros((branches + 1, self.width), np.int64)
+        self.ends[-1] = self.ends[1:, -1] = whole
+        self.flat = self.ends.ravel()
+
+    def learn(self, seen: list[np.ndarray]) -> None:
+        if seen:
+            self.weight += ONCE * np.bincount(np.concatenate(seen), minlength=self.weight.size).reshape(self.weight.shape)
+        below = self.weight[:-1].copy()
+        for k in range(1, len(below)):
+            below[k] += below[k - 1]
+        share = self.share / (below[-1] + self.weight[-1])
+        self.ends[1:-1, :-1] = (below * share)[:, :-1].astype(np.int64) + self.least
 
 
 def lanes_of(n: int) -> int:
@@ -88,145 +173,137 @@ class _Mixture:
         self.steps = int(self.size.max(initial=0))
         self.ends = set(self.size.tolist())
         n = len(sizes)
-        self.after_one = np.zeros(n * (vocabulary + 1), np.uint64)
-        self.after_two = np.zeros(n * PAIRS, np.uint64)
-        # The first place of each of these counts what is not to be counted.
-        self.tried, self.hit = np.full(n * _STATES + 1, 2, np.int64), np.full(n * _STATES + 1, 1, np.int64)
-        self.freq = np.zeros(n * vocabulary + 1, np.int64)
-        self.freq[1:] = np.tile(np.maximum(1, 20000 // (np.arange(vocabulary) + 300)), n)  # ids ascend as words get rarer
+        self.after_one = np.full(n * (vocabulary + 1), _ONE.empty, np.int64)
+        self.after_two = np.full(n * PAIRS, _TWO.empty, np.int64)
+        self.parts_two = _Parts(n, _EXPECTED_2, _WHOLE, LEAST, LEFT)
+        self.parts_one = _Parts(n, _EXPECTED_1, _WHOLE_1, LEAST_1, LEAST_1)
+        self.freq = np.tile(np.maximum(1, 20000 // (np.arange(vocabulary) + 300)).astype(np.int32), n)  # ids ascend as words get rarer
         self.row = vocabulary + 1
         self.below = np.empty((n, self.row), np.int32)
         self.p1 = np.full(len(self.block), vocabulary, np.int64)
-        self.p2 = self.p1.copy()
-        self.seen: list[tuple[np.ndarray, np.ndarray]] = []
+        self.mark = self.p1 * 0x9E3779B1
+        self.seen: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
         self.missed: list[np.ndarray] = []
         self.odd = np.arange(vocabulary + 1, dtype=np.int32)
-        self.kind = 1 + (np.arange(GUESSES) << (COUNT_BITS + 4))[:, None]
-        self.order = np.arange(GUESSES, dtype=np.int8)[:, None]
 
     def begin(self, step: int) -> np.ndarray | None:
         """Which of the lanes go on at this step (None: all), after what was learned so far is put to use."""
-        if step & (step - 1) == 0 or step % 16 == 0:
-            self.learn(step & (step - 1) == 0 or step % 64 == 0)
+        if step & (step - 1) == 0 or step % (16 if step < 128 else 64) == 0:
+            self.learn(step in (1, 4, 16, 64) or step % 128 == 0)
         self.counts = step < 64 or step % 2 == 0
         on = None
         if step in self.ends:
             on = np.flatnonzero(self.size > step)
-            self.block, self.size, self.lane, self.p1, self.p2 = (x[on] for x in (self.block, self.size, self.lane, self.p1, self.p2))
+            self.block, self.size, self.lane, self.p1, self.mark = (x[on] for x in (self.block, self.size, self.lane, self.p1, self.mark))
         if on is not None or step == 0:
             self.base_1, self.base_2 = self.block * (self.vocabulary + 1), self.block * PAIRS
-            self.base_state = (self.block * _STATES)[None, :] + self.kind
-            self.base_0, self.base_freq = self.block * self.row, self.block * self.vocabulary + 1
-            width = len(self.block)
-            self.pick = np.arange(width)
-            self.ends_at = np.zeros((GUESSES + 2, width), np.uint32)
-            self.ends_at[-1] = 1 << int(SCALE)
-            # Room that every step uses again.
-            self.slots, self.count, self.ids, self.usable, self.one_more = (np.empty((GUESSES, width), np.int32) for _ in range(5))
-            self.chances = np.empty((GUESSES, width), np.uint32)
-            self.flag, self.fit, self.same = (np.empty((GUESSES, width), bool) for _ in range(3))
-            self.states = np.zeros((GUESSES + 1, width), np.int64)
+            self.base_parts_1, self.base_parts_2 = self.block * self.parts_one.states, self.block * self.parts_two.states
+            self.base_0, self.base_freq = self.block * self.row, self.block * self.vocabulary
         return on
 
     def learn(self, order_0: bool) -> None:
-        if self.seen:
-            self.tried += np.bincount(np.concatenate([x.ravel() for x, _ in self.seen]), minlength=len(self.tried))
-            self.hit += np.bincount(np.concatenate([x for _, x in self.seen]), minlength=len(self.hit))
-            self.seen = []
-        self.chance = np.clip((self.hit << 16) // self.tried, 32, 65000).astype(np.uint32)
-        self.chance[0] = 0
+        self.parts_two.learn(self.seen[0])
+        self.parts_one.learn(self.seen[1])
+        self.seen = ([], [])
         if order_0:
             if self.missed:
-                np.add.at(self.freq, np.concatenate(self.missed), STEP)
+                np.add.at(self.freq, np.concatenate(self.missed), np.int32(STEP))
                 self.missed = []
-            total = np.cumsum(self.freq[1:].reshape(len(self.below), -1), axis=1)
+            total = np.cumsum(self.freq.reshape(len(self.below), -1), axis=1, dtype=np.int32)
             self.below[:, 0] = 0
-            np.multiply(total, (_WHOLE - self.vocabulary) / total[:, -1:], out=self.below[:, 1:], casting="unsafe")
+            np.multiply(total, (_WHOLE_0 - self.vocabulary) / total[:, -1:], out=self.below[:, 1:], casting="unsafe")
             self.below += self.odd
-            self.below[:, -1] = _WHOLE
+            self.below[:, -1] = _WHOLE_0
             self.flat = self.below.ravel()
             if self.decode:  # the last id that begins at or before each bucket of values
-                self.bucket = np.concatenate([np.searchsorted(row, _BUCKETS, "right") - 1 + k * self.row for k, row in enumerate(self.below[:, : self.vocabulary])])
+                width = (1 << _BUCKET_BITS) + 1
+                first = (self.below[:, : self.vocabulary] + ((1 << _IN_BUCKET) - 1)) >> _IN_BUCKET
+                first += np.arange(0, len(first) * width, width, dtype=np.int32)[:, None]
+                found = np.cumsum(np.bincount(first.ravel(), minlength=len(first) * width)).reshape(-1, width)
+                self.bucket = (found + np.arange(-1, len(found) - 1)[:, None]).ravel()
 
     def find(self, v: np.ndarray, block: np.ndarray) -> np.ndarray:
         """The places in ``flat`` of the ids in whose parts of order 0 the values lie: by buckets, then by halves."""
-        found = self.bucket.take((block << _BUCKET_BITS) + (v >> (int(SCALE_0) - _BUCKET_BITS)), mode="clip")
+        found = self.bucket.take(block * ((1 << _BUCKET_BITS) + 1) + (v >> _IN_BUCKET), mode="clip")
         more = np.flatnonzero(self.flat.take(found + 1, mode="clip") <= v)
         if len(more):
             at, value, end = found[more], v[more], block[more] * self.row + self.row - 1
-            step = 1 << (int(SCALE_0) - _BUCKET_BITS)  # every id has a part of its own
+            step = 1 << _IN_BUCKET  # every id has a part of its own
             while step:
-                at += (self.flat.take(np.minimum(at + step, end)) <= value) * step
+                at += (self.flat.take(np.minimum(at + step, end), mode="clip") <= value) * step
                 step >>= 1
             found[more] = at
         return found
 
-    def guess(self) -> tuple[np.ndarray, np.ndarray]:
-        """The guesses (guesses x lanes, negative: none), and where the parts of the mixture begin
-        (order 0 after the guesses, then the whole)."""
+    def guess(self) -> None:
+        """Look up the rows of both contexts, their guesses, and where the parts of their states begin."""
         self.i1 = self.base_1 + self.p1
-        self.i2 = self.base_2 + (((self.p1 * 0x9E3779B1 + self.p2 * 0x85EBCA6B) >> 9) & (PAIRS - 1))
-        one, two = self.after_one.take(self.i1, mode="clip"), self.after_two.take(self.i2, mode="clip")
-        slots = self.slots
-        slots[0] = two & _ROW
-        slots[1] = two >> _21
-        slots[2] = one & _ROW
-        slots[3] = (one >> _21) & _ROW
-        slots[4] = one >> _42
-        count, ids, usable, flag, fit = self.count, self.ids, self.usable, self.flag, self.fit
-        np.right_shift(slots, ID_BITS, out=count)
-        np.bitwise_and(slots, _ID, out=ids)
-        np.equal(count, 0, out=flag)
-        np.negative(flag.view(np.int8), out=usable)
-        ids |= usable
-        np.logical_not(flag, out=fit)
-        fit[TWO:] &= (ids[TWO:] != ids[0]) & (ids[TWO:] != ids[1])
-        states = self.states[:-1]
-        np.left_shift(count, 4, out=states, casting="unsafe")
-        states += self.base_state
-        states[:TWO] += np.minimum(count[0] + count[1], 15)
-        states[TWO:] += np.minimum(count[2] + count[3] + count[4], 15)
-        states *= fit
-        self.chance.take(states, out=self.chances, mode="clip")
-        begin = self.ends_at
-        left = np.full(begin.shape[1], 1 << int(SCALE), np.uint32)
-        for k in range(GUESSES):
-            w = self.chances[k]
-            w *= left
-            w >>= np.uint32(16)
-            left -= w
-            np.add(begin[k], w, out=begin[k + 1])
-        np.equal(self.chances, 0, out=flag)
-        np.negative(flag.view(np.int8), out=usable)
-        usable |= ids
-        return usable, begin
-
-    def update(self, x: np.ndarray, branch: np.ndarray) -> None:
-        """Learn that x came, by the guess ``branch`` (``GUESSES``: none)."""
-        states = self.states
-        self.missed.append((self.base_freq + x)[branch == GUESSES])
+        mark = self.p1 * 0x9E3779B1
+        i2 = self.mark
+        i2 >>= 5
+        i2 ^= mark
+        i2 >>= 16
+        i2 &= PAIRS - 1
+        i2 += self.base_2
+        self.i2, self.mark = i2, mark
+        self.one, self.two = one, two = self.after_one.take(self.i1, mode="clip"), self.after_two.take(i2, mode="clip")
+        self.guess_2 = b0, b1 = two & _ID, (two >> ID_BITS) & _ID
+        self.guess_1 = one & _ID, (one >> ID_BITS) & _ID, (one >> 2 * ID_BITS) & _ID
+        barred = None  # guesses of order 1 that order 2 has made
+        for k in range(ONE - 1, -1, -1):
+            again = ((self.guess_1[k] == b0) | (self.guess_1[k] == b1)).view(np.uint8)
+            barred = again if barred is None else barred + barred + again
+        self.counts_2, self.counts_1 = two >> _TWO.bits, one >> _ONE.bits
+        self.state_2 = self.base_parts_2 + self.counts_2
+        state = self.counts_1 << ONE
+        state += barred
+        state += self.base_parts_1
+        self.state_1 = state
+
+    def branches(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """In which place of the rows of order 2 and order 1 the ids are (``TWO``, ``ONE``: in none)."""
+        b = np.int8(TWO) - ((self.guess_2[0] == x).view(np.int8) << np.int8(1))
+        b -= (self.guess_2[1] == x).view(np.int8)
+        a = np.int8(ONE) - (self.guess_1[0] == x).view(np.int8) * np.int8(3)
+        a -= (self.guess_1[1] == x).view(np.int8) << np.int8(1)
+        a -= (self.guess_1[2] == x).view(np.int8)
+        return b.astype(np.int64), a.astype(np.int64)
+
+    def part(self, branch_2: np.ndarray, branch_1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the parts of these branches begin in the mixture, and their sizes; what is learned of them."""
+        wide_2, wide_1 = self.parts_two.width, self.parts_one.width
+        k2 = branch_2 * wide_2
+        k2 += self.state_2
+        k1 = branch_1 * wide_1
+        k1 += self.state_1
+        k1 = np.where(branch_2 == TWO, k1, wide_1 - 1)
         if self.counts:
-            self.seen.append((np.multiply(states[:-1], self.order <= branch.astype(np.int8)), states.ravel().take(branch * len(x) + self.pick, mode="clip")))
-        mark = x.astype(np.int32)
-        same, slots, more = self.same, self.slots, self.one_more
-        np.equal(self.ids, mark, out=same)
-        np.less(slots, _FULL, out=self.flag)
-        self.flag &= same
-        np.multiply(self.flag, _ONCE, out=more)
-        slots += more
-        fresh = mark | _ONCE
-        for low, high, table, at in ((0, TWO, self.after_two, self.i2), (TWO, GUESSES, self.after_one, self.i1)):
-            kept = [slots[k] for k in range(low, high)]
-            none = ~np.logical_or.reduce(same[low:high])
-            last = kept[-1]
-            weak = last < 2 * _ONCE
-            last = np.where(none & weak, fresh, last - (none.astype(np.int32) << np.int32(ID_BITS)))
-            kept[-1] = last
-            for k in range(len(kept) - 1, 0, -1):  # the count leads, so the larger number is the more frequent
-                kept[k - 1], kept[k] = np.maximum(kept[k - 1], kept[k]), np.minimum(kept[k - 1], kept[k])
-            row = kept[0].astype(np.uint64) | (kept[1].astype(np.uint64) << _21)
-            table[at] = row | (kept[2].astype(np.uint64) << _42) if len(kept) == 3 else row
-        self.p2, self.p1 = self.p1, x
+            self.seen[0].append(k2)
+            self.seen[1].append(k1)
+        flat_2, flat_1 = self.parts_two.flat, self.parts_one.flat
+        begin = flat_2.take(k2, mode="clip")
+        size = flat_2.take(k2 + wide_2, mode="clip")
+        size -= begin
+        low, high = flat_1.take(k1, mode="clip"), flat_1.take(k1 + wide_1, mode="clip")
+        low *= size
+        low >>= SCALE_1
+        high *= size
+        high >>= SCALE_1
+        begin += low
+        high -= low
+        return begin.view(np.uint64), high.view(np.uint64)
+
+    def update(self, x: np.ndarray, branch_2: np.ndarray, branch_1: np.ndarray, missed: np.ndarray) -> None:
+        """Learn that x came, in these places of the rows, and which lanes no guess was right for."""
+        if len(missed):
+            self.missed.append(self.base_freq[missed] + x[missed])
+        way = self.counts_2 * (TWO + 1)
+        way += branch_2
+        self.after_two[self.i2] = _TWO.next(self.two, way, x)
+        way = self.counts_1 << 2
+        way += branch_1
+        self.after_one[self.i1] = _ONE.next(self.one, way, x)
+        self.p1 = x
 
 
 def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
@@ -241,32 +318,19 @@ def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
         own, size = _by_lane(len(x))
         ids[:size, done : done + own] = np.concatenate((x, np.zeros(own * size - len(x), x.dtype))).reshape(own, size).T
         done += own
-    low, width = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    words, length, rest = np.zeros((lanes, 2 * m.steps + 2), np.uint32), np.zeros(lanes, np.int64), np.zeros(lanes, np.uint64)
-
-    def carry(which: np.ndarray) -> None:
-        k = length[which] - 1
-        words[which, k] += np.uint32(1)
-        while len(more := np.flatnonzero(words[which, k] == 0)):  # one more each: only a full word became 0
-            which, k = which[more], k[more] - 1
-            words[which, k] += np.uint32(1)
-
-    def narrow(begin: np.ndarray, size: np.ndarray, bits: np.uint64) -> None:
-        nonlocal low, width
-        part = width >> bits
-        add = part * begin
-        low = low + add
-        width = part * size
-        over = np.flatnonzero(low < add)
-        if len(over):
-            carry(m.lane[over])
+    low, width, rest = np.zeros(lanes, np.uint64), np.full(lanes, _FULL), np.zeros(lanes, np.uint64)
+    words, owners = [], []  # leading words of 33 bits, the highest to be carried into the word before
+
+    def out(which: np.ndarray, low: np.ndarray, width: np.ndarray) -> None:
+        """Take the leading words of narrow intervals out; which: their lanes."""
         small = np.flatnonzero(width < _MIN)
-        if len(small):
-            lane = m.lane[small]
-            words[lane, length[lane]] = low[small] >> _32
-            length[lane] += 1
-            low[small] <<= _32
-            width[small] <<= _32
+        owners.append(which[small])
+        lead = low[small]
+        words.append(lead >> _31)
+        lead &= _MIN - np.uint64(1)
+        lead <<= _32
+        low[small] = lead
+        width[small] <<= _32
 
     for s in range(m.steps):
         before, on = m.lane, m.begin(s)
@@ -274,29 +338,43 @@ def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
             rest[before] = low
             low, width = low[on], width[on]
         x = (ids[s] if len(m.lane) == lanes else ids[s][m.lane]).astype(np.int64)
-        guesses, begin = m.guess()
-        right = (guesses == x).view(np.int8)
-        branch = np.full(len(x), GUESSES, np.int8)
-        for g in range(GUESSES):  # one is right at most
-            branch -= right[g] * np.int8(GUESSES - g)
-        branch = branch.astype(np.int64)
-        k = branch * len(x) + m.pick
-        a = begin.ravel().take(k, mode="clip").astype(np.uint64)
-        narrow(a, begin.ravel().take(k + len(x), mode="clip") - a, SCALE)
-        k = m.base_0 + x
-        a, b = m.flat.take(k, mode="clip"), m.flat.take(k + 1, mode="clip")
-        known = -(branch < GUESSES).astype(np.int32)
-        narrow((a & ~known).astype(np.uint64), ((b - a) & ~known | known & _WHOLE).astype(np.uint64), SCALE_0)
-        m.update(x, branch)
+        m.guess()
+        branch_2, branch_1 = m.branches(x)
+        begin, size = m.part(branch_2, branch_1)
+        width >>= _SCALE
+        begin *= width
+        low += begin
+        width *= size
+        out(m.lane, low, width)
+        missed = np.flatnonzero((branch_2 == TWO) & (branch_1 == ONE))
+        k = m.base_0[missed]
+        k += x[missed]
+        a = m.flat.take(k, mode="clip").astype(np.uint64)
+        k += 1
+        size = m.flat.take(k, mode="clip").astype(np.uint64)
+        size -= a
+        lane, low_0, width_0 = m.lane[missed], low[missed], width[missed]
+        width_0 >>= _SCALE_0
+        a *= width_0
+        low_0 += a
+        width_0 *= size
+        out(lane, low_0, width_0)
+        low[missed], width[missed] = low_0, width_0
+        m.update(x, branch_2, branch_1, missed)
     rest[m.lane] = low
-    top = rest + (_MIN - np.uint64(1))
-    carry(np.flatnonzero(top < rest))
-    words[np.arange(lanes), length] = top >> _32
-    length += 1
+    words.append((rest + (_MIN - np.uint64(1))) >> _31)
+    owners.append(np.arange(lanes, dtype=np.int32))
+    owner = np.concatenate(owners)
+    length = np.bincount(owner, minlength=lanes)
+    whole = np.concatenate(words)[np.argsort(owner, kind="stable")]
+    while len(over := np.flatnonzero(whole >> _32)):  # never the first word of a lane
+        whole[over] &= _ONES
+        whole[over - 1] += np.uint64(1)
+    whole, stop = whole.astype("<u4"), np.concatenate(([0], np.cumsum(length)))
     coded, cut = [], np.searchsorted(block, np.arange(len(blocks) + 1))
     for k, x in enumerate(blocks):
         mine = range(cut[k], cut[k + 1])
-        body = length[mine.start : mine.stop].astype("<u4").tobytes() + b"".join(words[i, : length[i]].astype("<u4").tobytes() for i in mine)
+        body = length[mine.start : mine.stop].astype("<u4").tobytes() + whole[stop[mine.start] : stop[mine.stop]].tobytes()
         head = _HEAD.pack(MAGIC, len(x), vocabulary, zlib.crc32(x.astype("<u4").tobytes()), zlib.crc32(body))
         coded.append(head + _SUM.pack(zlib.crc32(head)) + body)
     return coded
@@ -334,60 +412,80 @@ def decode_blocks(payloads: list[bytes]) -> list[np.ndarray]:
     m = _Mixture(sizes, vocabulary, decode=True)
     lanes = len(m.block)
     out = np.zeros((m.steps, lanes), np.int32)
-    words = np.concatenate([*(w for *_, w in opened), np.zeros(1, np.uint32)]).astype(np.uint64)
+    words = np.concatenate([*(w for *_, w in opened), np.zeros(2, np.uint32)]).astype(np.uint64)
     stop = np.cumsum(np.concatenate([n for *_, n, _ in opened]))
     nothing = len(words) - 1
     ahead = np.concatenate(([0], stop[:-1]))
-    low, width = np.zeros(len(m.block), np.uint64), np.full(len(m.block), 0xFFFFFFFFFFFFFFFF, np.uint64)
-    for _ in range(2):  # low: the code less the interval's start
-        low = low << _32 | words[np.where(ahead < stop, ahead, nothing)]
-        ahead = ahead + 1
-
-    def narrow(part: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
-        nonlocal low, width
-        low = low - part * begin
-        width = part * size
+    # An interval has 63 bits, so the code's second word and all after it are read by halves: its last bit goes with the next one's others.
+    low = words[np.where(ahead < stop, ahead, nothing)] << _31 | words[np.where(ahead + 1 < stop, ahead + 1, nothing)] >> np.uint64(1)
+    width = np.full(lanes, _FULL)
+    words[stop] = 0  # the next lane's first, which is in low already
+    words[1:] = (words[:-1] & np.uint64(1)) << _31 | words[1:] >> np.uint64(1)
+    ahead += 2
+
+    def take_in(low: np.ndarray, width: np.ndarray, which: np.ndarray | None) -> None:
+        """Let the next words into narrow intervals; which: their lanes (None: all)."""
         small = np.flatnonzero(width < _MIN)
-        if len(small):
-            k = ahead[small]
-            low[small] = low[small] << _32 | words[np.where(k < stop[small], k, nothing)]
-            width[small] <<= _32
-            ahead[small] = k + 1
+        lane = small if which is None else which[small]
+        k = ahead[lane]
+        low[small] = low[small] << _32 | words[np.where(k <= stop[lane], k, nothing)]
+        width[small] <<= _32
+        ahead[lane] = k + 1
 
     for s in range(m.steps):
         on = m.begin(s)
         if on is not None:
             low, width, ahead, stop = (v[on] for v in (low, width, ahead, stop))
-        guesses, begin = m.guess()
-        part = width >> SCALE
-        branch = np.zeros(len(low), np.int64)
-        for g in range(GUESSES):
-            branch += low >= part * begin[g + 1]
-        k = branch * len(low) + m.pick
-        a = begin.ravel().take(k, mode="clip").astype(np.uint64)
-        narrow(part, a, begin.ravel().take(k + len(low), mode="clip") - a)
-        x = guesses.ravel().take(k, mode="clip").astype(np.int64)
-        a, size = np.zeros(len(x), np.int64), np.full(len(x), _WHOLE)
-        part = width >> SCALE_0
-        missed = np.flatnonzero(branch == GUESSES)
+        m.guess()
+        width >>= _SCALE
+        value = np.minimum(low // width, _LAST).view(np.int64)
+        flat_2, flat_1 = m.parts_two.flat, m.parts_one.flat
+        wide_2, wide_1 = m.parts_two.width, m.parts_one.width
+        branch_2 = (value >= flat_2.take(m.state_2 + wide_2, mode="clip")).view(np.int8)
+        end = flat_2.take(m.state_2 + TWO * wide_2, mode="clip")
+        absent = value >= end
+        branch_2 = branch_2 + absent.view(np.int8)
+        value -= end
+        left = _WHOLE - end
+        branch_1 = np.zeros(len(low), np.int8)
+        for k in range(1, ONE + 1):
+            end = flat_1.take(m.state_1 + k * wide_1, mode="clip")
+            end *= left
+            end >>= SCALE_1
+            branch_1 += (value >= end).view(np.int8)
+        begin, size = m.part(branch_2.astype(np.int64), branch_1.astype(np.int64))
+        begin *= width
+        low -= begin
+        width *= size
+        take_in(low, width, None)
+        x = np.where(absent, m.one, m.two)
+        x >>= np.where(absent, branch_1, branch_2) * np.int8(ID_BITS)
+        x &= _ID
+        missed = np.flatnonzero(absent & (branch_1 == ONE))
         if len(missed):
-            v = np.minimum((low[missed] // part[missed]).astype(np.int64), _WHOLE - 1)
+            low_0, width_0 = low[missed], width[missed]
+            width_0 >>= _SCALE_0
+            v = np.minimum(low_0 // width_0, _LAST_0).astype(np.int32)
             own = m.block[missed]
-            k = m.find(v.astype(np.int32), own)
+            k = m.find(v, own)
             x[missed] = k - own * m.row
-            v = m.flat.take(k, mode="clip")
-            a[missed] = v
-            size[missed] = m.flat.take(k + 1, mode="clip") - v
-        narrow(part, a.astype(np.uint64), size.astype(np.uint64))
+            a = m.flat.take(k, mode="clip").astype(np.uint64)
+            size = m.flat.take(k + 1, mode="clip").astype(np.uint64)
+            size -= a
+            a *= width_0
+            low_0 -= a
+            width_0 *= size
+            take_in(low_0, width_0, missed)
+            low[missed], width[missed] = low_0, width_0
         if len(m.lane) == lanes:
             out[s] = x
         else:
             out[s, m.lane] = x
-        m.update(x, branch)
+        m.update(x, *m.branches(x), missed)
     found, done = [], 0
     for n in sizes:
         own, size = _by_lane(n)
-        found.append(out[:size, done : done + own].T.ravel()[:n].astype(np.int64))
+        found.append(out[:size, done : done + own].T.ravel()[:n])
         done += own
     for x, (_, _, ids_sum, *_) in zip(found, opened):
         if zlib.crc32(x.astype("<u4").tobytes()) != ids_sum:

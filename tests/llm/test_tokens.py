@@ -117,6 +117,56 @@ def test_a_whole_block_of_documents(vocabulary):
         assert len(c) * 8 < -(n * np.log2(n / len(x))).sum()
 
 
+def test_sure_guesses_cost_little():
+    """A whole block of repeats takes about a word or two of each lane."""
+    for period in (1, 3, 50, 700):
+        ids = np.tile(np.arange(period) + 9, tokenbin.BLOCK // period)
+        coded = tokenbin.encode_blocks([ids], 50257)[0]
+        assert (tokenbin.decode_block(coded) == ids).all() and len(coded) < 3800
+
+
+def test_whatever_can_come_has_a_part():
+    """However sure one branch has become, all others that can come keep a part, in the whole and in what order 2 leaves; those that can't have none."""
+    whole_2, whole_1 = 1 << tokenbin.SCALE, 1 << tokenbin.SCALE_1
+    for sure_2 in range(tokenbin.TWO + 1):
+        two = tokenbin._Parts(2, tokenbin._EXPECTED_2, whole_2, tokenbin.LEAST, tokenbin.LEFT)
+        two.learn([np.repeat(np.arange(sure_2 * two.width, (sure_2 + 1) * two.width - 1), 9999)])
+        size_2 = np.diff(two.ends, axis=0)[:, :-1]
+        can = np.tile(tokenbin._EXPECTED_2[1].T, 2)
+        assert (size_2[:-1][can] > 0).all() and size_2[-1].min() >= tokenbin.LEFT and (size_2.sum(0) == whole_2).all()
+        if sure_2 == tokenbin.TWO:
+            assert not size_2[:-1][~can].any()
+    for sure_1 in range(tokenbin.ONE + 1):
+        one = tokenbin._Parts(1, tokenbin._EXPECTED_1, whole_1, tokenbin.LEAST_1, tokenbin.LEAST_1)
+        one.learn([np.repeat(np.arange(sure_1 * one.width, (sure_1 + 1) * one.width - 1), 9999)])
+        can = tokenbin._EXPECTED_1[1].T
+        left = np.diff(one.ends[:, :-1] * tokenbin.LEFT >> tokenbin.SCALE_1, axis=0)
+        assert (left[:-1][can] > 0).all() and left[-1].min() > 0 and (left.sum(0) == tokenbin.LEFT).all()
+        if sure_1 == tokenbin.ONE:
+            assert not left[:-1][~can].any()
+
+
+def test_rows_keep_the_latest_of_the_most_frequent():
+    """Rows of a context, by their tables, against plain lists."""
+    r = random.Random(5)
+    for rows, most in ((tokenbin._TWO, tokenbin.MOST_TWO), (tokenbin._ONE, tokenbin.MOST_ONE)):
+        row, plain = rows.empty, []  # [id, count], the most frequent first
+        for _ in range(20000):
+            x = min(int(r.expovariate(0.5)), 131070) if r.random() < 0.9 else r.choice((0, 131070, r.randrange(131071)))
+            at = next((k for k, (i, _) in enumerate(plain) if i == x), rows.length)
+            way = np.array([(row >> rows.bits) * (rows.length + 1) + at])
+            row = int(rows.next(np.array([row]), way, np.array([x]))[0])
+            if at == rows.length and len(plain) == rows.length and plain[-1][1] >= 2:
+                plain[-1][1] -= 1
+            else:
+                count = min(most, plain.pop(at)[1] + 1) if at < rows.length else 1
+                del plain[rows.length - 1 :]
+                plain.insert(sum(c > count for _, c in plain), [x, count])
+            got = [(row >> k * tokenbin.ID_BITS) & tokenbin._ID for k in range(rows.length)]
+            assert got == [i for i, _ in plain] + [tokenbin._ID] * (rows.length - len(plain))
+            assert rows.counts[row >> rows.bits] == tuple([c for _, c in plain] + [0] * (rows.length - len(plain)))
+
+
 def test_damage_is_noticed():
     whole = tokenbin.encode_blocks([np.arange(3000) % 700], 50257)[0]
     head = tokenbin._HEAD.size + tokenbin._SUM.size
