@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +28,7 @@ def numbered(rows: DataFrame, order: list[str], parts: int = 64) -> DataFrame:
 
     The order is cut at quantiles of its first column, or for a column that is neither a number nor a time at those of
     about ``SAMPLE`` of its distinct values, drawn by hash; each part is numbered by itself and the sizes of those
-    before are added. Cuts only balance the work.
+    before, counted beforehand, are added. Cuts only balance the work.
     """
     kind = dict(rows.dtypes)[order[0]]
     first = F.unix_micros(order[0]) if kind == "timestamp" else F.col(order[0])
@@ -37,11 +39,14 @@ def numbered(rows: DataFrame, order: list[str], parts: int = 64) -> DataFrame:
         known = sorted(r.b for r in drawn.filter("b IS NOT NULL").collect())
         bounds = [known[i * len(known) // parts] for i in range(1, parts)] if known else None
     part = F.size(F.filter(F.array(*(F.lit(x) for x in sorted(set(bounds)))), lambda b: b < first)) if bounds else F.lit(0)
-    cut = rows.withColumn("__part", part)
-    sizes = cut.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.sum("__n").over(Window.partitionBy()).alias("n"))
+    # Sizes come by way of the driver: from a join on the part with counts of the same rows, Spark may derive a filter
+    # of the counts by a column that they don't have, and fail.
+    sizes = {r.part: r.n for r in rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
+    before = list(accumulate((sizes.get(i, 0) for i in range(max(sizes, default=0))), initial=0))
     own = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    return cut.withColumn("__own", own).join(F.broadcast(before), "__part").withColumn("rn", F.col("__own") + F.col("__before")).drop("__part", "__own", "__before")
+    placed = rows.withColumn("__part", part).withColumn("__own", own)
+    start = F.get(F.array(*(F.lit(x).cast("bigint") for x in before)), F.col("__part"))
+    return placed.withColumns({"n": F.lit(sum(sizes.values())).cast("bigint"), "rn": F.col("__own") + start}).drop("__part", "__own")
 
 
 def positional(rows: DataFrame, order: list[str], share: float = 0.9) -> tuple[DataFrame, DataFrame]:

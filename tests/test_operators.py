@@ -145,6 +145,15 @@ def test_numbering_is_the_same_for_any_parts(spark):
     assert got[0] == got[1] == got[2]
 
 
+def test_split_by_time_reads_only_columns_that_are_there(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts")
+    for part in split.positional(events, ["ts", "event_id"]):
+        plan = part._jdf.queryExecution().optimizedPlan().toString()
+        assert not [x for x in plan.splitlines() if x.lstrip(" :+-").startswith("!")]  # so Spark marks what misses a column
+    r, s = (p.agg(F.min("ts").alias("low"), F.max("ts").alias("high"), F.count("*").alias("n")).first() for p in split.positional(events, ["ts", "event_id"]))
+    assert s.n == events.count() * 9 // 10 and r.n + s.n == events.count() and s.high <= r.low
+
+
 def test_range_routing_covers_each_row_once(spark):
     s = some(spark, 200, 2, 9)
     coded = knn.coded(s, [[0, 0], [3, 5]], 2, 10)
