@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfold.functions import curves
-from nearfold.functions.prepare import complete, shifted, squared_distance
+from nearfold.functions.prepare import complete, extent, shifted, squared_distance
+from nearfold.operators import cells
 from nearfold.operators.ranges import quantile_bounds, sampled_bounds
 from nearfold.sources.tables import materialize
 
@@ -23,12 +24,23 @@ def nearest(edges: DataFrame, k: int) -> DataFrame:
 
 
 def exact_knn(r: DataFrame, s: DataFrame, k: int, dimension: int) -> DataFrame:
-    """All pairs measured. The ground truth for ``approximate_knn``; its work grows with |R| |S|."""
+    """The true k nearest. The ground truth for ``approximate_knn``.
+
+    Points are measured in the cells where neighbours can be (``cells``); what is shuffled grows with |R| + |S| as long as a
+    neighbourhood reaches few cells, which in many dimensions it doesn't. The points and each row's nearest within
+    its own cell are written to the shared folder. Where a distance might exceed a BIGINT, all pairs are measured instead.
+    """
     whole = complete(F.col("coords"), dimension)
-    left = r.filter(whole).select(F.col("id").alias("rid"), F.col("coords").alias("rc"))
-    right = s.filter(whole).select(F.col("id").alias("sid"), F.col("coords").alias("sc"))
-    pairs = left.crossJoin(right).select("rid", "sid", squared_distance(F.col("rc"), F.col("sc"), dimension).alias("d2"))
-    return nearest(pairs, k)
+    at = F.col("coords").cast("array<bigint>").alias("coords")
+    kind = [dict(x.dtypes)["id"] for x in (r, s)]
+    left = r.filter(whole).select(F.col("id").alias("rid"), F.lit(None).cast(kind[1]).alias("sid"), at, F.lit(True).alias("is_r"))
+    right = s.filter(whole).select(F.lit(None).cast(kind[0]).alias("rid"), F.col("id").alias("sid"), at, F.lit(False).alias("is_r"))
+    points = materialize(left.unionByName(right))
+    low, high = extent(points, dimension)
+    if sum((h - x + 1) ** 2 for x, h in zip(low, high)) < 1 << 63:
+        return nearest(cells.exact(points, k, dimension), k)
+    left, right = points.filter("is_r").select("rid", F.col("coords").alias("rc")), points.filter("NOT is_r").select("sid", F.col("coords").alias("sc"))
+    return nearest(left.crossJoin(right).select("rid", "sid", squared_distance(F.col("rc"), F.col("sc"), dimension).alias("d2")), k)
 
 
 def coded(points: DataFrame, vectors: list[list[int]], dimension: int, bits: int, curve: str = "z") -> DataFrame:

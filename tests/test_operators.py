@@ -2,11 +2,12 @@ import os
 import random
 from dataclasses import replace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from nearfold.functions import prepare
-from nearfold.operators import knn, metrics, predict, ranges, split, tune
+from nearfold.operators import cells, knn, metrics, predict, ranges, split, tune
 from nearfold.plans import sessions
 from nearfold.plans.config import KnnConfig
 from nearfold.sources import text
@@ -73,6 +74,33 @@ def test_cuts_do_not_change_the_join(spark, curve):
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, cut.collect()))
 
 
+@pytest.mark.parametrize("spread", [3, 40, 10**8])
+def test_exact_neighbours_over_many_cells(spark, monkeypatch, spread):
+    """Copies of points, far rows of R, more visitors than a cell's rows are dealt to, ids of two kinds: as by force."""
+    for name, size in (("CELL_ROWS", 16), ("VISITS", 20), ("PAIRS", 64)):
+        monkeypatch.setattr(cells, name, size)
+    rnd = random.Random(spread)
+    at = lambda: [rnd.randint(-spread, spread) for _ in range(3)]
+    r = [(i, at()) for i in range(120)] + [(200 + i, [spread * 2, 0, -spread]) for i in range(30)]
+    s = [(f"s{i}", at()) for i in range(500)] + [(f"t{i}", [1, 1, 1]) for i in range(60)]
+    found = knn.exact_knn(spark.createDataFrame(r, "id int, coords array<bigint>"), spark.createDataFrame(s, "id string, coords array<bigint>"), 5, 3)
+    want = [(i, j, d, n + 1) for i, a in r for n, (d, j) in enumerate(sorted((sum((x - y) ** 2 for x, y in zip(a, b)), j) for j, b in s)[:5])]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_exact_neighbours_never_list_all_pairs(spark, monkeypatch):
+    """What is kept for each row of R doesn't grow with S, and neither does the number of cells that it visits."""
+    monkeypatch.setattr(cells, "CELL_ROWS", 64)
+    rnd = random.Random(5)
+    rows = [(i, [rnd.randint(0, 10**6) for _ in range(2)]) for i in range(6300)]
+    r, s = (spark.createDataFrame(x, "id int, coords array<bigint>") for x in (rows[:300], rows[300:]))
+    found = knn.exact_knn(r, s, 3, 2)
+    assert "CartesianProduct" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
+    tree = cells.Tree(np.array([c for _, c in rows[300:]]), 3, 64)
+    at, bound = np.array([c for _, c in rows[:300]]), np.array([x.d2 for x in found.filter("rank = 3").orderBy("rid").collect()])
+    assert tree.cells > 100 and len(tree.within(at, bound)[0]) < 3 * 300
+
+
 def test_recall_grows_with_shifts_and_k_of_all_is_exact(spark):
     r, s = some(spark, 40, 2, 1), some(spark, 120, 2, 2, 1000)
     truth = knn.exact_knn(r, s, 3, 2)
