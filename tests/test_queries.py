@@ -21,3 +21,8 @@ def test_entry(spark):
     assert entry.entry(spark).count() == 250
     assert set(catalog.QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_recall_crosses_no_tables(spark, sf_dir):
+    plan = catalog.QUERIES["recall_at_k"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
