@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -569,20 +570,42 @@ def write_blocks(docs: DataFrame, path: str = bpe.VOCABULARY, check: bool = Fals
     return docs.select(doc_key(), "text").mapInArrow(lambda it: _blocks(it, sent, key, check), BLOCKS + ", round_trip boolean" * check)
 
 
+_PARTS = pa.schema([("stream", pa.int32()), ("number", pa.int64()), ("block", pa.int32()), ("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+
+
+def _decoded(few: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """A row for each document's part of each of a few blocks."""
+    b = pa.Table.from_batches(few).combine_chunks().to_batches()[0]
+    ids = decode_blocks(b.column("payload").to_pylist())
+    docs, tokens = b.column("doc_ids"), b.column("doc_tokens")
+    block = pc.list_parent_indices(docs).to_numpy()
+    sizes = tokens.flatten().to_numpy()
+    nth = np.arange(len(block)) - np.searchsorted(block, block)
+    number = b.column("first_doc").to_numpy()[block] + nth
+    offsets = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))).astype(np.int32)
+    flat = np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32, copy=False)
+    own = pa.array(block)
+    return pa.RecordBatch.from_arrays([b.column("stream").take(own), pa.array(number), b.column("block").take(own), docs.flatten(), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], schema=_PARTS)
+
+
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Decoded ``GROUP`` blocks at a time, whatever batches they come in; nothing of a group is held while the next one is decoded."""
+    held, n = [], 0
     for b in batches:
-        for k in range(0, b.num_rows, GROUP):
-            rows, own = [], b.slice(k, GROUP).to_pylist()
-            for r, ids in zip(own, decode_blocks([r["payload"] for r in own])):
-                at = 0
-                for k, (doc, n) in enumerate(zip(r["doc_ids"], r["doc_tokens"])):
-                    rows.append({"stream": r["stream"], "number": r["first_doc"] + k, "block": r["block"], "doc_id": doc, "ids": ids[at : at + n].astype(np.int32)})
-                    at += n
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("stream", pa.int32()), ("number", pa.int64()), ("block", pa.int32()), ("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]))
+        while b.num_rows:
+            held.append(b.slice(0, GROUP - n))
+            n += held[-1].num_rows
+            b = b.slice(held[-1].num_rows)
+            if n == GROUP:
+                yield _decoded(held)
+                held, n = [], 0
+    if held:
+        yield _decoded(held)
 
 
 def read_blocks(blocks: DataFrame) -> DataFrame:
     """One row for each document in the blocks: doc_id, token_ids."""
+    modest_batches(blocks.sparkSession)
     parts = blocks.mapInArrow(_parts, "stream int, number bigint, block int, doc_id bigint, ids array<int>")
     whole = parts.groupBy("stream", "number").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("block", "ids"))).alias("p"))
     return whole.select("doc_id", F.flatten(F.transform("p", lambda x: x["ids"])).alias("token_ids"))

@@ -210,3 +210,20 @@ def test_long_documents_go_on_in_the_next_block(spark, public, monkeypatch):
     for x in sorted(back, key=lambda x: x["block"]):
         whole[x["doc_id"]] = whole.get(x["doc_id"], []) + x["ids"]
     assert whole == {i: public.encode_ordinary(t or "") for i, t in rows}
+
+
+def test_blocks_are_read_in_even_groups_whatever_batches_they_come_in(spark, monkeypatch):
+    """What a worker holds is a group of blocks, not as many as a partition has."""
+    ids = [np.arange(k, k + 40, dtype=np.int32) for k in range(23)]
+    rows = [{"stream": 3, "block": k, "first_doc": 2 * k, "doc_ids": [k, None], "doc_tokens": [30, 10], "payload": p} for k, p in enumerate(tokenbin.encode_blocks(ids, 100))]
+    sizes, decode = [], tokenbin.decode_blocks
+    monkeypatch.setattr(tokenbin, "GROUP", 10)
+    monkeypatch.setattr(tokenbin, "decode_blocks", lambda p: sizes.append(len(p)) or decode(p))
+    kind = pa.schema([("stream", pa.int32()), ("block", pa.int32()), ("first_doc", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int32())), ("payload", pa.binary())])
+    batches = [pa.RecordBatch.from_pylist(rows[a:b], kind) for a, b in ((0, 4), (4, 4), (4, 18), (18, 23))]
+    got = [x for b in tokenbin._parts(iter(batches)) for x in b.to_pylist()]
+    assert sizes == [10, 10, 3]
+    want = [{"stream": 3, "number": 2 * k + j, "block": k, "doc_id": [k, None][j], "ids": ids[k][30 * j : 30 + 10 * j].tolist()} for k in range(23) for j in (0, 1)]
+    assert got == want
+    tokenbin.read_blocks(spark.createDataFrame([], tokenbin.BLOCKS))
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(8 << 20)
